@@ -25,6 +25,19 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.packing import pack_documents
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, tokens=2048)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.simhash import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), far=4, shingle=4)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.content_sort import content_sort
 
@@ -41,6 +54,21 @@ FROM documents
 """
 
 
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.search import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from terrane.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm import toxicity
 
@@ -53,7 +81,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
+    "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_search": op6_search,
+    "op7_bpe": op7_bpe,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
