@@ -54,6 +54,12 @@ FROM documents
 """
 
 
+def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.store import store_and_check
+
+    return store_and_check(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.search import search
 
@@ -69,6 +75,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm import toxicity
 
@@ -84,8 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_store": op5_store,
     "op6_search": op6_search,
     "op7_bpe": op7_bpe,
+    "op8_counts": op8_counts,
+    "op9_repeats": op9_repeats,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
