@@ -111,6 +111,7 @@ def transport(cells: DataFrame, supply: DataFrame, demand: DataFrame, zone: str
         s, t = m[m["side"] == 0], m[m["side"] == 1]
         return solve(key, c, s.rename(columns={"id": "o", "n": "out"}), t.rename(columns={"id": "d", "n": "in"}))
 
-    sides = supply.select(zone, F.lit(0).alias("side"), F.col("o").alias("id"), F.col("out").alias("n")).unionByName(demand.select(zone, F.lit(1).alias("side"), F.col("d").alias("id"), F.col("in").alias("n")))
+    cells = cells.select(*[F.col(c).alias(c) for c in (zone, "o", "d", "proposal")])  # new attributes: all three may come from one table
+    sides = supply.select(F.col(zone).alias(zone), F.lit(0).alias("side"), F.col("o").alias("id"), F.col("out").alias("n")).unionByName(demand.select(zone, F.lit(1).alias("side"), F.col("d").alias("id"), F.col("in").alias("n")))
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     return cells.groupBy(zone).cogroup(sides.groupBy(zone)).applyInPandas(both, f"zone {kinds[zone]}, o {kinds['o']}, d {kinds['d']}, flow long")
