@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.words import WORD, Encoder
+from terrane.llm.words import BARE, Encoder
 
 MARK = "▁"
 PENALTY = 10.0
@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _open:
             counter = Counter(vocabulary(path))
-            _open[path] = Encoder(lambda words: [[counter.count(w)] for w in words], WORD)
+            _open[path] = Encoder(lambda words: [[counter.count(w)] for w in words], BARE)
         for b in batches:
             n = [int(x.sum()) for x in _open[path].encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(n, np.int64))], ["doc_id", "n_tokens"])

@@ -3,7 +3,8 @@
 Text is cut wherever a character other than white space is followed by white
 space. In the pre-tokenizer patterns of the public vocabularies used here every
 match ends at such a place, and none looks behind it, so the ids of a text are
-the ids of its chunks in turn. Chunks repeat, so each distinct one is encoded
+the ids of its chunks in turn. The same holds between a letter or digit and
+stops that end a word, so these are parted too. Chunks repeat, so each distinct one is encoded
 once per Python worker while it stays in a bounded memo.
 """
 
@@ -17,8 +18,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 SPACE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-WORD = re.compile(f"[^{SPACE}]+")
+STOP = f"[.,;:!?]+(?=[{SPACE}]|\\Z)"
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]*[^\\W_](?={STOP})|{STOP}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+WORD = re.compile(f"[^{SPACE}]*[^\\W_](?={STOP})|{STOP}|[^{SPACE}]+")
+BARE = re.compile(f"[^{SPACE}]+")
 MEMO, GROUP_CHARS = 800_000, 2_000_000
 _encoders: dict = {}
 
@@ -78,11 +81,18 @@ class Encoder:
             yield self.flat[np.repeat(self.start[i] - ends + n, n) + np.arange(total)]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the others from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 def library_encoder(path: str, pattern: re.Pattern) -> Encoder:
     """An encoder of the tokenizers library, one for each file and worker.
 
     New chunks go straight through the library's normaliser, pre-tokenizer and
-    model, without the offsets that a whole encoding keeps. ASCII words are
+    model, without the offsets that a whole encoding keeps. Words of letters are
     their own pre-token. Chunks that spell a special token go through encode().
     """
     if path not in _encoders:
@@ -95,12 +105,18 @@ def library_encoder(path: str, pattern: re.Pattern) -> Encoder:
         normalise = t.normalizer.normalize_str if t.normalizer else str
         lower = normalise("A") == "a"
         keep_space = split(" a")[0][0][1:] == "a"
+        shown = byte_letters()
 
         def ids(chunk: str) -> list[int]:
-            word = chunk[1:] if chunk[0] == " " else chunk
-            if word.isascii() and word.isalpha():
-                word = word.lower() if lower else word
-                return [x.id for x in tokenize("Ġ" + word if keep_space and chunk[0] == " " else word)]
+            blank = chunk[0] == " "
+            word = chunk[1:] if blank else chunk
+            if word.isalpha():
+                if word.isascii():
+                    return [x.id for x in tokenize(("Ġ" if keep_space and blank else "") + (word.lower() if lower else word))]
+                word = normalise(word)
+            if word.isalpha():  # still so: lower case may add marks
+                word = word.encode().decode("latin-1").translate(shown)
+                return [x.id for x in tokenize("Ġ" + word if keep_space and blank else word)]
             if special(chunk):
                 return t.encode(chunk, add_special_tokens=False).ids
             return [x.id for piece, _ in split(normalise(chunk)) for x in tokenize(piece)]
