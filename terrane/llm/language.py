@@ -208,7 +208,7 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], documents: dict
     return Model(f"{zlib.crc32(prob.tobytes())}-{languages}", languages, index, prob, prior)
 
 
-def fit(docs: DataFrame, allowed: Column, pieces: list[str], *, per_language: int = 800, **how) -> Model:
+def fit(docs: DataFrame, allowed: Column, pieces: list[str], *, per_language: int = 500, **how) -> Model:
     """Learn from at most about per_language documents of each language among the rows that `allowed` admits."""
     known = docs.where(allowed & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}

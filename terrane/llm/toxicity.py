@@ -14,6 +14,7 @@ the two labels, the smallest hashes of their ids); scoring reads every text whol
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,11 +84,14 @@ def window_starts(n: int, window: int) -> np.ndarray:
     return np.arange(pieces) * n // pieces
 
 
-def document_counts(tok: np.ndarray, first: np.ndarray, bags: list[list[int]], buckets: int) -> np.ndarray:
+def document_counts(tok: np.ndarray, places: np.ndarray, bags: np.ndarray, bag_starts: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray:
     """Number of texts that each bucket occurs in."""
     seen = np.zeros(buckets, np.int64)
-    for some in np.split(tok, first[1:]):
-        seen[np.unique(np.concatenate([bags[w] for w in np.unique(some)]))] += 1
+    for some in np.split(tok, places[1:]):
+        words = np.unique(some)
+        n = sizes[words]
+        at = np.repeat(bag_starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seen[np.unique(bags[at])] += 1
     return seen
 
 
@@ -97,28 +101,38 @@ def train(texts: list[str], labels: list[int], *, dim: int = 4, buckets: int = 1
     An n-gram in fewer than `least` texts (a twentieth of the rarer class, if that is fewer) gets no vector.
     """
     vocabulary: dict[str, int] = {}
-    tokens, starts, first, n = [], [], [], 0
-    kept = [(t.lower().split(), y) for t, y in zip(texts, labels, strict=True) if t and t.split()]
-    if not kept or len({y for _, y in kept}) < 2:
+    tokens, starts, first, y, n = [], [], [0], [], 0
+    for text, label in zip(texts, labels, strict=True):
+        words = (text or "").lower().split()
+        if words:
+            starts.append(n + window_starts(len(words), window))
+            tokens.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+            n += len(words)
+            first.append(first[-1] + len(starts[-1]))
+            y.append(float(label))
+    y = np.array(y)
+    if len(set(y.tolist())) < 2:
         share = float(np.mean(labels)) if len(labels) else 0.0
         p = min(max(share, 1e-3), 1 - 1e-3)
         return Model(f"constant-{p}", np.zeros(1, np.float32), float(np.log(p / (1 - p))), window, low, high)
-    for words, _ in kept:
-        first.append(len(starts))
-        starts.extend((n + window_starts(len(words), window)).tolist())
-        tokens.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
-        n += len(words)
-    tok, starts, first = np.concatenate(tokens), np.asarray(starts), np.asarray(first)
+    places = np.cumsum([0, *map(len, tokens)])[:-1]
+    tok, starts, first = np.concatenate(tokens), np.concatenate(starts), np.array(first[:-1])
+    del tokens
     lengths = np.diff([*starts, n])
-    y = np.array([v for _, v in kept], float)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     docs_of = np.repeat(np.arange(len(first)), np.diff([*first, len(starts)]))
-    bags = [features(w, buckets, low, high) for w in vocabulary]
-    seen = document_counts(tok, np.concatenate([[0], np.cumsum([len(w) for w, _ in kept])[:-1]]), bags, buckets)
-    rare = seen < max(2, min(least, min(sum(y for _, y in kept), sum(1 - y for _, y in kept)) // 20))
-    sizes = np.array([len(b) for b in bags])
-    flat, used = np.unique(np.concatenate(bags), return_inverse=True)
-    bag_starts, owner = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(bags)), sizes)
+    bags, sizes = array("i"), np.zeros(len(vocabulary), np.int32)
+    for k, w in enumerate(vocabulary):
+        some = features(w, buckets, low, high)
+        sizes[k] = len(some)
+        bags.extend(some)
+    del vocabulary
+    bags = np.frombuffer(bags, np.int32)
+    bag_starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    seen = document_counts(tok, places, bags, bag_starts, sizes, buckets)
+    rare = seen < max(2, min(least, int(min(y.sum(), (1 - y).sum())) // 20))
+    flat, used = np.unique(bags, return_inverse=True)
+    used = used.astype(np.int32)
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.1, (len(flat), dim)), rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
     learnt = ~rare[flat][:, None]
@@ -136,8 +150,8 @@ def train(texts: list[str], labels: list[int], *, dim: int = 4, buckets: int = 1
         pooled = np.add.reduceat(part * z, first)
         g_doc = weight * (1 / (1 + np.exp(-np.clip(pooled, -40, 40))) - y)
         g_z = g_doc[docs_of] * part
-        g_word = np.bincount(tok, np.repeat(g_z / lengths, lengths), len(bags))
-        g_scalar = np.bincount(used, (g_word / sizes)[owner], len(flat))
+        g_word = np.bincount(tok, np.repeat(g_z / lengths, lengths), len(sizes))
+        g_scalar = np.bincount(used, np.repeat(g_word / sizes, sizes), len(flat))
         g_direction = e.T @ g_scalar
         grads = (learnt * np.outer(g_scalar, direction) + decay * e, np.stack([-g_direction, g_direction], 1), np.array([-g_doc.sum(), g_doc.sum()]))
         for p, g, (m, v) in zip((e, w, b), grads, state, strict=True):
@@ -150,7 +164,7 @@ def train(texts: list[str], labels: list[int], *, dim: int = 4, buckets: int = 1
     return Model(f"{zlib.crc32(scalars.tobytes())}-{bias}", scalars, bias, window, low, high)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, *, per_class: tuple[int, int] = (3000, 1500), **how) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed, *, per_class: tuple[int, int] = (2000, 1000), **how) -> Model:
     """Train on about `per_class` documents at most of labels 0 and 1, among those that `allowed` (on doc_id) admits."""
     known = labels.where(F.col("toxic").isin(0, 1) & allowed).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
