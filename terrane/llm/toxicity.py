@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-MEMO_WORDS = 400_000
+MEMO_WORDS, GROUP_CHARS = 600_000, 2_000_000
 _memo: dict = {}
 
 
@@ -32,8 +32,12 @@ def features(word: str, buckets: int, low: int, high: int) -> list[int]:
     """Buckets of a word and of its character n-grams, with marks at both ends."""
     core = word.strip("\"'.,;:!?()[]{}<>«»¡¿-_*#") or word
     marked = f"<{core}>"
+    crc = zlib.crc32
+    if marked.isascii():
+        raw = marked.encode()
+        return [crc(raw[i : i + n]) % buckets for n in range(low, high + 1) for i in range(len(raw) - n + 1)] + [crc(raw) % buckets]
     grams = [marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in (*grams, marked)]
+    return [crc(g.encode("utf-8", "surrogatepass")) % buckets for g in (*grams, marked)]
 
 
 @dataclass(frozen=True)
@@ -47,34 +51,42 @@ class Model:
     low: int
     high: int
 
-    def word(self, word: str) -> float:
-        return float(self.scalars[features(word, len(self.scalars), self.low, self.high)].mean())
+    def words(self, words: list[str]) -> list[float]:
+        """Mean scalar of each word's buckets."""
+        bags, sizes = array("i"), []
+        for w in words:
+            some = features(w, len(self.scalars), self.low, self.high)
+            sizes.append(len(some))
+            bags.extend(some)
+        if not words:
+            return []
+        ends = np.cumsum(sizes)
+        return (np.add.reduceat(self.scalars[np.frombuffer(bags, np.int32)], ends - sizes) / sizes).tolist()
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if _memo.get("key") != self.key:
             _memo.clear()
             _memo.update(key=self.key, words={})
-        memo = _memo["words"]
-        out = np.empty(len(texts))
+        memo, out, group, size = _memo["words"], np.empty(len(texts)), [], 0
         for k, text in enumerate(texts):
-            words = text.lower().split() if text else []
-            if len(memo) > MEMO_WORDS:
+            group.append(k)
+            size += len(text or "")
+            if size < GROUP_CHARS and k + 1 < len(texts):
+                continue
+            cut = [(texts[i] or "").lower().split() for i in group]
+            new = list({w for ws in cut for w in ws if w not in memo})
+            if len(memo) + len(new) > MEMO_WORDS:
                 memo.clear()
-            values = list(map(memo.get, words))
-            if None in values:
-                for i, v in enumerate(values):
-                    if v is None:
-                        w = words[i]
-                        if (v := memo.get(w)) is None:
-                            v = memo[w] = self.word(w)
-                        values[i] = v
-            if values:
-                x = np.asarray(values, np.float32)
-                starts = window_starts(len(x), self.window)
-                z = (np.add.reduceat(x, starts) / np.diff([*starts, len(x)])).max() + self.bias
-            else:
+                new = list({w for ws in cut for w in ws})
+            memo.update(zip(new, self.words(new), strict=True))
+            for i, ws in zip(group, cut, strict=True):
                 z = self.bias
-            out[k] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+                if ws:
+                    x = np.array(list(map(memo.__getitem__, ws)))
+                    starts = window_starts(len(x), self.window)
+                    z += (np.add.reduceat(x, starts) / np.diff(starts, append=len(x))).max()
+                out[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            group, size = [], 0
         return out
 
 
