@@ -4,7 +4,7 @@ Text is cut wherever a character other than white space is followed by white
 space. In the pre-tokenizer patterns of the public vocabularies used here every
 match ends at such a place, and none looks behind it, so the ids of a text are
 the ids of its chunks in turn. The same holds between a Latin letter or digit
-and stops that end a word, so these are parted too. Chunks repeat, so each distinct one is encoded
+and stops that end a word; WORD parts these too, CHUNK does not. Chunks repeat, so each distinct one is encoded
 once per Python worker while it stays in a bounded memo.
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0  -     　"
 PLAIN = "0-9A-Za-zÀ-ÖØ-öø-ÿ"  # letters that no normaliser turns into something with a mark at its end
 STOP = f"[.,;:!?]+(?=[{SPACE}]|\\Z)"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]*[{PLAIN}](?={STOP})|{STOP}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]*[{PLAIN}](?={STOP})|{STOP}|[^{SPACE}]+")
 BARE = re.compile(f"[^{SPACE}]+")
 MEMO, GROUP_CHARS = 800_000, 2_000_000
