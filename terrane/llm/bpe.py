@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from terrane.llm.words import CHUNK, Encoder
+from terrane.llm.words import Encoder
 
 LONG = 128
 NONE = np.int32(2**31 - 1)
@@ -165,18 +165,18 @@ class Bpe:
 
 def alone(chunk: str) -> bool:
     """Whether a chunk surely is one piece: letters, after one blank at most."""
-    return (chunk[1:] if chunk[0] == " " else chunk).isalpha()
+    return (chunk[1:] if chunk[:1] == " " else chunk).isalpha()
 
 
 def opened(path: str, pattern: str) -> tuple[Bpe, Encoder]:
     """The rank file's tables, read once by each worker."""
     if (path, pattern) not in _open:
         bpe = Bpe(read_ranks(path), pattern)
-        _open[path, pattern] = bpe, Encoder(bpe.encode_chunks, CHUNK)
+        _open[path, pattern] = bpe, Encoder(bpe.encode_chunks)
     return _open[path, pattern]
 
 
-def encode(texts: list[str | None], path: str, pattern: str) -> Iterator[np.ndarray]:
+def encode(texts: pa.Array | list[str | None], path: str, pattern: str) -> Iterator[np.ndarray]:
     return opened(path, pattern)[1].encode(texts)
 
 
@@ -191,7 +191,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = opened(path, pattern)[0]
         for b in batches:
             n, coded, decoded = [], [], []
-            for ids in encode(b.column(1).to_pylist(), path, pattern):
+            for ids in encode(b.column(1), path, pattern):
                 n.append(len(ids))
                 coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -69,9 +69,9 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _open:
             counter = Counter(vocabulary(path))
-            _open[path] = Encoder(lambda words: [[counter.count(w)] for w in words], BARE)
+            _open[path] = Encoder(lambda chunks: [[sum(map(counter.count, BARE.findall(c)))] for c in chunks], stops=False, blanks=False)
         for b in batches:
-            n = [int(x.sum()) for x in _open[path].encode(b.column(1).to_pylist())]
+            n = [int(x.sum()) for x in _open[path].encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(n, np.int64))], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.words import CHUNK, library_encoder
+from terrane.llm.words import library_encoder
 
 BLOCK_ROWS = 20_000
 
@@ -89,10 +89,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, end_id: int, most: int = 2048)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, CHUNK)
+        encoder = library_encoder(tokenizer)
         for b in batches:
             rows, start, length, crc, total = [], [], [], [], []
-            for k, ids in enumerate(encoder.encode(b.column(1).to_pylist())):
+            for k, ids in enumerate(encoder.encode(b.column(1))):
                 data = np.append(ids, end_id).astype("<u4").tobytes()
                 for at in range(0, len(data), 4 * most):
                     part = data[at : at + 4 * most]

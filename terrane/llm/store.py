@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.common import Scratch
-from terrane.llm.words import WORD, library_encoder
+from terrane.llm.words import library_encoder
 
 WINDOW, MASK, LEAST, MOST, HELD = 16, np.uint64(0x1FF << 40), 64, 4096, 32 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,10 +99,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = library_encoder(tokenizer, WORD), set()
+        encoder, seen = library_encoder(tokenizer), set()
         for b in batches:
             recipes, chunks = [], []
-            for ids in encoder.encode(b.column(1).to_pylist()):
+            for ids in encoder.encode(b.column(1)):
                 ids = np.append(ids, end_id)
                 data, at, names, sizes = ids.astype("<u4").tobytes(), 0, [], []
                 for e in cuts(ids):

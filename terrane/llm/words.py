@@ -1,11 +1,14 @@
 """Encoding by memoised words: exact, because tokens never cross the cuts made here.
 
-Text is cut wherever a character other than white space is followed by white
-space. In the pre-tokenizer patterns of the public vocabularies used here every
-match ends at such a place, and none looks behind it, so the ids of a text are
-the ids of its chunks in turn. The same holds between a Latin letter or digit
-and stops that end a word; WORD parts these too, CHUNK does not. Chunks repeat, so each distinct one is encoded
-once per Python worker while it stays in a bounded memo.
+Text is cut wherever a character other than white space is followed by ASCII
+white space. In the pre-tokenizer patterns of the public vocabularies used here
+every match ends at such a place, and none looks behind it, so the ids of a text
+are the ids of its chunks in turn. The same holds between a Latin letter or digit
+and stops that end a word. Any subset of these cuts is exact too.
+
+Cuts are found on the UTF-8 bytes of many texts at once; of the chunks of such a
+group only the distinct ones are looked up, and each distinct one is encoded once
+per Python worker while it stays in a bounded memo.
 """
 
 from __future__ import annotations
@@ -16,31 +19,61 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-SPACE = "\t-\r \x85\xa0  -     　"
-PLAIN = "0-9A-Za-zÀ-ÖØ-öø-ÿ"  # letters that no normaliser turns into something with a mark at its end
-STOP = f"[.,;:!?]+(?=[{SPACE}]|\\Z)"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-WORD = re.compile(f"[^{SPACE}]*[{PLAIN}](?={STOP})|{STOP}|[^{SPACE}]+")
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BARE = re.compile(f"[^{SPACE}]+")
-MEMO, GROUP_CHARS = 800_000, 2_000_000
+WIDE_SPACE = np.array(sorted(int.from_bytes(chr(c).encode(), "big") for c in range(0x80, 0x3001) if BARE.fullmatch(chr(c)) is None))
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(b"\t\n\v\f\r ", np.uint8))
+IS_STOP = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+IS_PLAIN = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])  # no normaliser gives these a mark at the end
+IS_LATIN = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])  # after 0xC3: letters as plain
+MOST_STOPS, MEMO, GROUP_BYTES = 8, 800_000, 2_000_000
 _encoders: dict = {}
 
 
+def cut_marks(data: np.ndarray, bounds: np.ndarray, stops: bool) -> np.ndarray:
+    """True at the first byte of each chunk; bounds: the texts' starts in `data`, and its end."""
+    blank = IS_SPACE[data]
+    marks = np.zeros(len(data) + 1, bool)
+    marks[1:-1] = blank[1:] & ~blank[:-1]
+    at = np.flatnonzero(marks)
+    at = at[data[at - 1] >= 0x80]
+    two = data[np.maximum(at - 2, 0)].astype(np.int64) << 8 | data[at - 1]
+    three = data[np.maximum(at - 3, 0)].astype(np.int64) << 16 | two
+    marks[at[np.isin(two, WIDE_SPACE) | np.isin(three, WIDE_SPACE)]] = False
+    marks[bounds] = True
+    if stops and len(data):
+        at = np.flatnonzero(marks)
+        at = at[at > 0] - 1
+        at = at[IS_STOP[data[at]]]
+        for _ in range(MOST_STOPS):
+            at = at[at > 0]
+            more = IS_STOP[data[at - 1]]
+            first = at[~more]
+            before = data[first - 1]
+            marks[first[IS_PLAIN[before] | IS_LATIN[before] & (data[np.maximum(first - 2, 0)] == 0xC3)]] = True
+            at = at[more] - 1
+    return marks[:-1]
+
+
 class Encoder:
-    """texts -> id arrays, through `encode_new` for chunks not seen lately."""
+    """texts -> id arrays, through `encode_new` for chunks not seen lately.
+
+    stops: cut stops off too. blanks: keep ASCII white space in the chunks.
+    """
 
-    def __init__(self, encode_new: Callable[[list[str]], list], pattern: re.Pattern = CHUNK, memo: int = MEMO):
-        self.encode_new, self.split, self.memo = encode_new, pattern.findall, memo
+    def __init__(self, encode_new: Callable[[list[str]], list], *, stops: bool = True, blanks: bool = True, memo: int = MEMO):
+        self.encode_new, self.stops, self.blanks, self.memo = encode_new, stops, blanks, memo
         self.reset()
 
     def reset(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows: dict[bytes, int] = {}
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
-    def learn(self, chunks: list[str]) -> None:
-        coded = self.encode_new(chunks)
+    def learn(self, chunks: list[bytes]) -> None:
+        coded = self.encode_new([c.decode() for c in chunks])
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         n, total = len(self.rows), int(sizes.sum())
         while n + len(chunks) > len(self.start):
@@ -54,32 +87,41 @@ class Encoder:
         self.rows.update(zip(chunks, range(n, n + len(chunks)), strict=True))
         self.used += total
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        group, size = [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [self.split(t) for t in texts]
-        at = [list(map(self.rows.get, c)) for c in cut]
-        new = {w for c, a in zip(cut, at, strict=True) if None in a for w, i in zip(c, a, strict=True) if i is None}
-        if new:
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = texts.fill_null("") if texts.null_count else texts
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        lo = 0
+        while lo < len(texts):
+            hi = min(len(texts), int(np.searchsorted(ends, ends[lo] + GROUP_BYTES)) + 1)
+            yield from self._group(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+            lo = hi
+
+    def _group(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        starts = np.flatnonzero(cut_marks(data, bounds, self.stops))
+        own = np.searchsorted(starts, bounds)
+        places = np.append(starts, len(data))
+        if not self.blanks:
+            keep = ~IS_SPACE[data]
+            places = np.append(0, np.cumsum(keep))[places]
+            data = data[keep]
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        at = list(map(self.rows.get, distinct))
+        if None in at:
+            new = [c for c, i in zip(distinct, at, strict=True) if i is None]
             if len(self.rows) + len(new) > self.memo:
                 self.reset()
-                new, at = {w for c in cut for w in c}, [[None]] * len(cut)
-            self.learn(list(new))
-        get = self.rows.__getitem__
-        for c, a in zip(cut, at, strict=True):
-            i = np.array(list(map(get, c)) if None in a else a, np.int64)
-            n = self.size[i]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.repeat(self.start[i] - ends + n, n) + np.arange(total)]
+                new = distinct
+            self.learn(new)
+            at = list(map(self.rows.__getitem__, distinct))
+        row = np.array(at, np.int64)[chunks.indices.to_numpy()]
+        n = self.size[row]
+        ends = np.append(0, np.cumsum(n))
+        ids = self.flat[np.repeat(self.start[row] - ends[:-1], n) + np.arange(ends[-1])]
+        for a, b in itertools.pairwise(ends[own].tolist()):
+            yield ids[a:b]
 
 
 def byte_letters() -> dict[int, str]:
@@ -89,7 +131,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def library_encoder(path: str, pattern: re.Pattern) -> Encoder:
+def library_encoder(path: str) -> Encoder:
     """An encoder of the tokenizers library, one for each file and worker.
 
     New chunks go straight through the library's normaliser, pre-tokenizer and
@@ -109,7 +151,7 @@ def library_encoder(path: str, pattern: re.Pattern) -> Encoder:
         shown = byte_letters()
 
         def ids(chunk: str) -> list[int]:
-            blank = chunk[0] == " "
+            blank = chunk[:1] == " "
             word = chunk[1:] if blank else chunk
             if word.isalpha():
                 if word.isascii():
@@ -122,5 +164,5 @@ def library_encoder(path: str, pattern: re.Pattern) -> Encoder:
                 return t.encode(chunk, add_special_tokens=False).ids
             return [x.id for piece, _ in split(normalise(chunk)) for x in tokenize(piece)]
 
-        _encoders[path] = Encoder(lambda chunks: [ids(c) for c in chunks], pattern)
+        _encoders[path] = Encoder(lambda chunks: [ids(c) for c in chunks], blanks=keep_space)
     return _encoders[path]
