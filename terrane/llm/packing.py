@@ -36,18 +36,24 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     worth = share * weight / limits
     bins, places = np.zeros(len(demand), np.int64), np.zeros(len(demand), np.int64)
     number, todo, taken = 0, len(demand), np.zeros(len(types), np.int64)
+    size = np.ascontiguousarray(types.T)
     while todo:
-        room, place = limits.astype(float), 0
-        while len(fit := np.flatnonzero((types <= room).all(1))):
-            t = fit[np.argmax(worth[fit] @ room)]
+        room, place, fit = limits.astype(float), 0, np.flatnonzero(taken >= 0)
+        rest, value = size[:, fit], worth[fit]
+        while len(fit):
+            k = int(np.argmax(value @ room))
+            t = int(fit[k])
             row = members[t][taken[t]]
             bins[row], places[row] = number, place
-            room, place, todo = room - types[t], place + 1, todo - 1
+            room, place, todo = room - rest[:, k], place + 1, todo - 1
             taken[t] += 1
+            on = rest[0] <= room[0]
+            for own, most in zip(rest[1:], room[1:], strict=True):
+                on &= own <= most
             if taken[t] == len(members[t]):
-                on = np.arange(len(types)) != t
-                types, worth, taken = types[on], worth[on], taken[on]
-                members.pop(t)
+                on[k], taken[t] = False, -1
+            if not on.all():
+                fit, rest, value = fit[on], rest[:, on], value[on]
         number += 1
     return bins, places
 
