@@ -12,6 +12,7 @@ itself, so nothing is ever gathered in one place; only ids and sizes move.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.words import library_encoder
+from terrane.llm.words import library_encoder, with_end
 
 BLOCK_ROWS = 20_000
 
@@ -98,15 +99,19 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, end_id: int, most: int = 2048)
         encoder = library_encoder(tokenizer)
         for b in batches:
             rows, start, length, crc, total = [], [], [], [], []
-            for k, ids in enumerate(encoder.encode(b.column(1))):
-                data = np.append(ids, end_id).astype("<u4").tobytes()
-                for at in range(0, len(data), 4 * most):
-                    part = data[at : at + 4 * most]
-                    rows.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(len(data) // 4)
+            k = 0
+            for ids, bounds in encoder.groups(b.column(1)):
+                ids, bounds = with_end(ids, bounds, end_id)
+                data = memoryview(ids.astype("<u4").tobytes())
+                for lo, hi in itertools.pairwise(bounds.tolist()):
+                    for at in range(lo, hi, most):
+                        size = min(most, hi - at)
+                        rows.append(k)
+                        start.append(at - lo)
+                        length.append(size)
+                        crc.append(zlib.crc32(data[4 * at : 4 * (at + size)]))
+                        total.append(hi - lo)
+                    k += 1
             start, length = np.array(start, np.int64), np.array(length, np.int64)
             columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(start), pa.array(length), pa.array(length - (start == 0)), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "loss_tokens", "ids_crc32", "doc_tokens"])

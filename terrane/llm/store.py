@@ -26,33 +26,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.common import Scratch
-from terrane.llm.words import library_encoder
+from terrane.llm.words import library_encoder, with_end
 
-WINDOW, MASK, LEAST, MOST, HELD = 16, np.uint64(0x1FF << 40), 64, 4096, 32 << 20
+WINDOW, MASK, LEAST, MOST, HELD = 16, np.uint64(0x1FF << 40), 64, 4096, 16 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-WEIGHTS = np.multiply.accumulate(np.full(WINDOW, BASE, np.uint64))
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last WINDOW ids has MASK clear, at least LEAST and at most MOST ids apart."""
-    h = np.zeros(max(0, len(ids) - WINDOW + 1), np.uint64)
-    wide = ids.astype(np.uint64) + np.uint64(1)
-    for i in range(WINDOW):
-        h += wide[i : i + len(h)] * WEIGHTS[i]
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** (1 - i), modulo 2 ** 64."""
+    if not _powers or len(_powers["up"]) < n:
+        up, down = np.full(2 * n, BASE), np.full(2 * n, INVERSE)
+        up[0], down[0] = 1, BASE
+        _powers.update(up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows whose hash, the sum of (id + 1) * BASE ** (place from 1), has MASK clear once mixed."""
+    n = max(0, len(ids) - WINDOW + 1)
+    up, down = powers(len(ids) + 1)
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * up[: len(ids)], out=sums[1:])
+    h = (sums[WINDOW:] - sums[:n]) * down[:n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    ends, last = [], 0
-    for e in (np.flatnonzero(h & MASK == 0) + WINDOW).tolist():
-        while e - last > MOST:
+    return np.flatnonzero(h & MASK == 0) + WINDOW
+
+
+def cuts(ids: np.ndarray, bounds: np.ndarray) -> Iterator[list[int]]:
+    """For each document between bounds: ends of its chunks, at marks of windows inside it, at least LEAST and at most MOST ids apart."""
+    at = marks(ids)
+    first, end = np.searchsorted(at, bounds[:-1] + WINDOW).tolist(), np.searchsorted(at, bounds[1:], "right").tolist()
+    at = at.tolist()
+    for last, stop, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), first, end, strict=True):
+        ends = []
+        for e in at[i:j]:
+            while e - last > MOST:
+                last += MOST
+                ends.append(last)
+            if e - last >= LEAST:
+                ends.append(e)
+                last = e
+        while stop - last > MOST:
             last += MOST
             ends.append(last)
-        if e - last >= LEAST:
-            ends.append(e)
-            last = e
-    while len(ids) - last > MOST:
-        last += MOST
-        ends.append(last)
-    return [*ends, len(ids)] if last < len(ids) or not ends else ends
+        yield [*ends, stop] if last < stop or not ends else ends
 
 
 def digest(data: bytes) -> bytes:
@@ -102,41 +122,38 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         encoder, seen = library_encoder(tokenizer), set()
         for b in batches:
             recipes, chunks = [], []
-            for ids in encoder.encode(b.column(1)):
-                ids = np.append(ids, end_id)
-                data, at, names, sizes = ids.astype("<u4").tobytes(), 0, [], []
-                for e in cuts(ids):
-                    part = data[4 * at : 4 * e]
-                    name = digest(part)
-                    names.append(name)
-                    sizes.append(e - at)
-                    at = e
-                    if name not in seen:
-                        seen.add(name)
-                        chunks.append((name, part))
+            for ids, bounds in encoder.groups(b.column(1)):
+                ids, bounds = with_end(ids, bounds, end_id)
+                data, half = ids.astype("<u4").tobytes(), ids.astype("<u2").tobytes() if ids.max() < 65_536 else None
+                for at, ends in zip(bounds[:-1].tolist(), cuts(ids, bounds), strict=True):
+                    names, sizes = [], []
+                    for e in ends:
+                        part = data[4 * at : 4 * e]
+                        name = digest(part)
+                        names.append(name)
+                        sizes.append(e - at)
+                        if name not in seen:
+                            seen.add(name)
+                            chunks.append((name, b"\2" + half[2 * at : 2 * e] if half else b"\4" + part))
+                        at = e
+                    recipes.append((b"".join(names), sizes))
                 if len(seen) > HELD // 16:
                     seen.clear()
-                recipes.append((b"".join(names), sizes))
             none, n = pa.nulls(len(chunks), b.column(0).type), len(recipes)
             columns = [
                 pa.concat_arrays([b.column(0), none]),
                 pa.array([r[0] for r in recipes] + [None] * len(chunks), pa.binary()),
                 pa.array([r[1] for r in recipes] + [None] * len(chunks), pa.list_(pa.int32())),
                 pa.array([None] * n + [c[0] for c in chunks], pa.binary()),
-                pa.array([None] * n + [halves(c[1]) for c in chunks], pa.binary()),
+                pa.array([None] * n + [c[1] for c in chunks], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digests", "sizes", "digest", "payload"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digests binary, sizes array<int>, digest binary, payload binary")
 
 
-def halves(data: bytes) -> bytes:
-    """For the way over the network: the low halves alone where all ids are under 65,536, after a mark."""
-    ids = np.frombuffer(data, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65_536 else b"\4" + data
-
-
 def unhalved(data: bytes) -> bytes:
+    """A chunk's ids after their way over the network: low halves alone (mark 2) where all ids near it are under 65,536, else whole (4)."""
     return np.frombuffer(data[1:], "<u2").astype("<u4").tobytes() if data[:1] == b"\2" else data[1:]
 
 

@@ -88,6 +88,12 @@ class Encoder:
         self.used += total
 
     def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        for ids, bounds in self.groups(texts):
+            for a, b in itertools.pairwise(bounds.tolist()):
+                yield ids[a:b]
+
+    def groups(self, texts: pa.Array | list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of some texts in turn, and where each text's begin and end among them."""
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         texts = texts.fill_null("") if texts.null_count else texts
         ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
@@ -95,10 +101,10 @@ class Encoder:
         lo = 0
         while lo < len(texts):
             hi = min(len(texts), int(np.searchsorted(ends, ends[lo] + GROUP_BYTES)) + 1)
-            yield from self._group(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+            yield self._group(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
             lo = hi
 
-    def _group(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    def _group(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(cut_marks(data, bounds, self.stops))
         own = np.searchsorted(starts, bounds)
         places = np.append(starts, len(data))
@@ -119,9 +125,15 @@ class Encoder:
         row = np.array(at, np.int64)[chunks.indices.to_numpy()]
         n = self.size[row]
         ends = np.append(0, np.cumsum(n))
-        ids = self.flat[np.repeat(self.start[row] - ends[:-1], n) + np.arange(ends[-1])]
-        for a, b in itertools.pairwise(ends[own].tolist()):
-            yield ids[a:b]
+        return self.flat[np.repeat(self.start[row] - ends[:-1], n) + np.arange(ends[-1])], ends[own]
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts, each followed by end_id."""
+    moved = bounds + np.arange(len(bounds))
+    out = np.full(int(moved[-1]), end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = ids
+    return out, moved
 
 
 def byte_letters() -> dict[int, str]:
