@@ -28,7 +28,7 @@ IS_SPACE = np.isin(np.arange(256), np.frombuffer(b"\t\n\v\f\r ", np.uint8))
 IS_STOP = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 IS_PLAIN = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])  # no normaliser gives these a mark at the end
 IS_LATIN = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])  # after 0xC3: letters as plain
-MOST_STOPS, MEMO, GROUP_BYTES = 8, 800_000, 2_000_000
+MOST_STOPS, MEMO, GROUP_BYTES = 8, 800_000, 8_000_000
 _encoders: dict = {}
 
 
@@ -110,10 +110,10 @@ class Encoder:
         places = np.append(starts, len(data))
         if not self.blanks:
             keep = ~IS_SPACE[data]
-            places = np.append(0, np.cumsum(keep))[places]
+            places = np.append(np.int32(0), np.cumsum(keep, dtype=np.int32))[places]
             data = data[keep]
         chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = list(map(self.rows.get, distinct))
         if None in at:
             new = [c for c, i in zip(distinct, at, strict=True) if i is None]
@@ -125,7 +125,9 @@ class Encoder:
         row = np.array(at, np.int64)[chunks.indices.to_numpy()]
         n = self.size[row]
         ends = np.append(0, np.cumsum(n))
-        return self.flat[np.repeat(self.start[row] - ends[:-1], n) + np.arange(ends[-1])], ends[own]
+        at = np.repeat((self.start[row] - ends[:-1]).astype(np.int32), n)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return self.flat[at], ends[own]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,17 +162,17 @@ def library_encoder(path: str) -> Encoder:
         normalise = t.normalizer.normalize_str if t.normalizer else str
         lower = normalise("A") == "a"
         keep_space = split(" a")[0][0][1:] == "a"
-        shown = byte_letters()
+        shown, latin = byte_letters(), re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch  # composed letters with simple lower case
 
         def ids(chunk: str) -> list[int]:
             blank = chunk[:1] == " "
             word = chunk[1:] if blank else chunk
-            if word.isalpha():
-                if word.isascii():
-                    return [x.id for x in tokenize(("Ġ" if keep_space and blank else "") + (word.lower() if lower else word))]
+            if latin(word):
+                word = word.lower() if lower else word
+            elif word.isalpha():
                 word = normalise(word)
             if word.isalpha():  # still so: lower case may add marks
-                word = word.encode().decode("latin-1").translate(shown)
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(shown)
                 return [x.id for x in tokenize("Ġ" + word if keep_space and blank else word)]
             if special(chunk):
                 return t.encode(chunk, add_special_tokens=False).ids
