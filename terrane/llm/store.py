@@ -8,9 +8,9 @@ document's first id in the whole stream. Manifests are Merkle trees: a document
 has the root of its chunk digests, a part file the root of its documents, and
 the store the root of its parts. Readers recompute all of them from the files.
 
-Layout: chunks/ (digest, n, payload: little-endian unsigned 32-bit ids, zstd),
-recipes/ (part, place, doc_id, start, n_tokens, digests, root), manifest/
-(part, first, documents, tokens, root).
+Layout: data/kind=chunk/ (digest, payload: see whole()), data/kind=recipe/
+(doc_id, digests, sizes), recipes/ (part, place, doc_id, start, n_tokens,
+digests, root), manifest/ (part, first, documents, tokens, root).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,28 +31,26 @@ from terrane.llm.words import library_encoder, with_end
 WINDOW, MASK, LEAST, MOST, HELD = 16, np.uint64(0x1FF << 40), 64, 4096, 16 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** (1 - i), modulo 2 ** 64."""
-    if not _powers or len(_powers["up"]) < n:
-        up, down = np.full(2 * n, BASE), np.full(2 * n, INVERSE)
-        up[0], down[0] = 1, BASE
-        _powers.update(up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _powers["up"][:n], _powers["down"][:n]
+BLOCK = 1 << 17
+UP, DOWN = np.full(BLOCK + WINDOW, BASE), np.full(BLOCK + WINDOW, INVERSE)  # BASE ** i and BASE ** (1 - i), modulo 2 ** 64
+UP[0], DOWN[0] = 1, BASE
+UP, DOWN = np.multiply.accumulate(UP), np.multiply.accumulate(DOWN)
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
     """Ends of the windows whose hash, the sum of (id + 1) * BASE ** (place from 1), has MASK clear once mixed."""
-    n = max(0, len(ids) - WINDOW + 1)
-    up, down = powers(len(ids) + 1)
-    sums = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * up[: len(ids)], out=sums[1:])
-    h = (sums[WINDOW:] - sums[:n]) * down[:n]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.flatnonzero(h & MASK == 0) + WINDOW
+    found, sums = [np.zeros(0, np.int64)], np.zeros(BLOCK + WINDOW, np.uint64)
+    for at in range(0, len(ids) - WINDOW + 1, BLOCK):
+        some = ids[at : at + BLOCK + WINDOW - 1].astype(np.uint64)
+        some += np.uint64(1)
+        some *= UP[: len(some)]
+        np.cumsum(some, out=sums[1 : len(some) + 1])
+        n = len(some) - WINDOW + 1
+        h = (sums[WINDOW : WINDOW + n] - sums[:n]) * DOWN[:n]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        found.append(np.flatnonzero(h & MASK == 0) + (at + WINDOW))
+    return np.concatenate(found)
 
 
 def cuts(ids: np.ndarray, bounds: np.ndarray) -> Iterator[list[int]]:
@@ -121,10 +119,11 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = library_encoder(tokenizer), set()
         for b in batches:
-            recipes, chunks = [], []
+            row = 0
             for ids, bounds in encoder.groups(b.column(1)):
                 ids, bounds = with_end(ids, bounds, end_id)
                 data, half = ids.astype("<u4").tobytes(), ids.astype("<u2").tobytes() if ids.max() < 65_536 else None
+                digests, every, found, payloads = [], [], [], []
                 for at, ends in zip(bounds[:-1].tolist(), cuts(ids, bounds), strict=True):
                     names, sizes = [], []
                     for e in ends:
@@ -134,27 +133,30 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                         sizes.append(e - at)
                         if name not in seen:
                             seen.add(name)
-                            chunks.append((name, b"\2" + half[2 * at : 2 * e] if half else b"\4" + part))
+                            found.append(name)
+                            payloads.append(b"\2" + half[2 * at : 2 * e] if half else b"\4" + part)
                         at = e
-                    recipes.append((b"".join(names), sizes))
+                    digests.append(b"".join(names))
+                    every.append(sizes)
                 if len(seen) > HELD // 16:
                     seen.clear()
-            none, n = pa.nulls(len(chunks), b.column(0).type), len(recipes)
-            columns = [
-                pa.concat_arrays([b.column(0), none]),
-                pa.array([r[0] for r in recipes] + [None] * len(chunks), pa.binary()),
-                pa.array([r[1] for r in recipes] + [None] * len(chunks), pa.list_(pa.int32())),
-                pa.array([None] * n + [c[0] for c in chunks], pa.binary()),
-                pa.array([None] * n + [c[1] for c in chunks], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digests", "sizes", "digest", "payload"])
+                n, m = len(digests), len(found)
+                columns = [
+                    pa.concat_arrays([b.column(0).slice(row, n), pa.nulls(m, b.column(0).type)]),
+                    pa.array(digests + [None] * m, pa.binary()),
+                    pa.array(every + [None] * m, pa.list_(pa.int32())),
+                    pa.array([None] * n + found, pa.binary()),
+                    pa.array([None] * n + payloads, pa.binary()),
+                ]
+                row += n
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digests", "sizes", "digest", "payload"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digests binary, sizes array<int>, digest binary, payload binary")
 
 
-def unhalved(data: bytes) -> bytes:
-    """A chunk's ids after their way over the network: low halves alone (mark 2) where all ids near it are under 65,536, else whole (4)."""
-    return np.frombuffer(data[1:], "<u2").astype("<u4").tobytes() if data[:1] == b"\2" else data[1:]
+def whole(payload: bytes) -> bytes:
+    """A chunk's little-endian unsigned 32-bit ids: stored as low halves alone (after a 2) where all ids near it are under 65,536, else so (after a 4)."""
+    return np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes() if payload[:1] == b"\2" else payload[1:]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int) -> None:
@@ -165,17 +167,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int) -> None:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal digests are neighbours here: the first of each run is stored, compressed."""
-        last, pack = None, zstandard.ZstdCompressor(level=1)
+        """Equal digests are neighbours here: the first of each run is stored."""
+        last = None
         for b in batches:
-            keep, packed = [], []
-            for i, (name, data) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-                if name is None or name != last:
-                    keep.append(i)
-                    packed.append(None if name is None else pack.compress(unhalved(data)))
-                last = name
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(4)), pa.array(packed, pa.binary())], b.schema.names)
+            name = b.column(3)
+            if len(name):
+                other = pc.fill_null(pc.not_equal(name, pa.concat_arrays([pa.array([last], name.type), name.slice(0, len(name) - 1)])), True)
+                last = name[-1].as_py()
+                yield b.filter(other)
 
     stored = dealt.mapInArrow(once, f"doc_id {kind}, digests binary, sizes array<int>, digest binary, payload binary")
     is_chunk = F.col("digest").isNotNull()
@@ -216,11 +215,10 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     """digest, n, crc of every stored chunk, checked against its content."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             n, crc = [], []
             for name, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = unpack.decompress(payload)
+                data = whole(payload)
                 if digest(data) != name:
                     raise ValueError(f"chunk {name.hex()} does not hold what its digest says")
                 n.append(len(data) // 4)
@@ -286,21 +284,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids of every document, rebuilt from its recipe."""
     payloads = spark.read.parquet(f"{path}/data/kind=chunk").select("digest", "payload")
     joined = recipes(spark, path).join(payloads, "digest", "left")
-    whole = joined.groupBy("part", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("i", "digest", "payload"))).alias("c"))
-    kind = whole.schema["doc_id"].dataType.simpleString()
+    gathered = joined.groupBy("part", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("i", "digest", "payload"))).alias("c"))
+    kind = gathered.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             ids = []
             for c in b.column(1).to_pylist():
-                parts = [unpack.decompress(x["payload"]) for x in c]
+                parts = [whole(x["payload"]) for x in c]
                 if any(digest(p) != x["digest"] for p, x in zip(parts, c, strict=True)):
                     raise ValueError("a chunk does not hold what its digest says")
                 ids.append(np.frombuffer(b"".join(parts), "<u4").astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return whole.select("doc_id", "c").mapInArrow(run, f"doc_id {kind}, ids array<long>")
+    return gathered.select("doc_id", "c").mapInArrow(run, f"doc_id {kind}, ids array<long>")
 
 
 def store_and_check(docs: DataFrame, tokenizer: str, *, end_id: int) -> DataFrame:
