@@ -97,19 +97,37 @@ def multiply(a: int, b: int) -> int:
         b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
 
 
-def join_crc(first: int, second: int, shift: int) -> int:
-    """CRC-32 of two byte strings in turn, from theirs; shift: x to the power of the second's bits."""
-    return (multiply(shift, first) if first else 0) ^ second
+def multiply_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """multiply() of whole arrays (uint32)."""
+    out, b = np.zeros_like(b), b.copy()
+    for bit in range(31, -1, -1):
+        out ^= b * (a >> np.uint32(bit) & np.uint32(1))
+        b = b >> np.uint32(1) ^ (b & np.uint32(1)) * np.uint32(0xEDB88320)
+    return out
 
 
-def shifts(most: int) -> list[int]:
-    """x ** (32 n) modulo the polynomial, for n ids of 4 bytes."""
-    out, step = [1 << 31], 1 << 31
+def shifts(n: int, step: int) -> np.ndarray:
+    """x ** (32 step i) modulo the polynomial, for the first n i: what `step` ids of 4 bytes move a checksum by, i times."""
+    unit = 1 << 31
     for _ in range(32):
-        step = (step >> 1) ^ 0xEDB88320 if step & 1 else step >> 1
-    for _ in range(most):
-        out.append(multiply(out[-1], step))
-    return out
+        unit = (unit >> 1) ^ 0xEDB88320 if unit & 1 else unit >> 1
+    times = 1 << 31
+    while step:
+        times = multiply(times, unit) if step & 1 else times
+        unit, step = multiply(unit, unit), step >> 1
+    out = [1 << 31]
+    while len(out) < n:
+        out.append(multiply(out[-1], times))
+    return np.array(out[:n], np.uint32)
+
+
+def joined_crcs(sizes: np.ndarray, crcs: np.ndarray, bounds: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """CRC-32 of each document from those of its chunks: each moved past the ids behind it, then added."""
+    ends = np.append(0, np.cumsum(sizes))
+    behind = np.repeat(ends[bounds[1:]], np.diff(bounds)) - ends[1:]
+    high = shifts(int(behind.max()) // len(low) + 1, len(low)) if len(behind) else low
+    moved = multiply_all(crcs.astype(np.uint32), multiply_all(low[behind % len(low)], high[behind // len(low)]))
+    return np.bitwise_xor.reduceat(moved, bounds[:-1]) if len(moved) else moved
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -260,21 +278,22 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
     Each chunk is read and checked once where it lies; a document's CRC-32 is
     joined from its chunks', so no ids move.
     """
-    powers = shifts(MOST)
+    low = shifts(MOST, 1)
     joined = recipes(spark, path).join(chunks(spark, path), "digest", "left")
     parts = joined.groupBy("part", "place").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("i", "size", "crc"))).alias("c"), F.count("*").alias("k"), F.count("crc").alias("found"))
     kind = parts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for c, n, k, found in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                if k != found or sum(x["size"] for x in c) != n:
-                    raise ValueError("a document's chunks are missing or of other sizes")
-                crc = 0
-                for x in c:
-                    crc = join_crc(crc, x["crc"], powers[x["size"]])
-                out.append(crc)
+            c, tokens = b.column(3), b.column(2).to_numpy()
+            bounds = np.append(0, np.cumsum(c.value_lengths().to_numpy()))
+            chunk = c.flatten()
+            if not b.column(4).equals(b.column(5)) or chunk.field("size").null_count:
+                raise ValueError("a document's chunks are missing")
+            sizes = chunk.field("size").to_numpy().astype(np.int64)
+            if len(c) and (np.add.reduceat(sizes, bounds[:-1]) != tokens).any():
+                raise ValueError("a document's chunks are of other sizes")
+            out = joined_crcs(sizes, chunk.field("crc").to_numpy(), bounds, low).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return parts.select("doc_id", "start", "n_tokens", "c", "k", "found").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
