@@ -28,7 +28,7 @@ IS_SPACE = np.isin(np.arange(256), np.frombuffer(b"\t\n\v\f\r ", np.uint8))
 IS_STOP = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 IS_PLAIN = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])  # no normaliser gives these a mark at the end
 IS_LATIN = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])  # after 0xC3: letters as plain
-MOST_STOPS, MEMO, GROUP_BYTES = 8, 1_200_000, 8_000_000
+MOST_STOPS, MEMO, GROUP_BYTES = 8, 1_200_000, 4_000_000
 _encoders: dict = {}
 
 
