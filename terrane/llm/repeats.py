@@ -25,6 +25,7 @@ from terrane.llm.common import Scratch
 
 GRAM, BLOCK, BATCH, HELD = 32, 1 << 19, 3 << 19, 32 << 20
 BASE = 0x9E3779B97F4A7C15
+PLACES = np.uint64(0xFFFFF)
 _powers: dict = {}
 
 
@@ -49,14 +50,14 @@ def fragments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
         h = (sums[GRAM:] - sums[:-GRAM]) * down[: len(part) - GRAM + 1]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        # Among equal hashes the last place wins; the low bits only tell places of one name apart.
-        h = (h & np.uint64(0xFFFFFFFFFFFF0000)) | (np.uint64(0xFFFF) - (np.arange(lo, lo + len(h), dtype=np.uint64) & np.uint64(0xFFFF)))
+        # Among equal hashes the last place wins; the low bits only tell places of one name apart: BLOCK + length <= 2 ** 20.
+        h = (h & ~PLACES) | (PLACES - np.arange(len(h), dtype=np.uint64))
         n = len(h) - w + 1
         rows = np.concatenate([h, np.full(-len(h) % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
         ahead = np.minimum.accumulate(rows, 1).ravel()[w - 1 : w - 1 + n]
         least = np.minimum(np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()[:n], ahead)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        names.append((least[first] >> np.uint64(16)).astype(np.int64))
+        names.append((least[first] >> np.uint64(20)).astype(np.int64))
         firsts.append(first + lo)
         counts.append(np.diff(np.r_[first, n]))
     if not names:

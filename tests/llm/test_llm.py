@@ -75,6 +75,15 @@ def test_repeats(docs):
     assert repeats.without_repeats(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("seed", [61, 86, 95])
+def test_repeats_across_byte_65536(spark, seed):
+    rng = random.Random(seed)
+    line, head, tail = (rng.randbytes(n).hex() for n in (50, 32_700, 200))
+    text = head + 3 * line + tail  # the line's windows at 65,400 and 65,500 are equal, all others differ
+    got = repeats.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert tuple(got) == (1, len(text), 300, 1, hashlib.sha256((head + tail).encode()).hexdigest())
+
+
 def test_bwt_against_counts():
     rng = random.Random(1)
     for _ in range(30):
