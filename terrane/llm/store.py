@@ -212,21 +212,28 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int) -> None:
 
     numbered = ordered.mapInArrow(number, f"doc_id {kind}, digests binary, sizes array<int>, n_tokens long, inner long, place long, root binary")
     numbered.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
-    parts = spark.read.parquet(f"{path}/recipes").select("part", "place", "n_tokens", "root")
+    made = part_roots(spark, path)
+    first, rows = 0, []
+    for part, documents, tokens, root in made:
+        rows.append((part, first, documents, tokens, bytes(root)))
+        first += tokens
+    rows.append((-1, 0, sum(r[2] for r in rows), first, merkle([r[4] for r in rows])))
+    spark.createDataFrame(rows, "part int, first long, documents long, tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def part_roots(spark: SparkSession, path: str) -> list:
+    """part, documents, tokens, root of each recipe file, from its rows in order of place."""
+    parts = spark.read.parquet(f"{path}/recipes").select("part", "place", "inner", "n_tokens", "root")
 
     def roots(key: tuple, some):
         import pandas as pd
 
         some = some.sort_values("place")
+        if (some["n_tokens"].cumsum() - some["n_tokens"] != some["inner"]).any():
+            raise ValueError(f"the recipes of part {key[0]} do not follow each other")
         return pd.DataFrame({"part": [key[0]], "documents": [len(some)], "tokens": [int(some["n_tokens"].sum())], "root": [merkle([bytes(r) for r in some["root"]])]})
 
-    made = sorted(parts.groupBy("part").applyInPandas(roots, "part int, documents long, tokens long, root binary").collect())  # a row for each file
-    first, rows = 0, []
-    for part, documents, tokens, root in made:
-        rows.append((part, first, documents, tokens, bytes(root)))
-        first += tokens
-    rows.append((-1, 0, sum(r[2] for r in rows), first, merkle([r[4] for r in rows])))
-    spark.createDataFrame(rows, "part int, first long, documents long, tokens long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    return sorted(parts.groupBy("part").applyInPandas(roots, "part int, documents long, tokens long, root binary").collect())  # a row for each file
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -248,9 +255,16 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with their start in the whole stream, roots checked; one row per document and chunk: part, place, doc_id, start, n_tokens, i, digest."""
-    manifest = {r["part"]: (r["first"], r["documents"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/manifest").collect()}
-    if merkle([manifest[p][2] for p in sorted(manifest) if p >= 0]) != manifest[-1][2]:
+    manifest = {r["part"]: (r["first"], r["documents"], r["tokens"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/manifest").collect()}
+    if merkle([manifest[p][3] for p in sorted(manifest) if p >= 0]) != manifest[-1][3]:
         raise ValueError("the manifest's parts do not give its root")
+    first, found = 0, {}
+    for part, documents, tokens, root in part_roots(spark, path):
+        found[part] = (first, documents, tokens, bytes(root))
+        first += tokens
+    found[-1] = (0, sum(x[1] for x in found.values()), first, manifest[-1][3])
+    if wrong := sorted(p for p in manifest.keys() | found.keys() if manifest.get(p) != found.get(p)):
+        raise ValueError(f"the recipes of parts {wrong} are not those of the manifest (-1: the whole store)")
     rows = spark.read.parquet(f"{path}/recipes")
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("terrane.llm")
 import public_tokenizers as P
@@ -142,6 +144,35 @@ def test_store(docs, spark, tmp_path):
     assert {r[0]: r[1] for r in store.read(spark, path).collect()} == {d: v[3] for d, v in want.items()}
 
 
+@pytest.mark.parametrize("harm", ["lost file", "lost row", "exchanged rows", "wrong counts"])
+def test_store_misses_nothing(docs, spark, tmp_path, harm):
+    path, bad = str(tmp_path / "store"), str(tmp_path / "new")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts
+    try:
+        store.write(docs, path, P.path("word_bpe_49k.json"), end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.summary(spark, path).count() == docs.count()
+    rows, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    part = rows.groupBy("part").agg(F.countDistinct("root").alias("n")).orderBy(F.desc("n")).first()["part"]
+    own = F.col("part") == part
+    places = [r["place"] for r in rows.where(own).orderBy("place").collect()]
+    other = F.when(own & (F.col("place") == places[0]), places[-1]).when(own & (F.col("place") == places[-1]), places[0]).otherwise(F.col("place"))
+    if harm == "wrong counts":
+        manifest.withColumn("documents", F.col("documents") + 1).write.parquet(bad)
+        part_of = "manifest"
+    else:
+        kept = {"lost file": rows.where(~own), "lost row": rows.where(~own | (F.col("place") != places[-1])), "exchanged rows": rows.withColumn("place", other)}[harm]
+        kept.write.partitionBy("part").parquet(bad)
+        part_of = "recipes"
+    shutil.rmtree(f"{path}/{part_of}")
+    shutil.move(bad, f"{path}/{part_of}")
+    with pytest.raises(Exception, match="not those of the manifest|do not follow each other"):
+        store.summary(spark, path).collect()
+    with pytest.raises(Exception, match="not those of the manifest|do not follow each other"):
+        store.read(spark, path).collect()
+
+
 def test_counts():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
