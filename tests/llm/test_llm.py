@@ -144,6 +144,22 @@ def test_store(docs, spark, tmp_path):
     assert {r[0]: r[1] for r in store.read(spark, path).collect()} == {d: v[3] for d, v in want.items()}
 
 
+def test_packing_of_turns(spark):
+    rng = random.Random(3)
+    rows = [(c, t, ("user", "assistant")[t % 2], " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 40)))) for c in range(12) for t in range(4)]
+    turns = packing.turns_of(spark.createDataFrame([*rows, (12, 0, "assistant", None)], "conv_id long, turn int, role string, text string"), P.path("byte_bpe_50k.json"), end_id=1, most=32)
+    want = Counter((tuple(r["doc_id"]), r["start"], r["length"], r["length"] * (r["doc_id"]["role"] == "assistant")) for r in turns.collect())
+    most = {}
+    for loss in (40, 2048):
+        got = packing.pack(turns, loss=loss).collect()
+        assert Counter((tuple(r["doc_id"]), r["start"], r["length"], r["loss_tokens"]) for r in got) == want
+        borne = Counter()
+        for r in got:
+            borne[r["sequence_id"]] += r["loss_tokens"]
+        most[loss] = max(borne.values())
+    assert most[40] <= 40 < most[2048]
+
+
 @pytest.mark.parametrize("harm", ["lost file", "lost row", "exchanged rows", "wrong counts"])
 def test_store_misses_nothing(docs, spark, tmp_path, harm):
     path, bad = str(tmp_path / "store"), str(tmp_path / "new")
