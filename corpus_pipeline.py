@@ -27,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group stays."""
+    """The smallest doc_id of each near-duplicate group stays; links are op3's (README: what they miss)."""
     groups = simhash.near_dedup(docs, far=4, shingle=4).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = groups.select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
