@@ -45,7 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", clean), ("exact dedup", exact), ("SimHash near-dedup", near), ("suffix-array dedup", passages), ("packing", packed)]
-#: Trained scores, fingerprints and tokens are outside SQL; tests/llm compares the stages with brute force.
+#: Trained scores, fingerprints and tokens are outside SQL; tests/llm/test_pipeline.py compares all stages but the toxicity scores, and run(), with brute force.
 ORACLE_SQL = None
 
 
