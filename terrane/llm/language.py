@@ -1,6 +1,7 @@
 """Language id by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of one fixed public vocabulary.
+Each language has a probability for every piece of at most `MAX_PIECE`
+characters of one fixed public vocabulary; longer ones are left out (README).
 A word's probability is the sum over all its segmentations into pieces, by a
 forward algorithm; a text's is the product over its words. Piece probabilities
 come from expectation-maximisation over the word counts of a bounded sample
