@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, *, per_class: tuple[int, in
     for y, n in counts.items():
         share = F.when(F.col("_y") == y, min(1_000_000, int(1_000_000 * per_class[y] / max(n, 1)) + 1)).otherwise(share)
     sample = known.where(part < share)
-    rows = docs.select("doc_id", "text").where(allowed).join(sample, "doc_id").select("doc_id", "text", "_y")
+    # About sum(per_class) ids, whatever the input: small enough to broadcast, so no text is shuffled.
+    rows = docs.select("doc_id", "text").where(allowed).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y")
     rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] or "" for r in rows], [r["_y"] for r in rows], **how)
 
