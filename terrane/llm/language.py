@@ -1,19 +1,18 @@
 """Language id by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of at most `MAX_PIECE`
-characters of one fixed public vocabulary; longer ones are left out (README).
-A word's probability is the sum over all its segmentations into pieces, by a
-forward algorithm; a text's is the product over its words. Piece probabilities
-come from expectation-maximisation over the word counts of a bounded sample
-(`per_language` documents of each language, by hash of the id); prediction
-reads every text whole. A character that the vocabulary lacks is a piece of
-its own with a floor probability. Words are runs without white space, cut
-every `MAX_WORD` characters.
+Each language has a probability for every ordinary piece of one fixed public
+vocabulary. A word's probability is the sum over all its segmentations into
+pieces, by a forward algorithm; a text's is the product over its words. Piece
+probabilities come from expectation-maximisation over the word counts of a
+bounded sample (`per_language` documents and `characters` of text of each
+language, by hash of the id, without words over `longest_word` characters);
+prediction reads every text and every word whole, in scaled sums that do not
+underflow. A character that the vocabulary lacks is a piece of its own with a
+floor probability. Words are runs without (Unicode) white space.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,24 +22,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORD, MAX_PIECE, MEMO_WORDS, GROUP_CHARS = 48, 8, 400_000, 2_000_000
+MEMO_CELLS, CELLS, WINDOW, SCALE_EVERY, GROUP_CHARS = 1_600_000, 400_000, 2048, 16, 2_000_000
 FLOOR = 1e-9
 MARK = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+#: Fixed: what Python's str.split() takes for white space.
+BLANKS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _memo: dict = {}
 
 
 def load_pieces(path: str) -> list[str]:
-    """Pieces of a sentencepiece model, without control and byte pieces; the mark is a word's start."""
+    """All pieces of a sentencepiece model but control and byte pieces; the mark is a word's start."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(sp.get_piece_size())
-    return [p for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and len(p := sp.id_to_piece(i)) <= MAX_PIECE]
-
-
-def cut(word: str) -> list[str]:
-    return [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)] if len(word) > MAX_WORD else [word]
+    return [sp.id_to_piece(i) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
 
 
 class Pieces:
@@ -49,6 +45,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         size = 1 << max(4, (8 * len(pieces)).bit_length())
         self.count, self.mask = len(pieces), np.uint64(size - 1)
+        self.longest = max(map(len, pieces), default=1)
         self.key, self.value = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         for i, p in enumerate(pieces):
             h = np.zeros(1, np.uint64)
@@ -79,25 +76,35 @@ class Pieces:
             slot = (slot + np.uint64(1)) & self.mask
         return out
 
-    def lattice(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """arcs[n - 1][word, start]: the piece of n characters there; lengths. A lone unknown character is piece `count`."""
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of the marked words, a row each, and their lengths."""
         marked = [MARK + w for w in words]
         lengths = np.array([len(w) for w in marked])
         width = int(lengths.max(initial=1))
-        codes = np.frombuffer("".join(w.ljust(width, "\0") for w in marked).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width).astype(np.uint64)
-        arcs, h = [], np.zeros(codes.shape, np.uint64)
-        inside = np.arange(width)[None, :] < lengths[:, None]
-        for n in range(1, min(MAX_PIECE, width) + 1):
-            h = self.step(h[:, : width - n + 1], codes[:, n - 1 :])
-            found = np.where(inside[:, n - 1 :], self.find(h), self.count + 1)
+        raw = "".join(w.ljust(width, "\0") for w in marked).encode("utf-32-le", "surrogatepass")
+        return np.frombuffer(raw, np.uint32).reshape(-1, width), lengths
+
+    def arcs(self, codes: np.ndarray, lengths: np.ndarray, lo: int = 0, hi: int | None = None) -> list[np.ndarray]:
+        """For n from 1, at [word, start - lo] the piece of n characters that starts there (count + 1: none; count: a lone unknown character)."""
+        width = codes.shape[1]
+        hi = width if hi is None else min(hi, width)
+        part = codes[:, lo : min(width, hi + self.longest - 1)].astype(np.uint64)
+        h, out = np.zeros((len(codes), hi - lo), np.uint64), []
+        left = lengths[:, None] - lo - np.arange(hi - lo)[None, :]
+        for n in range(1, min(self.longest, part.shape[1]) + 1):
+            w = min(hi - lo, part.shape[1] - n + 1)
+            h = self.step(h[:, :w], part[:, n - 1 : n - 1 + w])
+            fits = left[:, :w] >= n
+            found = np.full(h.shape, self.count + 1, np.int32)
+            found[fits] = self.find(h[fits])
             if n == 1:
-                found = np.where(inside & (found > self.count), self.count, found)
-            arcs.append(found)
-        return arcs, lengths
+                found[fits & (found > self.count)] = self.count
+            out.append(found)
+        return out
 
 
 def forward(arcs: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
-    """alpha[position, word, language]: sums over all segmentations (doubles hold those of short words)."""
+    """alpha[position, word, language]: sums over all segmentations (doubles hold those of training's short words)."""
     words, width = arcs[0].shape
     alpha = np.zeros((width + 1, words, prob.shape[1]))
     alpha[0] = 1
@@ -127,32 +134,71 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
-        parts = [(k, c) for k, w in enumerate(words) for c in cut(w)]
         out = np.zeros((len(words), len(self.languages)))
-        by_size = sorted(range(len(parts)), key=lambda i: len(parts[i][1]))
-        for lo in range(0, len(by_size), 1024):
-            some = [parts[i] for i in by_size[lo : lo + 1024]]
-            texts = [c for _, c in some]
-            arcs, lengths = self.pieces.lattice(texts)
-            alpha = forward(arcs, self.prob)
-            np.add.at(out, [k for k, _ in some], np.log(np.maximum(alpha[lengths, np.arange(len(texts))], 1e-300)))
+        by_size, lo = sorted(range(len(words)), key=lambda i: len(words[i])), 0
+        cells = max(WINDOW, CELLS // max(1, len(self.languages)))
+        while lo < len(by_size):
+            hi, least = lo + 1, len(words[by_size[lo]])
+            while hi < len(by_size) and len(words[by_size[hi]]) <= least * 5 // 4 + 2 and (hi - lo + 1) * min(WINDOW, len(words[by_size[hi]]) + 1) <= cells:
+                hi += 1
+            some = by_size[lo:hi]
+            out[some] = self.forward_scores([words[i] for i in some])
+            lo = hi
+        return out
+
+    def forward_scores(self, words: list[str]) -> np.ndarray:
+        """The forward sums' logarithms for words of about one length, any length.
+
+        Start places are taken in windows; each pushes its sum along its arcs. Every
+        SCALE_EVERY places the open sums of a word and language are divided by their largest.
+        """
+        codes, lengths = self.pieces.codes(words)
+        width, reach, none = codes.shape[1], self.pieces.longest, self.pieces.count + 1
+        shape = (len(words), len(self.languages))
+        out, scale = np.zeros(shape), np.zeros(shape)
+        open_ = np.zeros((reach, *shape))
+        open_[0] = 1
+        for lo in range(0, width + 1, WINDOW):
+            hi = min(width, lo + WINDOW)
+            arcs = self.pieces.arcs(codes, lengths, lo, hi) if hi > lo else []
+            some = [(a != none).sum(0).tolist() for a in arcs]
+            alpha = np.concatenate([open_, np.zeros((hi - lo + 1, *shape))])
+            for i in range(lo, min(width + 1, lo + WINDOW)):
+                at = i - lo
+                if i and i % SCALE_EVERY == 0:
+                    top = alpha[at : at + reach].max(0)
+                    top[top <= 0] = 1
+                    alpha[at : at + reach] /= top
+                    scale += np.log(top)
+                ended = np.flatnonzero(lengths == i)
+                if len(ended):
+                    out[ended] = np.log(alpha[at, ended]) + scale[ended]
+                for n, (found, found_some) in enumerate(zip(arcs, some, strict=True), 1):
+                    if at >= found.shape[1] or not found_some[at]:
+                        continue
+                    if 4 * found_some[at] < len(words):
+                        rows = np.flatnonzero(found[:, at] != none)
+                        alpha[at + n, rows] += alpha[at, rows] * self.prob[found[rows, at]]
+                    else:
+                        alpha[at + n] += alpha[at] * self.prob[found[:, at]]
+            open_ = alpha[hi - lo : hi - lo + reach]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n = len(self.languages)
         if _memo.get("key") != self.key:
             _memo.clear()
-            _memo.update(key=self.key, rows={}, values=np.zeros((MEMO_WORDS, n)))
-        rows, values = _memo["rows"], _memo["values"]
+            _memo.update(key=self.key, rows={}, values=np.zeros((1024, n)))
+        rows, values, most = _memo["rows"], _memo["values"], MEMO_CELLS // max(1, n)
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
         for group in grouped(texts, GROUP_CHARS):
-            words = {k: texts[k].split() for k in group if texts[k] and LETTER.search(texts[k])} if n else {}
+            words = {k: texts[k].split() for k in group if texts[k] and any(map(str.isalpha, texts[k]))} if n else {}
             new = list({w for ws in words.values() for w in ws if w not in rows})
-            if len(rows) + len(new) > MEMO_WORDS:
+            if len(rows) + len(new) > most:
                 rows.clear()
                 new = list({w for ws in words.values() for w in ws})
-            if len(new) > len(values):
-                values = _memo["values"] = np.zeros((len(new), n))
+            if len(rows) + len(new) > len(values):
+                values = _memo["values"] = np.resize(values, (max(2 * len(values), len(rows) + len(new)), n))
             values[len(rows) : len(rows) + len(new)] = self.word_scores(new)
             rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
             for k, ws in words.items():
@@ -183,13 +229,13 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], documents: dict
     at = {lang: i for i, lang in enumerate(languages)}
     words: dict[str, np.ndarray] = {}
     for lang, word, n in counts:
-        for c in cut(word):
-            words.setdefault(c, np.zeros(len(languages)))[at[lang]] += n
+        words.setdefault(word, np.zeros(len(languages)))[at[lang]] += n
     texts = sorted(words, key=lambda w: (len(w), w))
-    blocks = [texts[i : i + 4096] for i in range(0, len(texts), 4096)]
+    blocks = [texts[i : i + 2048] for i in range(0, len(texts), 2048)]
     prob = np.full((len(pieces) + 2, len(languages)), 1 / (len(pieces) + 1))
     prob[-1] = 0
-    lattices = [index.lattice(b) for b in blocks]
+    coded = [index.codes(b) for b in blocks]
+    lattices = [(index.arcs(*c), c[1]) for c in coded]
     for _ in range(rounds):
         expected = np.full_like(prob, smooth)
         for b, (arcs, lengths) in zip(blocks, lattices, strict=True):
@@ -209,20 +255,26 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], documents: dict
     return Model(f"{zlib.crc32(prob.tobytes())}-{languages}", languages, index, prob, prior)
 
 
-def fit(docs: DataFrame, allowed: Column, pieces: list[str], *, per_language: int = 500, **how) -> Model:
-    """Learn from at most about per_language documents of each language among the rows that `allowed` admits."""
+def fit(docs: DataFrame, allowed: Column, pieces: list[str], *, per_language: int = 500, characters: int = 4_000_000, longest_word: int = 32, **how) -> Model:
+    """Learn from about per_language documents and `characters` of text of each language at most, among the rows that `allowed` admits."""
     known = docs.where(allowed & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sums = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()
     part, share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1_000_000, int(1_000_000 * per_language / n) + 1)).otherwise(share)
-    words = known.where(part < share).select("lang", F.explode(F.split("text", r"\s+")).alias("word"))
-    rows = words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
-    return train([tuple(r) for r in rows], pieces, counts, **how)
+    for r in sums:
+        most = min(1.0, per_language / r["n"], characters / max(1, r["size"] or 0))
+        share = F.when(F.col("lang") == r["lang"], min(1_000_000, int(1_000_000 * most) + 1)).otherwise(share)
+    words = known.where(part < share).select("lang", F.explode(F.split("text", f"[{BLANKS}]+")).alias("word"))
+    rows = words.where((F.col("word") != "") & (F.length("word") <= longest_word)).groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
+    return train([tuple(r) for r in rows], pieces, {r["lang"]: r["n"] for r in sums}, **how)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for every row. Null text, or one without letters: und with score 0."""
+    """doc_id, lang_pred, score for every row, repeated rows alike; an empty table gives an empty result.
+
+    Null text, or one without letters (str.isalpha), is `und` with score 0, and so is
+    all text if nothing could be learnt. Of equally probable languages the first by
+    name is taken. Texts and words of any length are scored whole.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
