@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="terrane-")
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", root)
@@ -27,11 +31,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared checkpoint folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared checkpoint folder: they cut lineage and survive lost executors.
+
+    Results read them lazily, so they stay until their owner is done: released()
+    deletes all that were made inside it.
+    """
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -39,11 +50,36 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, name: str) -> None:
-        """Delete a table that later steps no longer read, and let Spark drop finished shuffles."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        """Delete a table that later steps no longer read, and let Spark drop finished shuffles (a saving of disk, nothing depends on it)."""
+        self._delete(f"{self.path}/{name}")
+        self.spark.sparkContext._jvm.System.gc()
+
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Delete the scratch tables made inside, once what was computed from them has been written."""
+    before = len(Scratch.made)
+    try:
+        yield
+    finally:
+        for s in Scratch.made[before:]:
+            s._delete(s.path)
+        del Scratch.made[before:]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to clash with no column of df (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
