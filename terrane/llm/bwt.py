@@ -1,8 +1,9 @@
 """Merging Burrows-Wheeler transforms of shards by iterative interleave refinement.
 
-Symbols are words of `width` bytes, so that few rounds reach the wanted depth:
-a string is read as `width` chains, one for each offset modulo the width, each
-with an end mark of its own. A shard's transform lists, in suffix order, the
+Symbols are words of `width` bytes (1: the bytes themselves), so that few rounds
+reach the wanted depth: a string is read as `width` chains, one for each offset
+modulo the width, each with an end mark of its own. The words are the alphabet;
+longer common prefixes are found by merging alone. A shard's transform lists, in suffix order, the
 symbol before every suffix. To merge shards, an interleave says for each place
 of the merged order which shard its suffix is from. It starts with the shards
 in turn (suffixes sorted by no symbol) and each round sorts it stably by the
@@ -118,7 +119,7 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.
     text = np.concatenate([s.text for s in shards]).astype(np.uint32)
     ends = sum(s.ends for s in shards)
     inter = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
-    place = np.arange(len(text))
+    place, blocks = np.arange(len(text)), 0
     common = np.full(len(text), rounds, np.int32)
     if len(common):
         common[0] = 0
@@ -135,10 +136,13 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.
         new = np.r_[True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])]
         common[new & (common == rounds)] = h - 1
         block = np.cumsum(new, dtype=np.int32)
-        place = np.empty(len(text), np.int32)
+        place = np.empty(len(text), np.int64)
         for s in range(len(shards)):
             mine = np.flatnonzero(inter == s)
-            place[mine] = np.arange(base[s], base[s] + len(mine), dtype=np.int32)
+            place[mine] = np.arange(base[s], base[s] + len(mine))
+        if len(block) and block[-1] == blocks:
+            break  # a round that parts no block leaves nothing for later ones
+        blocks = block[-1] if len(block) else 0
     return inter, place, common
 
 

@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.bwt import repeated
-from terrane.llm.common import Scratch
+from terrane.llm.common import Scratch, fresh
 
-GRAM, BLOCK, BATCH, HELD = 32, 1 << 19, 3 << 19, 32 << 20
+GRAM, BLOCK, BATCH, HELD, WORD = 32, 1 << 19, 3 << 19, 32 << 20, 8
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64(0xFFFFF)
 _powers: dict = {}
@@ -69,10 +69,11 @@ def raw(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """A row's key is its id (null: the least long) and a hash of its text: rows alike in both are alike in their repeats."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_t": F.xxhash64(text)})
+def keys(docs: DataFrame) -> tuple[Column, Column]:
+    """A row's key is its id (a hash, if that is no integer; null: the least long) and a hash of its text: rows alike in both are alike in their repeats."""
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    own = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return F.coalesce(own, F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def name_fragments(docs: DataFrame, length: int) -> DataFrame:
@@ -127,15 +128,7 @@ def find_repeats(pieces: DataFrame, length: int, width: int) -> DataFrame:
     """From (name, digest, n, count, bytes), the fragments that hold repeats: name, digest, runs of places (first, end, first, end ...)."""
 
     def solve(batch: dict) -> list[tuple]:
-        out, groups = [], {}
-        for (name, digest), (n, count, piece) in batch.items():
-            groups.setdefault(name, []).append((digest, n, count, piece))
-        todo = []
-        for name, group in groups.items():
-            if len(group) > 1:
-                todo += [(name, *x) for x in group]
-            elif group[0][2] > 1:  # nothing to compare: every place of a fragment with copies repeats
-                out.append((name, group[0][0], [0, group[0][1]]))
+        out, todo = [], [(name, digest, *x) for (name, digest), x in batch.items()]
         if todo:
             names, digests, n, count, piece = zip(*todo, strict=True)
             flags = repeated(list(piece), np.array(count), np.array(n), length, width)
@@ -171,11 +164,15 @@ def find_repeats(pieces: DataFrame, length: int, width: int) -> DataFrame:
     return ordered.mapInArrow(run, "name long, digest binary, runs array<int>")
 
 
-def repeat_spans(docs: DataFrame, scratch: Scratch, *, length: int = 200, width: int = 40) -> DataFrame:
-    """From keyed documents: _d, _t and the sorted, disjoint byte spans (a, b) to remove, for those that have any."""
+def repeat_spans(docs: DataFrame, scratch: Scratch, *, length: int = 200, width: int = WORD) -> DataFrame:
+    """From (_d, _t, text): _d, _t and the sorted byte spans (a, b) to remove, for those that have any.
+
+    Rows of one key have the same fragments; sets list them once, so that the work
+    grows with the rows, not with their square.
+    """
     names = scratch.keep(name_fragments(docs, length), "names")
     shared = names.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    listed = names.join(shared, "name").groupBy("_d", "_t").agg(F.collect_list(F.struct("name", "first", "n")).alias("names"))
+    listed = names.join(shared, "name").groupBy("_d", "_t").agg(F.collect_set(F.struct("name", "first", "n")).alias("names"))
     held = docs.select("_d", "_t", "text").join(listed, ["_d", "_t"])
     cut = scratch.keep(cut_fragments(held, length), "cut")
     scratch.free("names")
@@ -183,7 +180,7 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, *, length: int = 200, width:
     uses = cut.where(F.col("bytes").isNull()).select("name", "digest", "_d", "_t", "first")
     runs = uses.join(found, ["name", "digest"])
     spans = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)), lambda i: F.struct((F.col("first") + F.get("runs", i)).alias("a"), (F.col("first") + F.get("runs", i + 1) + length - 1).alias("b")))
-    spans = scratch.keep(runs.select("_d", "_t", spans.alias("s")).groupBy("_d", "_t").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")), "spans")
+    spans = scratch.keep(runs.select("_d", "_t", spans.alias("s")).groupBy("_d", "_t").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("spans")), "spans")
     scratch.free("cut")
     scratch.free("found")
     return spans
@@ -212,19 +209,23 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def with_spans(docs: DataFrame, length: int, width: int) -> DataFrame:
-    held = keyed(docs)
-    spans = repeat_spans(held, Scratch(docs.sparkSession, "repeats"), length=length, width=width)
-    return held.join(spans, ["_d", "_t"], "left")
+def with_spans(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, str]:
+    """The documents with one more column of spans, and its name."""
+    own, text = keys(docs)
+    keyed = docs.select(own.alias("_d"), text.alias("_t"), "text")
+    spans = repeat_spans(keyed, Scratch(docs.sparkSession, "repeats"), length=length, width=width)
+    d, t, s = fresh(docs, "row_id", "row_text", "row_spans")
+    joined = docs.withColumns({d: own, t: text}).join(spans.toDF(d, t, s), [d, t], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], s), s
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200, width: int = 40) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 200, width: int = WORD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row, in bytes of UTF-8.
 
     A byte goes when a `length`-byte string that covers it starts anywhere else in
     the table, the same text included. Null is empty; texts under `length` bytes
     lose nothing. Rows of one id and text are separate documents that repeat each
-    other.
+    other. An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -242,12 +243,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, width: int = 40) -> Da
             columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = with_spans(docs.select("doc_id", "text"), length, width).select("doc_id", "text", "spans")
+    found, _ = with_spans(docs.select("doc_id", "text"), length, width)
     return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, *, length: int = 200, width: int = 40) -> DataFrame:
-    """The documents with their repeated passages cut out of `text` (never through a character); other columns stay."""
+def without_repeats(docs: DataFrame, *, length: int = 200, width: int = WORD) -> DataFrame:
+    """The documents with their repeated passages cut out of `text` (never through a character); other columns stay, whatever their names."""
     schema, place = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,4 +263,4 @@ def without_repeats(docs: DataFrame, *, length: int = 200, width: int = 40) -> D
             columns = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(b.columns[: len(schema)])]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return with_spans(docs, length, width).select(*[F.col(c) for c in schema.names], "spans").mapInArrow(run, schema)
+    return with_spans(docs, length, width)[0].mapInArrow(run, schema)
