@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): root is the smallest node reachable from each node that has an edge.
 
     edges: (u, v), either way round. Each round is two aggregations with map-side
     combining and two joins, written to shared storage; no neighbourhood is ever
-    collected, so a node may have any number of edges.
+    collected, so a node may have any number of edges. Rounds go on until one
+    changes nothing, however long the longest chain is.
     """
     both = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, state = scratch.keep(both, "stars-0"), None
-    for n in range(1, most + 1):
+    for n in itertools.count(1):
         around = now.union(now.select("v", "u"))
         low = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -31,4 +34,3 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         state = seen
-    raise RuntimeError(f"components did not settle in {most} rounds")

@@ -10,9 +10,11 @@ both fix differ in more than k places, and taken whole when no pair below can
 differ in more. What is left at the leaves is compared bit for bit.
 
 A task returns a spanning star of what it linked, not the pairs: links between
-fingerprints that are already connected are never written out. A route with
-more rows than `hot_rows` is cut into slices by hash, and every two slices meet
-in a task of their own, so no task holds an unbounded group.
+fingerprints that are already connected are never written out. It reads its
+routes in order and links some whole ones at a time. A route with more rows than
+`hot_rows` is routed again by further blocks of the bits not yet fixed, under
+the same rule, so that no link is lost: each such step fixes a third of the bits
+that are left, after three only 2 ** 19 distinct fingerprints can share a route.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Scratch
+from terrane.llm.common import Scratch, fresh
 from terrane.llm.components import components
 
 BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -53,16 +55,20 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(h)).tolist()))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, f (the 64 bits as a signed long)."""
+    """doc_id, t (a hash of the text), f (the 64 bits as a signed long)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], ["doc_id", "f"])
+            f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f)], ["doc_id", "t", "f"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f long")
+    return docs.select("doc_id", text_hash().alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, f long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -169,39 +175,79 @@ def joined_whole(forest: Forest, level: tuple, n: int) -> np.ndarray:
     return np.minimum.reduceat(r, first) == np.maximum.reduceat(r, first)
 
 
-def routes(bits: int, blocks: int, far: int) -> list[int]:
-    """Masks of the block choices, as unsigned integers."""
-    edges = [i * bits // blocks for i in range(blocks + 1)]
-    parts = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+def routes(free: int, blocks: int, far: int) -> list[int]:
+    """Masks of the choices of blocks - far blocks of the bits in `free`, as unsigned integers."""
+    bits = [i for i in range(64) if free >> i & 1]
+    edges = [i * len(bits) // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << i for i in bits[a:b]) for a, b in itertools.pairwise(edges)]
     return [sum(c) for c in itertools.combinations(parts, blocks - far)]
 
 
-def near(prints: DataFrame, scratch: Scratch, *, far: int = 4, blocks: int = 6, hot_rows: int = 1_000_000) -> DataFrame:
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def near(prints: DataFrame, scratch: Scratch, *, far: int = 4, blocks: int = 6, hot_rows: int = 1_000_000, held_rows: int = 2_000_000) -> DataFrame:
     """(u, v): links that connect all distinct prints `f` within `far` bits, directly or through others."""
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in routes(64, blocks, far)]
-    table = F.array(*[F.lit(m) for m in signed])
-    routed = prints.select("f", F.posexplode(table).alias("t", "m")).select("f", F.xxhash64("t", F.col("f").bitwiseAND(F.col("m"))).alias("g"))
-    hot = routed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
-    slices = {r["g"]: -(-r["n"] // hot_rows) for r in hot.collect()}  # at most rows / hot_rows routes
-    if slices:
-        k = F.coalesce(F.create_map(*[F.lit(x) for kv in slices.items() for x in kv])[F.col("g")], F.lit(1))
-        own = F.pmod(F.xxhash64("f", F.lit(7)), k)
-        other = F.explode(F.sequence(F.lit(0), k - 1))
-        routed = routed.select("f", "g", own.alias("own"), other.alias("o"))
-        routed = routed.select("f", F.xxhash64("g", F.least("own", "o"), F.greatest("own", "o")).alias("g"))
+    whole, level, parts = (1 << 64) - 1, [(0, 0)], []
+    open_ = prints.select("f", F.lit(0).cast("long").alias("g"), F.lit(0).alias("t"))
+    while True:
+        known, below = dict(level), []
+        for t, fixed in level:
+            below += [(t, fixed | m) for m in routes(whole & ~fixed, blocks, far)]
+        masks = {t: [(n, F.lit(signed(m))) for n, (own, m) in enumerate(below) if own == t] for t in known}
+        choice = F.lit(None)
+        for t, own in masks.items():
+            list_ = F.array(*[F.struct(F.lit(n).alias("n"), m.alias("m")) for n, m in own])
+            choice = F.when(F.col("t") == t, list_).otherwise(choice) if len(masks) > 1 else list_
+        routed = open_.select("f", F.explode(choice).alias("c")).select("f", F.col("c.n").alias("t"), F.xxhash64("c.n", F.col("f").bitwiseAND(F.col("c.m"))).alias("g"))
+        hot = routed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("g")
+        last = len(parts) == 3 or min(64 - m.bit_count() for _, m in below) < blocks
+        if last or hot.isEmpty():
+            parts.append(routed.select("f", "g"))
+            break
+        hot = scratch.keep(hot, f"hot-{len(parts)}")
+        parts.append(routed.join(hot, "g", "left_anti").select("f", "g"))
+        open_ = scratch.keep(routed.join(hot, "g", "left_semi").select("f", "g", "t"), f"routed-{len(parts)}")
+        level = [(r["t"], below[r["t"]][1]) for r in open_.select("t").distinct().collect()]  # masks, not rows: 15 at most a level above
+    routed = parts[0]
+    for p in parts[1:]:
+        routed = routed.union(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if got:
-            f, g = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(g, kind="stable")
-            f, g = f[order], g[order]
+        def answer(f: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
             shared = np.r_[False, g[1:] == g[:-1]]
             shared[:-1] |= shared[1:].copy()
             u, v = link(g[shared], f[shared].view(np.uint64), far)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return routed.repartition("g").mapInArrow(run, "u long, v long")
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+                size += b.num_rows
+            if size > held_rows:
+                f, g = (np.concatenate(x) for x in zip(*held, strict=True))
+                end = int(np.searchsorted(g, g[-1]))  # the last route may go on
+                if end:
+                    yield from answer(f[:end], g[:end])
+                held, size = [(f[end:], g[end:])], len(g) - end
+        if size:
+            yield from answer(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return routed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+
+
+def grouped(docs: DataFrame, far: int, shingle: int, **how) -> DataFrame:
+    """doc_id, t, f, root (of the component), component_id (its smallest doc_id) of every row."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.keep(fingerprints(docs, shingle), "prints")
+    distinct = scratch.keep(prints.groupBy("f").agg(F.min("doc_id").alias("low")), "distinct")
+    edges = scratch.keep(near(distinct.select("f"), scratch, far=far, **how), "edges")
+    tree = scratch.keep(components(edges, scratch), "tree")
+    rooted = distinct.join(tree, distinct["f"] == tree["node"], "left").select("f", "low", F.coalesce("root", "f").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.join(rooted.join(named, "root").select("f", "root", "component_id"), "f")
 
 
 def near_dedup(docs: DataFrame, *, far: int = 4, shingle: int = 4, **how) -> DataFrame:
@@ -209,16 +255,21 @@ def near_dedup(docs: DataFrame, *, far: int = 4, shingle: int = 4, **how) -> Dat
 
     Null and wordless texts have fingerprint zero and link like any other. A null
     doc_id is carried, and its component is named by the smallest id that is not
-    null. Every row of the input gives one row.
+    null. Every row of the input gives one row, repeated rows alike; texts of any
+    length are read whole, an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, shingle), "prints")
-    distinct = scratch.keep(prints.groupBy("f").agg(F.min("doc_id").alias("low")), "distinct")
-    edges = scratch.keep(near(distinct.select("f"), scratch, far=far, **how), "edges")
-    tree = scratch.keep(components(edges, scratch), "tree")
-    rooted = distinct.join(tree, distinct["f"] == tree["node"], "left").select("f", "low", F.coalesce("root", "f").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = rooted.join(named, "root").select("f", "component_id")
-    out = prints.join(names, "f")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, far, shingle, **how).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def drop_near_copies(docs: DataFrame, *, far: int = 4, shingle: int = 4, **how) -> DataFrame:
+    """One document of each component stays: that with its smallest id (a null one, if there is no other).
+
+    Of several rows with that id in one component, the one whose text has the least
+    hash stays, of rows alike in text either. All columns are carried, whatever
+    their names; an empty table stays empty.
+    """
+    rows = grouped(docs, far, shingle, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own, kept_id, kept_text = fresh(docs, "own_text", "kept_id", "kept_text")
+    kept = rows.groupBy("root").agg(F.first("doc_id").alias(kept_id), F.min("t").alias(kept_text)).select(kept_id, kept_text)
+    match = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_text))
+    return docs.withColumn(own, text_hash()).join(kept, match, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
