@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Scratch, partitions
+from terrane.llm.common import Scratch, fresh, partitions
 
 
 def content_sort(
@@ -69,10 +69,11 @@ def content_sort(
     )
     runs = Scratch(spark, "content-sort").keep(runs, "runs")
     heads = runs.where("salts > 1 and rank = 1").groupBy("text_sha256")
+    winner = F.max_by("salt", F.struct("run_best", -F.col("salt"))) if keep == "largest" else F.min_by("salt", F.struct(F.col("run_best").isNull(), F.col("run_best"), F.col("salt")))
     heads = heads.agg(
         best("run_best").alias("best"),
         F.sum("run_rows").alias("rows"),
-        F.min_by("salt", F.struct(F.col("run_best").isNull(), -F.col("run_best") if keep == "largest" else F.col("run_best"), F.col("salt"))).alias("winner"),
+        winner.alias("winner"),
     )
     heads = heads if hot_rows else F.broadcast(heads)
     out = runs.join(heads, "text_sha256", "left")
@@ -88,12 +89,14 @@ def content_sort(
 def drop_copies(docs: DataFrame, **how) -> DataFrame:
     """The documents without the rows that content_sort drops; every column of the input stays.
 
-    Ids are assumed unique here; of rows that share id and text one stays.
+    Of rows that share id and text one stays, of a null and an empty text with one
+    id either. Columns of any names are carried; an empty table stays empty.
     """
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    kept = content_sort(docs, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    own, kept_id, kept_sha = fresh(docs, "own_sha", "kept_id", "kept_sha")
+    kept = content_sort(docs, **how).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     normalise = how.get("normalise") or (lambda c: c)
     sha = F.sha2(normalise(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    joined = docs.withColumn("_own", sha).join(kept, match, "left_semi")
-    return joined.drop("_own").dropDuplicates([id_col, text_col])
+    match = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha))
+    joined = docs.withColumn(own, sha).join(kept, match, "left_semi")
+    return joined.dropDuplicates([id_col, own]).drop(own)
