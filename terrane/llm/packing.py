@@ -6,8 +6,10 @@ one whose demand vector has the largest weighted dot product with the bin's
 remaining room goes in, until none fits. Pieces of equal demand are one type
 with a count, so a choice is one pass over the types.
 
-Pieces are dealt by hash into blocks of bounded expected size, each packed by
-itself, so nothing is ever gathered in one place; only ids and sizes move.
+Pieces are dealt by a hash of their id and place into blocks of bounded expected
+size, each packed by itself, so nothing is ever gathered in one place; only ids
+and sizes move. The blocks follow from the number of pieces, counted in a table
+of ids and sizes that is written first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.common import Scratch, fresh
 from terrane.llm.words import library_encoder, with_end
 
 BLOCK_ROWS = 20_000
@@ -59,20 +62,22 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return bins, places
 
 
-def pack(pieces: DataFrame, *, tokens: int = 2048, segments: int = 512, loss: int = 2048, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
-    """Adds sequence_id and offset to pieces that have `length` and `loss_tokens`.
+def pack(pieces: DataFrame, *, tokens: int = 2048, segments: int = 512, loss: int = 2048, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to pieces that have doc_id, start, `length` and `loss_tokens`.
 
-    rows: about how many pieces there are, to set the number of blocks (counted if
-    not given). Every piece must respect the limits alone. An empty table packs to
-    an empty table; a null id is a piece like any other.
+    Every piece must respect the limits alone. Which pieces share a block is decided
+    by a hash of id and start, not by the layout of files; only a block that equal or
+    null ids make too large is dealt on by the place in the written table. Of equally
+    good pieces the one with the least demand goes first. An empty table packs to an
+    empty table; null ids and repeated rows are pieces like any other.
     """
-    n = pieces.count() if rows is None else rows
-    blocks = max(1, -(-n // block_rows))
+    pieces = Scratch(pieces.sparkSession, "packing").keep(pieces, "pieces")
+    blocks = max(1, -(-pieces.count() // block_rows))
     limits = np.array([tokens, segments, loss])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop(columns="_block").sort_values(["length", "loss_tokens"], kind="stable").reset_index(drop=True)
+        block = block.drop(columns=block_col).sort_values(["length", "loss_tokens"], kind="stable").reset_index(drop=True)
         size = block["length"].to_numpy(np.int64)
         bins, places = fill(np.stack([size, np.ones_like(size), block["loss_tokens"].to_numpy(np.int64)], 1), limits)
         order = np.lexsort((places, bins))
@@ -83,8 +88,14 @@ def pack(pieces: DataFrame, *, tokens: int = 2048, segments: int = 512, loss: in
         offset[order] = ends - size[order] - base
         return block.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offset)
 
-    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("_block")
-    return pieces.select("*", salt).groupBy("_block").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    (block_col,) = fresh(pieces, "block")
+    block = F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks))
+    sizes = pieces.groupBy(block.alias("b")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * block_rows)
+    over = {r["b"]: -(-r["n"] // block_rows) for r in sizes.collect()}  # fewer than pieces / (4 block_rows)
+    if over:
+        parts = F.coalesce(F.create_map(*[F.lit(x) for kv in over.items() for x in kv])[block], F.lit(1))
+        block = block + blocks * F.pmod(F.monotonically_increasing_id(), parts)
+    return pieces.withColumn(block_col, block).groupBy(block_col).applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, *, end_id: int, most: int = 2048) -> DataFrame:
@@ -120,8 +131,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, end_id: int, most: int = 2048)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int = 1, tokens: int = 2048, **limits) -> DataFrame:
-    """The documents' pieces with their sequence and offset."""
-    return pack(pieces_of(docs, tokenizer, end_id=end_id, most=tokens), tokens=tokens, rows=2 * docs.count(), **limits)
+    """The documents' pieces with their sequence and offset: each id of each row lies in exactly one piece.
+
+    Null texts are empty. Texts of any length are cut every `tokens` ids.
+    """
+    return pack(pieces_of(docs, tokenizer, end_id=end_id, most=tokens), tokens=tokens, **limits)
 
 
 def turns_of(conversations: DataFrame, tokenizer: str, *, end_id: int, most: int = 2048, answers: str = "assistant") -> DataFrame:
