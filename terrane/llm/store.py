@@ -130,6 +130,15 @@ def joined_crcs(sizes: np.ndarray, crcs: np.ndarray, bounds: np.ndarray, low: np
     return np.bitwise_xor.reduceat(moved, bounds[:-1]) if len(moved) else moved
 
 
+#: Rows of the data files; {} is the type of doc_id.
+MIXED = "doc_id {}, digests binary, sizes array<int>, digest binary, payload binary"
+
+
+def data(spark: SparkSession, path: str, kind: str, id_type: str = "long") -> DataFrame:
+    """The data rows of one kind; none where no file was written."""
+    return spark.read.schema(f"{MIXED.format(id_type)}, kind string").parquet(f"{path}/data").where(F.col("kind") == kind)
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of two kinds: recipes (doc_id, digests, sizes) and chunks (digest, payload), a chunk once in a task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -169,7 +178,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 row += n
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digests", "sizes", "digest", "payload"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digests binary, sizes array<int>, digest binary, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(run, MIXED.format(kind))
 
 
 def whole(payload: bytes) -> bytes:
@@ -178,7 +187,10 @@ def whole(payload: bytes) -> bytes:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int) -> None:
-    """Write the store. Null texts are empty (the end id alone); rows that share a doc_id stay apart, in order of their chunks."""
+    """Write the store. Null texts are empty (the end id alone); rows that share a doc_id stay apart, in order of their chunks' hash.
+
+    Null ids come first. An empty table makes a store without documents.
+    """
     mixed = encode(docs, tokenizer, end_id).withColumn("place", F.monotonically_increasing_id())
     key = F.coalesce(F.col("digest"), F.col("place").cast("string").cast("binary"))
     dealt = mixed.withColumn("key", key).repartition("key").sortWithinPartitions("digest").drop("key", "place")
@@ -194,12 +206,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int) -> None:
                 last = name[-1].as_py()
                 yield b.filter(other)
 
-    stored = dealt.mapInArrow(once, f"doc_id {kind}, digests binary, sizes array<int>, digest binary, payload binary")
+    stored = dealt.mapInArrow(once, MIXED.format(kind))
     is_chunk = F.col("digest").isNotNull()
     stored.withColumn("kind", F.when(is_chunk, "chunk").otherwise("recipe")).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
     spark = docs.sparkSession
-    recipes = spark.read.parquet(f"{path}/data/kind=recipe").select("doc_id", "digests", "sizes")
-    ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), "digests").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digests")
+    recipes = data(spark, path, "recipe", kind).select("doc_id", "digests", "sizes")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("digests"))  # range splitters stay small, and an id of many rows can be split
+    ordered = recipes.repartitionByRange(*order).sortWithinPartitions(*order, "digests")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, place = 0, 0
@@ -211,7 +224,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int) -> None:
             at, place = int(ends[-1]) if len(ends) else at, place + len(n)
 
     numbered = ordered.mapInArrow(number, f"doc_id {kind}, digests binary, sizes array<int>, n_tokens long, inner long, place long, root binary")
-    numbered.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
+    numbered = numbered.withColumn("part", F.spark_partition_id())
+    if recipes.isEmpty():  # a file without rows keeps the columns
+        numbered.coalesce(1).write.parquet(f"{path}/recipes")
+    else:
+        numbered.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/recipes")
     made = part_roots(spark, path)
     first, rows = 0, []
     for part, documents, tokens, root in made:
@@ -250,7 +267,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
                 crc.append(zlib.crc32(data))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["digest", "size", "crc"])
 
-    return spark.read.parquet(f"{path}/data/kind=chunk").select("digest", "payload").mapInArrow(check, "digest binary, size int, crc long")
+    return data(spark, path, "chunk").select("digest", "payload").mapInArrow(check, "digest binary, size int, crc long")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -315,7 +332,7 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids of every document, rebuilt from its recipe."""
-    payloads = spark.read.parquet(f"{path}/data/kind=chunk").select("digest", "payload")
+    payloads = data(spark, path, "chunk").select("digest", "payload")
     joined = recipes(spark, path).join(payloads, "digest", "left")
     gathered = joined.groupBy("part", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("i", "digest", "payload"))).alias("c"))
     kind = gathered.schema["doc_id"].dataType.simpleString()
