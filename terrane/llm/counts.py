@@ -5,7 +5,8 @@ word; for each end, dynamic programming keeps the best score and the number of
 pieces on the way. The tie rule is the tokenizer's: of equal scores the match
 that starts first stays. A character without a match is unknown, with a
 penalty below the lowest score; neighbouring unknowns are one piece. White
-space parts words, and a word starts with the mark.
+space, and the mark itself where a text holds it, parts words, and a word starts
+with the mark.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.words import BARE, Encoder
+from terrane.llm.words import SPACE, Encoder
 
 MARK = "▁"
 PENALTY = 10.0
+WORD = re.compile(f"[^{SPACE}{MARK}]+")
 _open: dict = {}
 
 
@@ -63,13 +65,16 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and n_tokens of every whole text; null and blank texts have none."""
+    """doc_id and n_tokens of every whole text, words of any length included; null and blank texts have none.
+
+    Every row gives one row, repeated ones alike; an empty table gives an empty result.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _open:
             counter = Counter(vocabulary(path))
-            _open[path] = Encoder(lambda chunks: [[sum(map(counter.count, BARE.findall(c)))] for c in chunks], stops=False, blanks=False)
+            _open[path] = Encoder(lambda chunks: [[sum(map(counter.count, WORD.findall(c)))] for c in chunks], stops=False, blanks=False)
         for b in batches:
             n = [int(x.sum()) for x in _open[path].encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(n, np.int64))], ["doc_id", "n_tokens"])
