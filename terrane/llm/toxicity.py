@@ -176,8 +176,13 @@ def train(texts: list[str], labels: list[int], *, dim: int = 4, buckets: int = 1
     return Model(f"{zlib.crc32(scalars.tobytes())}-{bias}", scalars, bias, window, low, high)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, *, per_class: tuple[int, int] = (2000, 1000), **how) -> Model:
-    """Train on about `per_class` documents at most of labels 0 and 1, among those that `allowed` (on doc_id) admits."""
+def fit(docs: DataFrame, labels: DataFrame, allowed, *, per_class: tuple[int, int] = (2000, 1000), characters: int = 60_000_000, **how) -> Model:
+    """Train on about `per_class` documents at most of labels 0 and 1, among those that `allowed` (on doc_id) admits.
+
+    If these would have more than about `characters` characters, fewer of both are
+    taken. A document labelled both 0 and 1 counts as 1. With labels of one kind or
+    none, all texts score alike.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & allowed).groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
@@ -187,19 +192,26 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, *, per_class: tuple[int, in
     sample = known.where(part < share)
     # About sum(per_class) ids, whatever the input: small enough to broadcast, so no text is shuffled.
     rows = docs.select("doc_id", "text").where(allowed).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_y")
+    size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    if size > characters:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < 1_000_000 * characters // size)
     rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([r["text"] or "" for r in rows], [r["_y"] for r in rows], **how)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row with one more column `_score`; a null or empty text gets the score of an empty window."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Every row with one more column `name` (which must be new); a null or empty text gets the score of an empty window.
+
+    Other columns are carried, whatever their names; repeated rows score alike,
+    texts of any length are read whole, an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             s = m.scores(b.column(b.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
