@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import content_sort, packing, repeats, simhash, toxicity
-from terrane.llm.common import Scratch, table
+from terrane.llm.common import Scratch, fresh, released, table
 from terrane.llm.queries import tokenizer_path
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; training reads a bounded sample of the labelled ones."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model).where(F.col("_score") < 0.5).drop("_score")
+    (score,) = fresh(docs, "score")
+    return toxicity.score(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group stays; links are op3's (README: what they miss)."""
-    groups = simhash.near_dedup(docs, far=4, shingle=4).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Of each near-duplicate group the smallest doc_id stays, of rows that share it one; links are op3's (README: what they miss)."""
+    return simhash.drop_near_copies(docs, far=4, shingle=4)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        with released():  # what the stage kept for itself
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.free(f"stage-{k - 1}")
     return docs
