@@ -1,17 +1,20 @@
 """Merging Burrows-Wheeler transforms of shards by iterative interleave refinement.
 
-Symbols are words of `width` bytes (1: the bytes themselves), so that few rounds
-reach the wanted depth: a string is read as `width` chains, one for each offset
-modulo the width, each with an end mark of its own. The words are the alphabet;
-longer common prefixes are found by merging alone. A shard's transform lists, in suffix order, the
-symbol before every suffix. To merge shards, an interleave says for each place
-of the merged order which shard its suffix is from. It starts with the shards
-in turn (suffixes sorted by no symbol) and each round sorts it stably by the
-symbols before, which sorts the suffixes by one symbol more; the order within
-a shard never has to be worked out again. Blocks of suffixes that share what
-was read so far are refined in the same pass: a new boundary at round h means
-a common prefix of h - 1 symbols. After depth / width rounds, the blocks are
-the intervals of suffixes that repeat their first `depth` bytes.
+Symbols are words of `width` bytes (1: the bytes themselves; 8 at most, so a word
+is a number), so that few rounds reach the wanted depth: a string is read as
+`width` chains, one for each offset modulo the width, each with an end mark of its
+own. A shard's suffixes are sorted once, by itself; its transform is kept as the
+map from each suffix to the next of its chain, the permutation that sorts the
+transform stably, with the common prefix of every two neighbours.
+
+To merge shards, an interleave says which suffix stands at each place of the
+merged order. It starts with the suffixes of all shards sorted by one symbol,
+which merges sorted runs, and each round sorts every block of suffixes that share
+what was read so far by the places of their next suffixes, which reads one symbol
+more; the order within a shard never has to be worked out again. A block with
+suffixes of one shard alone is settled: its order and common prefixes are the
+shard's. So only blocks that shards share are refined, and after depth / width
+rounds the intervals of suffixes that repeat their first `depth` bytes are known.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ SHIFT, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 @dataclass
 class Shard:
-    """Suffix order and transform. Suffixes are places in the padded concatenation of the strings."""
+    """Sorted suffixes. Suffixes are places in the padded concatenation of the shard's strings; ends come first."""
 
     order: np.ndarray  # suffixes in sorted order
-    text: np.ndarray  # symbol before each, in that order (0: end mark), in names shared by all shards
-    ends: int  # end marks, which come first in the order
+    first: np.ndarray  # first symbol of each, in that order
+    after: np.ndarray  # where in the order the next suffix of its chain stands
+    common: np.ndarray  # symbols shared with the suffix before, at most the wanted rounds
+    ends: int
 
 
 def dense(high: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
@@ -60,110 +65,127 @@ def dense(high: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
     return ranks
 
 
-def word_names(data: np.ndarray, width: int) -> np.ndarray:
-    """Order-preserving names of the `width` bytes at every place (zeros after the end)."""
-    n, size = len(data) + width + 8, min(width, 4)
-    padded = np.concatenate([data, np.zeros(width + 16, np.uint8)]).astype(np.uint32)
-    key = np.zeros(n, np.uint32)
-    for i in range(size):
-        key = (key << np.uint32(8)) | padded[i : i + n]
-    names = dense(key)
-    while size < width:
-        step = min(size, width - size)
-        shifted = np.zeros_like(names)
-        shifted[: n - step] = names[step:]
-        names, size = dense(names, shifted), size + step
-    return names[: len(data)]
-
-
-def layout(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenation with `width` end places after each string: data, is an end, place before each (cyclic in its chain), starts."""
+def words(data: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes at every place as one number (zeros after the end)."""
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    key = np.zeros(len(data), np.uint64)
+    for i in range(width):
+        key = (key << np.uint64(8)) | padded[i : i + len(data)]
+    return key
+
+
+def layout(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Concatenation with `width` end places after each string: data, is an end, starts."""
     sizes = np.array([len(s) for s in strings], np.int64)
     starts = np.cumsum(sizes + width) - sizes - width
     data = np.frombuffer(b"".join(s + bytes(width) for s in strings), np.uint8)
     owner = np.repeat(np.arange(len(strings)), sizes + width)
-    inner = np.arange(len(data)) - starts[owner]
-    end = inner >= sizes[owner]
-    n = sizes[owner]
-    last = n + (inner - n) % width  # the end place of the chain
-    before = starts[owner] + np.where(inner >= width, inner - width, last)
-    return data, end, before, starts
-
-
-def build(names: np.ndarray, end: np.ndarray, before: np.ndarray, width: int) -> Shard:
-    """One shard's suffix order, by prefix doubling over its symbols, and its transform."""
-    n, ends = len(names), int(end.sum())
-    rank = dense(names) + ends
+    return data, np.arange(len(data)) - starts[owner] >= sizes[owner], starts
+
+
+def build(symbols: np.ndarray, end: np.ndarray, width: int, rounds: int) -> Shard:
+    """One shard's suffix order, by prefix doubling over its symbols; the ranks of every level give the common prefixes."""
+    n, ends = len(symbols), int(end.sum())
+    rank = np.empty(n, np.int64)
     rank[end] = np.arange(ends)
-    jump = width
-    while True:
+    rank[~end] = dense(symbols[~end]) + ends
+    levels, jump = [rank.astype(np.int32)], width
+    while int(rank.max(initial=0)) < n - 1:
         after = np.zeros(n, np.int64)
         after[: max(0, n - jump)] = rank[jump:]
-        refined = dense(rank, np.where(rank < ends, 0, after))
-        if int(refined.max(initial=0)) == n - 1:
-            break
-        rank, jump = refined, 2 * jump
+        rank, jump = dense(rank, np.where(rank < ends, 0, after)), 2 * jump
+        levels.append(rank.astype(np.int32))
     order = np.empty(n, np.int64)
-    order[refined] = np.arange(n)
-    text = np.where(end[before], 0, names[before] + 1)
-    return Shard(order, text[order], ends)
+    order[rank] = np.arange(n)
+    a, b, common = order[:-1], order[1:], np.zeros(max(0, n - 1), np.int64)
+    for k in range(len(levels) - 2, -1, -1):  # at the last level all differ
+        step = np.minimum(np.maximum(a, b) + common * width, n - 1)
+        ahead = step - np.maximum(a, b)
+        common += (levels[k][a + ahead] == levels[k][b + ahead]) << k
+    return Shard(order, symbols[order], rank[np.minimum(order + width, n - 1)], np.r_[0, np.minimum(common, rounds)] if n else common, ends)
 
 
-def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard of each place of the merged order, its place in that shard's order, and its common prefix with the place before.
+def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix of each place of the merged order (numbered through the shards' orders), and its common prefix with the place before.
 
     The prefix is in symbols: `rounds` stands for that many or more.
     """
     sizes = np.array([len(s.order) for s in shards])
     base = np.cumsum(sizes) - sizes
-    text = np.concatenate([s.text for s in shards]).astype(np.uint32)
-    ends = sum(s.ends for s in shards)
-    inter = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
-    place, blocks = np.arange(len(text)), 0
-    common = np.full(len(text), rounds, np.int32)
-    if len(common):
-        common[0] = 0
-    block = np.zeros(len(text), np.int32)
-    at = np.arange(len(text), dtype=np.uint64)
-    for h in range(1, rounds + 1):
-        key = (text[place].astype(np.uint64) << SHIFT) | at
+    n, ends = int(sizes.sum()), sum(s.ends for s in shards)
+    first = np.concatenate([s.first for s in shards])
+    after = np.concatenate([s.after + a for s, a in zip(shards, base, strict=True)])
+    owner = np.repeat(np.arange(len(shards), dtype=np.int16), sizes)
+    own_common = np.concatenate([s.common for s in shards])
+    is_end = np.concatenate([np.arange(len(s.order)) < s.ends for s in shards])
+    inner = np.flatnonzero(~is_end)
+    inner = inner[np.argsort(first[inner], kind="stable")]
+    item = np.concatenate([np.flatnonzero(is_end), inner])
+    place = np.empty(n, np.int64)
+    place[item] = np.arange(n)
+    before = np.full(n, -1, np.int64)  # of each suffix, the one before in its chain
+    before[after[inner]] = inner
+    new = np.zeros(n, bool)
+    new[ends + 1 :] = first[inner[1:]] != first[inner[:-1]]
+    if n:
+        new[0] = True
+        new[min(ends, n - 1)] |= ends < n
+    common = np.where(new, 0, rounds)
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    shared = shared_blocks(owner[item], new)
+    shared[:ends] = False  # end marks count as one symbol: nothing is known beyond them
+    active = np.flatnonzero(shared)
+    for h in range(2, rounds + 1):
+        if not len(active):
+            break
+        key = (start[active].astype(np.uint64) << SHIFT) | place[after[item[active]]].astype(np.uint64)
         key.sort()
-        moved = (key & LOW).astype(np.int64)
-        symbol = key >> SHIFT
-        inter, block = inter[moved], block[moved]
-        inter[:ends] = np.sort(inter[:ends])  # end marks keep the order of the shards and count as one symbol
-        block[:ends] = 0
-        new = np.r_[True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])]
-        common[new & (common == rounds)] = h - 1
-        block = np.cumsum(new, dtype=np.int32)
-        place = np.empty(len(text), np.int64)
-        for s in range(len(shards)):
-            mine = np.flatnonzero(inter == s)
-            place[mine] = np.arange(base[s], base[s] + len(mine))
-        if len(block) and block[-1] == blocks:
-            break  # a round that parts no block leaves nothing for later ones
-        blocks = block[-1] if len(block) else 0
-    return inter, place, common
-
-
-def repeated(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int = 20, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
+        beyond = (key & LOW).astype(np.int64)
+        block, following = key >> SHIFT, start[beyond]
+        cut = np.r_[True, (block[1:] != block[:-1]) | (following[1:] != following[:-1])]
+        moved = before[item[beyond]]
+        fresh = cut & (active != start[active])
+        common[active[fresh]] = h - 1
+        item[active] = moved
+        place[moved] = active
+        start[active] = active[np.maximum.accumulate(np.where(cut, np.arange(len(cut)), 0))]
+        active = active[shared_blocks(owner[moved], cut)]
+    # What was never parted further: neighbours of one shard share what they share there.
+    alone = (common == rounds) & np.r_[False, owner[item[1:]] == owner[item[:-1]]] if n else np.zeros(0, bool)
+    alone[:ends] = False
+    alone[active] = False
+    return item, np.where(alone, own_common[item], common)
+
+
+def shared_blocks(owner: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each place, whether its block (from one `new` to the next) has suffixes of several shards."""
+    if not len(owner):
+        return np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    mixed = np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
+    return np.repeat(mixed, np.diff(np.r_[at, len(owner)]))
+
+
+def repeated(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int = 8, shard_bytes: int = 1 << 19) -> list[np.ndarray]:
     """For each string, which of its first `starts` places begin a `depth`-byte string of total weight 2 or more in all of them.
 
     A string stands for `weights` equal copies. depth must be a multiple of width.
     """
-    if depth % width:
-        raise ValueError("depth must be a multiple of width")
-    data, end, before, first = layout(strings, width)
-    names = word_names(data, width)
+    if depth % width or not 1 <= width <= 8:
+        raise ValueError("depth must be a multiple of width, and width at most 8")
+    if not strings:
+        return []
+    data, end, first = layout(strings, width)
+    symbols, rounds = words(data, width), depth // width
     sizes = np.array([len(s) + width for s in strings])
     shard_of = (np.cumsum(sizes) - sizes) // max(shard_bytes, 1)
     cuts = np.r_[first[np.flatnonzero(np.r_[True, shard_of[1:] != shard_of[:-1]])], len(data)]
-    shards = [build(names[a:b], end[a:b], before[a:b] - a, width) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    inter, place, common = merge(shards, depth // width)
-    order = np.concatenate([s.order + a for s, a in zip(shards, cuts[:-1], strict=True)])[place]
+    shards = [build(symbols[a:b], end[a:b], width, rounds) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    item, common = merge(shards, rounds)
+    order = np.concatenate([s.order + a for s, a in zip(shards, cuts[:-1], strict=True)])[item]
     owner = np.repeat(np.arange(len(strings)), sizes)
     counts = np.where(np.arange(len(data)) - first[owner] < starts[owner], weights[owner], 0)
-    interval = np.flatnonzero(common < depth // width)
+    interval = np.flatnonzero(common < rounds)
     total = np.add.reduceat(counts[order], interval)
     flag = np.zeros(len(data), bool)
     flag[order] = np.repeat(total >= 2, np.diff(np.r_[interval, len(data)]))
