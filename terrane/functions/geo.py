@@ -71,3 +71,83 @@ def mercator(lon: Column, lat: Column, zoom: int) -> Column:
     world = 256 * 2**zoom
     y = (1 - F.ln(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / F.pi()) / 2 * world
     return F.struct(((lon + 180) / 360 * world).alias("x"), y.alias("y"))
+
+
+def flat_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, mean_lat: Column) -> Column:
+    """Equirectangular kilometres with one scale for a whole city, that of its mean latitude."""
+    return F.sqrt(F.pow((lon2 - lon1) * 111.32 * F.cos(F.radians(mean_lat)), 2) + F.pow((lat2 - lat1) * 110.574, 2))
+
+
+def projected(lon: Column, lat: Column, reference_lat: Column, radius: float = 6371008.8) -> Column:
+    """struct(x, y) metres from the origin of longitude and latitude, at the scale of a reference latitude."""
+    return F.struct((radius * F.radians(lon) * F.cos(F.radians(reference_lat))).alias("x"), (radius * F.radians(lat)).alias("y"))
+
+
+def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: int = 20) -> Column:
+    """Metres on the WGS84 ellipsoid by Vincenty's inverse formula, a fixed number of rounds; not for nearly antipodal points."""
+    # The ellipsoid's half axis and flattening.
+    a, f = 6378137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    u1, u2 = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2)))
+    ends = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("l"))
+
+    def parts(e: Column, lam: Column) -> tuple[Column, ...]:
+        cross = e["c1"] * e["s2"] - e["s1"] * e["c2"] * F.cos(lam)
+        sin = F.sqrt(F.pow(e["c2"] * F.sin(lam), 2) + cross * cross)
+        cos = e["s1"] * e["s2"] + e["c1"] * e["c2"] * F.cos(lam)
+        alpha = F.when(sin > 0, e["c1"] * e["c2"] * F.sin(lam) / sin).otherwise(0.0)
+        square = 1 - alpha * alpha
+        middle = F.when(square > 1e-15, cos - 2 * e["s1"] * e["s2"] / square).otherwise(0.0)
+        return sin, cos, F.atan2(sin, cos), alpha, square, middle
+
+    def step(s: Column, _: Column) -> Column:
+        sin, cos, sigma, alpha, square, middle = parts(s["e"], s["lam"])
+        c = f / 16 * square * (4 + f * (4 - 3 * square))
+        lam = s["e"]["l"] + (1 - c) * f * alpha * (sigma + c * sin * (middle + c * cos * (2 * middle * middle - 1)))
+        return F.struct(s["e"].alias("e"), lam.alias("lam"))
+
+    start = F.struct(ends.alias("e"), F.radians(lon2 - lon1).alias("lam"))
+
+    def length(s: Column) -> Column:
+        sin, cos, sigma, _, square, middle = parts(s["e"], s["lam"])
+        u = square * (a * a - b * b) / (b * b)
+        big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        shift = big_b * sin * (middle + big_b / 4 * (cos * (2 * middle * middle - 1) - big_b / 6 * middle * (4 * sin * sin - 3) * (4 * middle * middle - 3)))
+        return b * big_a * (sigma - shift)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, length)
+
+
+def edges_of(ring: Column) -> Column:
+    """The sides of a ring (array<struct<x,y>>, not closed) as array<struct<a, b>>."""
+    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, F.when(i + 1 < F.size(ring), i + 1).otherwise(0)).alias("b")))
+
+
+def ring_contains(ring: Column, x: Column, y: Column, border: float = 0.001) -> Column:
+    """Whether a ring in metres holds a point, its border (1 mm) included: an odd number of sides to the right."""
+    sides = edges_of(ring)
+    on = F.exists(sides, lambda s: segment_metres(x, y, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) <= border)
+
+    def crosses(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
+
+    return on | (F.size(F.filter(sides, lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1)
+
+
+def ring_problem(ring: Column) -> Column:
+    """Why a ring encloses no simple area (few vertices, repeated, crossing, flat), null if it does."""
+    sides = F.transform(edges_of(ring), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), i.alias("i")))
+    n = F.size(ring)
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    near = lambda p, s: segment_metres(p["x"], p["y"], s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) < 0.001
+
+    def meet(s: Column, t: Column) -> Column:
+        apart = (t["i"] > s["i"] + 1) & ~((s["i"] == 0) & (t["i"] == n - 1))
+        cross = (turn(s["a"], s["b"], t["a"]) * turn(s["a"], s["b"], t["b"]) < 0) & (turn(t["a"], t["b"], s["a"]) * turn(t["a"], t["b"], s["b"]) < 0)
+        return apart & (cross | near(s["a"], t) | near(s["b"], t) | near(t["a"], s))
+
+    crossing = F.exists(sides, lambda s: F.exists(sides, lambda t: meet(s, t)))
+    distinct = F.size(F.array_distinct(ring))
+    return F.when(distinct < 3, "too few vertices").when(distinct < n, "repeated vertex").when(crossing, "crossing sides").when(ring_area(ring) < 1e-6, "no area")

@@ -49,14 +49,29 @@ def normal_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(fold_accents(F.translate(c, "ñÑ", "nN"))), " +", " "))
 
 
+# The words and abbreviations that name kinds of settlement in front of a place's own name.
+BLOCK_WORDS = ("super manzana", "s. m.")
+REGION_WORDS = ("region", "reg.")
+DROPPED_WORDS = ("colonia", "col.", "fraccionamiento", "fracc.")
+
+
+def leading(words: tuple[str, ...], glued: bool) -> str:
+    """A pattern for one of the words in front, dots and blanks of abbreviations at will; what follows is white space or, if glued, a digit or the end too."""
+    some = "|".join(w.replace(".", "[.]?").replace(" ", r"\s*") for w in words)
+    return f"^({some})" + (r"(?=[0-9\s]|$)\s*" if glued else r"\s+")
+
+
 def place_key(c: Column) -> Column:
-    """Comparable form of a place name: lower, accents folded (ñ kept), known prefixes unified, letters and digits only."""
+    """Comparable form of a place name: lower, accents folded (ñ kept), block and region words unified, kinds of settlement dropped, letters and digits only.
+
+    A bare number, with a letter perhaps, is a block's.
+    """
     s = F.trim(F.lower(fold_accents(c)))
-    s = F.regexp_replace(s, "^(colonia|col[.]?) +", "")
-    s = F.regexp_replace(s, "^(fraccionamiento|fracc[.]?) +", "")
-    s = F.regexp_replace(s, "^(supermanzana|super manzana|smz?[.]?) *", "supermanzana ")
-    s = F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("supermanzana "), s)).otherwise(s)
-    return F.regexp_replace(s, "[^a-z0-9ñ]", "")
+    s = F.regexp_replace(s, leading(BLOCK_WORDS, True), "supermanzana ")
+    s = F.regexp_replace(s, leading(REGION_WORDS, True), "region ")
+    s = F.trim(F.regexp_replace(s, leading(DROPPED_WORDS, False), ""))
+    s = F.when(s.rlike("^[0-9]+[a-z]?$"), F.concat(F.lit("supermanzana "), s)).otherwise(s)
+    return F.regexp_replace(s, r"[^\p{L}\p{N}]", "")
 
 
 def number_tokens(c: Column) -> Column:
@@ -71,7 +86,7 @@ def title_case(c: Column, small: tuple[str, ...] = ("de", "del", "la", "las", "l
         return (
             F.when(w.rlike("^(i|ii|iii|iv|v|vi|vii|viii|ix|x)$") | w.rlike("[0-9]"), F.upper(w))
             .when((i > 0) & w.isin(*small), w)
-            .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
+            .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, F.length(w))))
         )
 
     return F.array_join(F.transform(words, word), " ")
@@ -94,6 +109,22 @@ def activity_code(c: Column) -> Column:
     return F.when(code != "", code)
 
 
+# Labels of activity levels in tabulates with the length of their codes, totals without a code.
+LEVEL_LABELS = {"SECTOR": None, "SUBSECTOR": 3, "RAMA": 4, "SUBRAMA": 5, "CLASE": 6}
+TOTAL_LABELS = ("TOTAL MUNICIPAL", "TOTAL ESTATAL", "TOTAL NACIONAL")
+
+
+def labelled_activity(c: Column) -> Column:
+    """The code of a normal_text label such as `RAMA 3121 ...`; empty for a total, null if there is none or its length is not the level's."""
+    level = F.element_at(F.split(c, " "), 1)
+    code = activity_code(F.when(level.isin(*LEVEL_LABELS), F.substring(c, F.length(level) + 2, F.length(c))).otherwise(c))
+    fits = F.lit(True)
+    for name, n in LEVEL_LABELS.items():
+        if n:
+            fits &= (level != name) | (F.length(code) == n)
+    return F.when(c.isin(*TOTAL_LABELS), "").when(fits, code)
+
+
 def activity_level(code: Column) -> Column:
     names = {2: "sector", 3: "subsector", 4: "branch", 5: "subbranch", 6: "class"}
     out = F.when(code.isin("31-33", "48-49"), "sector")
@@ -136,6 +167,12 @@ def impedance_before(metres: Column) -> Column:
     return F.struct(F.bround(d).cast("long").alias("distance"), F.greatest(F.bround(d / (40 / 3.6)).cast("long"), F.lit(45)).alias("seconds"))
 
 
+def driving_fallback(metres: Column) -> Column:
+    """struct(distance, seconds) where no route is known: 1.3 times the beeline of at least 150 m, rounded, at 40 km/h, at least 45 s."""
+    road = F.bround(F.greatest(metres, F.lit(150.0)) * 1.3)
+    return F.struct(road.cast("long").alias("distance"), F.greatest(F.bround(road / (40 / 3.6)).cast("long"), F.lit(45)).alias("seconds"))
+
+
 def friction(km: Column, beta: float, reach: Column, floor_km: float = 3.0, floor: float = 0.6) -> Column:
     """exp(-beta (1 - reach) d), with a floor for short trips."""
     base = F.exp(-beta * (1 - F.least(reach, F.lit(0.6))) * km)

@@ -30,14 +30,45 @@ def asymmetric(df: DataFrame, controls: DataFrame, *, group: str, informal: floa
     return j.select(group, "micro", "large", "units", "control", factor.cast("double").alias("factor"), status.alias("status"))
 
 
+def asymmetric_employment(df: DataFrame, controls: DataFrame, totals: DataFrame | None = None, *, group: str, informal: float, least: float = 500) -> DataFrame:
+    """The full rule: (group, jobs, share, target, factor, status); `factor` is for micro and small units, but for `fallback`, where it is for all.
+
+    df: (group, jobs, is_micro); controls: (group, control); totals: (group, total)
+    of all jobs of the group, also outside the studied box. The control is scaled by
+    the group's share of its total. No control, or fewer than `least` jobs: 1 +
+    informal for all. Else the micro units fill the gap to the target, between 1
+    (floor) and 1 / (1 - informal) (ceiling); with large units at or above a positive
+    target they stay; without a target or micro units the factor is 1 + informal.
+    """
+    ceiling = 1 / max(0.01, 1 - informal)
+    micro, large = F.sum(F.when(F.col("is_micro"), F.col("jobs")).otherwise(0)), F.sum(F.when(~F.col("is_micro"), F.col("jobs")).otherwise(0))
+    s = df.groupBy(group).agg(micro.alias("micro"), large.alias("large"), F.sum("jobs").alias("jobs")).join(controls, group, "left")
+    s = s.join(totals, group, "left") if totals is not None else s.withColumn("total", F.lit(None).cast("double"))
+    s = s.withColumn("share", F.when(F.col("total") > 0, F.least(F.lit(1.0), F.col("jobs") / F.col("total"))).otherwise(F.lit(1.0)))
+    s = s.withColumn("target", F.col("control") * F.col("share"))
+    s = s.withColumn("raw", (F.col("target") - F.col("large")) / F.nullif(F.col("micro").cast("double"), F.lit(0.0)))
+    fills = (F.col("micro") > 0) & (F.col("target") > F.col("large"))
+    status = (
+        F.when(F.col("control").isNull() | (F.col("jobs") < least), "fallback")
+        .when(fills & (F.col("raw") > ceiling), "ceiling")
+        .when(fills & (F.col("raw") < 1), "floor")
+        .when(fills, "calibrated")
+        .when((F.col("large") >= F.col("target")) & (F.col("target") > 0), "formal excess")
+        .otherwise("global")
+    )
+    s = s.withColumn("status", status)
+    factor = F.when(F.col("status").isin("fallback", "global"), 1 + informal).when(F.col("status") == "formal excess", 1.0).otherwise(F.least(F.greatest("raw", F.lit(1.0)), F.lit(ceiling)))
+    return s.select(group, "jobs", F.when(F.col("status") == "fallback", 1.0).otherwise(F.col("share")).alias("share"), F.when(F.col("status") != "fallback", F.col("target")).alias("target"), factor.cast("double").alias("factor"), "status")
+
+
 def parent_residual(df: DataFrame, controls: DataFrame, *, parent: str, value: str, capacity: str) -> DataFrame:
     """Null children get the parent's control less its published children, in proportion to capacity, capped by it.
 
     Adds `filled` and `source`: published, allocated, or unresolved (no control or no capacity).
     """
-    w = Window.partitionBy(parent)
     free = F.when(F.col(value).isNull(), F.col(capacity)).otherwise(0)
-    j = df.join(controls, parent, "left").withColumns({"_p": F.sum(F.coalesce(F.col(value), F.lit(0))).over(w), "_c": F.sum(free).over(w)})
+    sums = df.groupBy(parent).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_p"), F.sum(free).alias("_c")).join(controls, parent, "left")
+    j = df.join(sums, parent, "left").withColumns({"_p": F.coalesce("_p", F.lit(0)), "_c": F.coalesce("_c", F.lit(0))})
     rest = F.greatest(F.col("control") - F.col("_p"), F.lit(0))
     share = F.when(F.col("_c") > 0, F.least(F.col(capacity).cast("double"), rest * F.col(capacity) / F.col("_c")))
     source = F.when(F.col(value).isNotNull(), "published").when(F.col("control").isNull() | (F.col("_c") <= 0), "unresolved").otherwise("allocated")
@@ -49,15 +80,14 @@ def hierarchical_rate(df: DataFrame, levels: list[str], *, value: str, capacity:
     known = F.when(F.col(value).isNotNull(), F.col(capacity))
     out, rates = df, []
     for level in levels:
-        w = Window.partitionBy(level)
-        rate = F.sum(value).over(w) / F.nullif(F.sum(known).over(w), F.lit(0))
-        out = out.withColumn(f"_r_{level}", rate)
+        rate = df.groupBy(level).agg((F.sum(value) / F.nullif(F.sum(known), F.lit(0))).alias(f"_r_{level}"))
+        out = out.join(rate, level, "left")
         rates.append((level, F.col(f"_r_{level}")))
     source = F.when(F.col(value).isNotNull(), "published").when(F.col(capacity) == 0, "zero")
     for level, r in rates:
         source = source.when(r.isNotNull(), level)
     filled = F.when(F.col(value).isNotNull(), F.col(value).cast("double")).when(F.col(capacity) == 0, 0.0).otherwise(F.col(capacity) * F.coalesce(*[r for _, r in rates]))
-    return out.withColumns({"filled": filled, "source": source}).drop(*[f"_r_{level}" for level in levels])
+    return out.withColumns({"filled": filled, "source": source}).select(*df.columns, "filled", "source")
 
 
 def bounded_fit(df: DataFrame, targets: DataFrame, *, group: str) -> DataFrame:

@@ -50,22 +50,30 @@ def row_softmax(edges: DataFrame, score: str, budget: str) -> DataFrame:
 def ipf(edges: DataFrame, origins: DataFrame, destinations: DataFrame, rounds: int, every: int = 5, tolerance: float | None = None) -> DataFrame:
     """Doubly constrained balance of (o, d, w) to origin totals (o, out) and destination totals (d, in).
 
-    Each round scales columns, then rows, as two window aggregations on the edge
-    list; rows are exact at the end. Lineage is cut by checkpoint() every few
+    Each round scales columns, then rows; rows are exact at the end. The edge list
+    never changes: a round is a factor for each destination, then one for each
+    origin, as aggregations with map-side combining that join back to the edges
+    (broadcast while they are small). Factors are cut from their lineage every few
     rounds where a checkpoint folder is set; with a tolerance the loop ends when no
     column is off by a larger share.
     """
-    e = edges.join(origins, "o").join(destinations, "d").where("w > 0")
+    e = edges.join(origins, "o").join(destinations, "d").where("w > 0").select("o", "d", "w", "in", "out").persist()
+    cut = e.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    rows, columns = None, None
     for r in range(rounds):
-        e = e.withColumn("w", F.col("w") * F.col("in") / F.sum("w").over(Window.partitionBy("d")))
-        e = e.withColumn("w", F.col("w") * F.col("out") / F.sum("w").over(Window.partitionBy("o")))
-        if (r + 1) % every == 0 and e.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            e = e.checkpoint()
+        scaled = e.withColumn("_a", F.lit(1.0)) if rows is None else e.join(rows, "o")
+        columns = scaled.groupBy("d").agg((F.first("in") / F.sum(F.col("w") * F.col("_a"))).alias("_b"))
+        rows = e.join(columns, "d").groupBy("o").agg((F.first("out") / F.sum(F.col("w") * F.col("_b"))).alias("_a"))
+        if (r + 1) % every == 0 and cut:
+            rows, columns = rows.checkpoint(), columns.checkpoint()
         if tolerance is not None:
-            off = e.groupBy("d").agg((F.abs(F.sum("w") / F.first("in") - 1)).alias("x")).agg(F.max("x")).first()[0]
+            now = e.join(rows, "o").join(columns, "d").groupBy("d").agg(F.abs(F.sum(F.col("w") * F.col("_a") * F.col("_b")) / F.first("in") - 1).alias("x"))
+            off = now.agg(F.max("x")).first()[0]
             if off is None or off <= tolerance:
                 break
-    return e.select("o", "d", F.col("w").alias("flow"))
+    if rows is None:
+        return e.select("o", "d", F.col("w").alias("flow"))
+    return e.join(rows, "o").join(columns, "d").select("o", "d", (F.col("w") * F.col("_a") * F.col("_b")).alias("flow"))
 
 
 def component_targets(nodes: DataFrame, *, mass: str, attraction: str) -> DataFrame:
@@ -89,7 +97,14 @@ def beta_for_median(bins: list[tuple[float, float]], median: float, low: float =
 def violations(points: DataFrame, edges: DataFrame, size: str) -> DataFrame:
     """Constraint counts that must all be zero: self loops, sizes that are not positive, ends that do not exist."""
     ids = points.select("id").distinct()
-    loops = edges.agg(F.lit("self loop").alias("rule"), F.sum((F.col("o") == F.col("d")).cast("long")).alias("violations"))
-    sizes = edges.agg(F.lit("size not positive").alias("rule"), F.sum((F.col(size) <= 0).cast("long")).alias("violations"))
-    lost = [edges.join(ids.withColumnRenamed("id", end), end, "left_anti").agg(F.lit(f"unknown {end}").alias("rule"), F.count("*").alias("violations")) for end in ("o", "d")]
-    return loops.unionByName(sizes).unionByName(lost[0]).unionByName(lost[1])
+    # One pass: edges are summed by pair first, ends are looked up on the distinct pairs.
+    pairs = edges.groupBy("o", "d").agg(F.count("*").alias("n"), F.sum((F.col(size) <= 0).cast("long")).alias("bad"))
+    for end in ("o", "d"):
+        pairs = pairs.join(ids.select(F.col("id").alias(end), F.lit(1).alias(f"_{end}")), end, "left")
+    s = pairs.agg(
+        F.sum(F.when(F.col("o") == F.col("d"), F.col("n")).otherwise(0)).alias("self loop"),
+        F.sum("bad").alias("size not positive"),
+        *[F.sum(F.when(F.col(f"_{end}").isNull(), F.col("n")).otherwise(0)).alias(f"unknown {end}") for end in ("o", "d")],
+    )
+    rules = F.array(*[F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("violations")) for c in s.columns])
+    return s.select(F.explode(rules).alias("r")).select("r.*")

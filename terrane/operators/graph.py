@@ -7,19 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.sources.scratch import settled
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder; where none is set (tests), the plan stays as it is, cached."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.cache()
 
-
-def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, by minimum labels with pointer jumping."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     labels = settled(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(most):
+    while True:
         heard = both.join(labels, both["a"] == labels["id"]).groupBy("b").agg(F.min("component").alias("m")).withColumnRenamed("b", "id")
         low = labels.join(heard, "id", "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("n"))
         jump = low.select(F.col("id").alias("n"), F.col("n").alias("j"))
@@ -27,10 +22,9 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
         if not after.where("n <> component").limit(1).count():
             return labels
         labels = after.select("id", F.col("n").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
-def anchors(nodes: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
+def anchors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, anchor): the greedy choice by score (descending, then id) of nodes no two of which form a pair.
 
     Rounds pick every undecided node that outranks all undecided neighbours and
@@ -40,7 +34,7 @@ def anchors(nodes: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
     state = settled(nodes.select("id", rank.alias("r"), F.lit(None).cast("boolean").alias("anchor")))
-    for _ in range(most):
+    while True:
         free = state.where("anchor is null")
         if not free.limit(1).count():
             return state.select("id", "anchor")
@@ -48,7 +42,22 @@ def anchors(nodes: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
         chosen = free.join(near, "id", "left").where(F.col("best").isNull() | (F.col("r") < F.col("best"))).select("id", F.lit(True).alias("yes"))
         beaten = both.join(chosen.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"), F.lit(True).alias("no")).distinct()
         state = settled(state.join(chosen, "id", "left").join(beaten, "id", "left").select("id", "r", F.when(F.col("anchor").isNotNull(), F.col("anchor")).when(F.col("yes"), True).when(F.col("no"), False).alias("anchor")))
-    raise RuntimeError("anchors did not settle")
+
+
+def shortest(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, cost): the least cost of a way from each source to every node it reaches, by relaxing the nodes that the last round improved.
+
+    edges: (a, b, w >= 0), directed; sources: (source). A round is a join of the
+    improved nodes with their edges and a minimum; rounds end when nothing improves.
+    """
+    best = settled(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
+    front = best
+    while True:
+        step = front.join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
+        j = settled(best.join(step, ["source", "node"], "full_outer").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))).alias("better")))
+        best, front = j.select("source", "node", "cost"), j.where("better").select("source", "node", "cost")
+        if front.isEmpty():
+            return best
 
 
 def transport(cells: DataFrame, supply: DataFrame, demand: DataFrame, zone: str = "zone") -> DataFrame:

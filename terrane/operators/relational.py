@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.sources.scratch import settled
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in a total order; rows with a null key are one group each key combination."""
@@ -21,15 +23,109 @@ def ledger(df: DataFrame, aliases: list[str], order: str) -> DataFrame:
     """Rows whose aliases are all new at their turn in `order`; rows without any alias always stay.
 
     A row stays when it is the first of every alias it has. `order` must be unique.
+    First occurrences are aggregated before they are joined, so a common alias is
+    no task of its own. Conflicting records are ledger_conflicts'.
+    """
+    held = [F.col(a).isNotNull().cast("int") for a in aliases]
+    have, names = sum(held[1:], held[0]), F.array(*[F.struct(F.lit(i).alias("k"), F.col(a).cast("string").alias("v")) for i, a in enumerate(aliases)])
+    firsts = df.select(F.col(order).alias("_o"), F.explode(names).alias("a")).where("a.v is not null").groupBy("a.k", "a.v").agg(F.min("_o").alias("_o"))
+    count = firsts.groupBy("_o").agg(F.count("*").alias("_n"))
+    out = df.withColumn("_have", have).join(count, F.col(order) == F.col("_o"), "left")
+    return out.where(F.col("_have") == F.coalesce("_n", F.lit(0))).select(*df.columns)
+
+
+def ledger_conflicts(df: DataFrame, aliases: list[Column], payload: list[str]) -> DataFrame:
+    """Aliases (k, alias, values) under which records differ in their payload; a source that has any must be refused."""
+    names = F.array(*[F.struct(F.lit(i).alias("k"), F.to_json(F.struct(a.alias("a"))).alias("v"), a.isNotNull().alias("on")) for i, a in enumerate(aliases)])
+    seen = df.select(F.explode(names).alias("a"), F.sha2(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}), 256).alias("p")).where("a.on")
+    return seen.groupBy(F.col("a.k").alias("k"), F.col("a.v").alias("alias")).agg(F.countDistinct("p").alias("values")).where("values > 1")
+
+
+def many_to_one(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join that fails where the table has a key more than once."""
+    once = table.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in table.columns if c not in keys])
+    checked = once.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("a key of the right side is not unique"))).otherwise(F.lit(0)))
+    return df.join(checked, keys, "left").where(F.coalesce("_n", F.lit(0)) == 0).drop("_n")
+
+
+def same_or_unknown(keys: list[str], left: str = "l", right: str = "r") -> Column:
+    """Equality of territories in which a null (or empty) key matches anything."""
+    out = F.lit(True)
+    for k in keys:
+        a, b = F.col(f"{left}.{k}"), F.col(f"{right}.{k}")
+        out &= F.coalesce(a.cast("string"), F.lit("")).eqNullSafe("") | F.coalesce(b.cast("string"), F.lit("")).eqNullSafe("") | (a == b)
+    return out
+
+
+def overlapping_prefixes(df: DataFrame, group: str, prefix: str, longest: int = 6) -> DataFrame:
+    """(group, prefix, other): prefixes of one group of which one begins another; an equi join on the group and the shorter prefix."""
+    long = df.select(group, F.col(prefix).alias("other"), F.explode(F.sequence(F.lit(0), F.least(F.length(prefix), F.lit(longest)))).alias("_n"))
+    long = long.select(group, "other", F.expr("substring(other, 1, _n)").alias(prefix)).where(F.col(prefix) != F.col("other"))
+    return df.select(group, prefix).join(long, [group, prefix])
+
+
+def nearest(points: DataFrame, targets: DataFrame, *, start: float, target: str = "target") -> DataFrame:
+    """(id, target, distance): each point's nearest target however far, by cells whose size doubles for the points still without one.
+
+    A hit within one cell size is the nearest; others go on to the next, larger
+    cells. points: (id, x, y); targets: (target, tx, ty), not empty. Points without
+    finite coordinates get none.
+    """
+    radius, open_, out = start, points.where(F.abs("x") + F.abs("y") < float("inf")), None
+    span = targets.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
+    reach = open_.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if span[0] is None or reach[0] is None:
+        return nearest_within(points, targets, start, target=target)
+    widest = max(abs(a - b) for k in (0, 2) for a in (span[k], span[k + 1]) for b in (reach[k], reach[k + 1])) * 1.5 + start
+    while True:
+        found = settled(nearest_within(open_, targets, radius, target=target))
+        out = found.where(F.col(target).isNotNull()) if out is None else out.unionByName(found.where(F.col(target).isNotNull()))
+        if radius >= widest:
+            return out
+        radius *= 4
+        open_ = open_.join(out.select("id"), "id", "left_anti")
+
+
+def nearest_line(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+    """(id, segment, distance, x, y): the nearest segment within reach and the point's foot on it.
+
+    segments: (segment, ax, ay, bx, by) in the points' metric plane. A segment is
+    dealt to the cells that its box, widened by reach, touches; cells have the size
+    of reach, so long segments should be cut before.
     """
-    out = df
-    for a in aliases:
-        first = Window.partitionBy(a).orderBy(order)
-        out = out.withColumn(f"_first_{a}", F.col(a).isNull() | (F.row_number().over(first) == 1))
-    test = F.lit(True)
-    for a in aliases:
-        test &= F.col(f"_first_{a}")
-    return out.where(test).drop(*[f"_first_{a}" for a in aliases])
+    lo = lambda a, b: F.floor((F.least(a, b) - reach) / reach).cast("long")
+    hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / reach).cast("long")
+    cells = segments.withColumn("cx", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx")))).withColumn("cy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
+    placed = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / reach).cast("long").alias("cx"), F.floor(F.col("y") / reach).cast("long").alias("cy"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    n = dx * dx + dy * dy
+    t = F.when(n > 0, F.least(F.greatest(((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy) / n, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    hit = placed.join(cells, ["cx", "cy"]).withColumns({"x": F.col("ax") + t * dx, "y": F.col("ay") + t * dy})
+    hit = hit.withColumn("distance", F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2))).where(F.col("distance") <= reach)
+    best = hit.groupBy("id").agg(F.min(F.struct("distance", "segment", "x", "y")).alias("b"))
+    return best.select("id", "b.segment", "b.distance", "b.x", "b.y")
+
+
+def walk_hierarchy(nodes: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
+    """(code, root, level): nodes reached from the roots, each child's code an extension of its parent's; (code, parent) rows, level 0 for roots."""
+    level = roots.select("code", F.col("code").alias("root"), F.lit(0).alias("level"))
+    out = level
+    for n in range(1, depth + 1):
+        above = level.select(F.col("code").alias("parent"), "root")
+        level = nodes.join(above, "parent").where(F.col("code").startswith(F.col("parent")) & (F.length("code") > F.length("parent"))).select("code", "root", F.lit(n).alias("level"))
+        out = out.unionByName(level)
+    return out
+
+
+def without_conflicts(df: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row for each key whose rows agree; keys with contradictory editions are left out altogether."""
+    s = df.groupBy(key).agg(F.countDistinct(F.struct(*values)).alias("_n"), *[F.min(v).alias(v) for v in values])
+    return s.where("_n = 1").drop("_n")
+
+
+def most_common(df: DataFrame, value: str, k: int = 20) -> DataFrame:
+    """The k most frequent values with their counts, ties to the smaller value."""
+    return df.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)
 
 
 def cascade(df: DataFrame, tables: list[tuple[str, DataFrame, list[str]]], fields: list[str]) -> DataFrame:
@@ -101,15 +197,21 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (left_id, right_id, rule) that match by some key, each side once; the first key that gives a pair names the rule."""
-    hits = None
+    """Pairs (left_id, right_id, rule) that match by some key, each side once; the first key that gives a pair names the rule.
+
+    A key's rows are counted before anything is paired: a side that meets several is
+    ambiguous whoever they are, so pairs are only made where the other side is one row.
+    """
+    sides: list = [None, None]
     for n, k in enumerate(keys):
-        l, r = left.select(F.col("id").alias("left_id"), F.col(k).alias("_k")), right.select(F.col("id").alias("right_id"), F.col(k).alias("_k"))
-        h = l.join(r, "_k").select("left_id", "right_id", F.lit(n).alias("_n"), F.lit(k).alias("rule"))
-        hits = h if hits is None else hits.unionByName(h)
-    pairs = hits.groupBy("left_id", "right_id").agg(F.min_by("rule", "_n").alias("rule"))
-    lefts, rights = Window.partitionBy("left_id"), Window.partitionBy("right_id")
-    return pairs.withColumns({"_l": F.count("*").over(lefts), "_r": F.count("*").over(rights)}).where("_l = 1 and _r = 1").drop("_l", "_r")
+        counts = [df.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.count("*").alias(c), F.min("id").alias(o)) for df, c, o in ((left, "_l", "_lo"), (right, "_r", "_ro"))]
+        groups = counts[0].join(counts[1], "_k")
+        for s, (df, other, partner) in enumerate(((left, "_r", "_ro"), (right, "_l", "_lo"))):
+            rows = df.select("id", F.col(k).alias("_k")).join(groups, "_k").select("id", F.when(F.col(other) == 1, F.col(partner)).alias("p"), (F.col(other) > 1).alias("many"), F.lit(n).alias("n"), F.lit(k).alias("rule"))
+            sides[s] = rows if sides[s] is None else sides[s].unionByName(rows)
+    single = [s.groupBy("id").agg(F.max("many").alias("many"), F.min("p").alias("p"), F.max("p").alias("q"), F.min_by("rule", "n").alias("rule")).where("not many and p = q") for s in sides]
+    l, r = (x.select(F.col("id").alias(a), F.col("p").alias(b), "rule") for x, a, b in ((single[0], "left_id", "right_id"), (single[1], "right_id", "left_id")))
+    return l.join(r.drop("rule"), ["left_id", "right_id"])
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

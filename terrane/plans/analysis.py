@@ -121,11 +121,11 @@ def compare_cells_ab(spark, sf):
     return N.compare(a, b, ["cell"], "n").withColumn("status", S.change_status(F.col("before"), F.col("after")))
 
 
-@query(f"WITH {EDGES}, a AS (SELECT o, d, sum(size) AS n FROM e WHERE year = 1996 GROUP BY 1, 2), b AS (SELECT o, d, sum(size) AS n FROM e WHERE year = 1997 GROUP BY 1, 2), f AS (SELECT coalesce(a.o, b.o) AS o, coalesce(a.d, b.d) AS d, CAST(coalesce(a.n, 0) AS BIGINT) AS before, CAST(coalesce(b.n, 0) AS BIGINT) AS after FROM a FULL JOIN b ON a.o = b.o AND a.d = b.d) SELECT o, d, before, after, after - before AS delta FROM f ORDER BY abs(after - before) DESC, o, d LIMIT 50")
+@query(f"WITH {EDGES}, a AS (SELECT o, d, sum(size) AS n FROM e WHERE year = 1996 GROUP BY 1, 2), b AS (SELECT o, d, sum(size) AS n FROM e WHERE year = 1997 GROUP BY 1, 2), f AS (SELECT coalesce(a.o, b.o) AS o, coalesce(a.d, b.d) AS d, CAST(coalesce(a.n, 0) AS BIGINT) AS before, CAST(coalesce(b.n, 0) AS BIGINT) AS after FROM a FULL JOIN b ON a.o = b.o AND a.d = b.d) SELECT o, d, before, after, after - before AS delta FROM f")
 def compare_trips_ab(spark, sf):
     e = edges(spark, sf)
     a, b = (e.where(F.col("year") == y).groupBy("o", "d").agg(F.sum("size").alias("n")) for y in (1996, 1997))
-    return N.compare(a, b, ["o", "d"], "n").orderBy(F.desc(F.abs("delta")), "o", "d").limit(50)
+    return N.compare(a, b, ["o", "d"], "n").orderBy(F.desc(F.abs("delta")), "o", "d")
 
 
 @query("SELECT n_regionkey, n_nationkey, c_mktsegment, CAST(grouping(n_regionkey) * 4 + grouping(n_nationkey) * 2 + grouping(c_mktsegment) AS INTEGER) AS level, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey, c_mktsegment)")

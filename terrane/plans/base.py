@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,3 +66,12 @@ def nation_place(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 CX, CY = place_sql("c_custkey")
 SX, SY = place_sql("s_suppkey")
+
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+
+
+def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A DataFrame from SQL that both engines read alike; table names stand for the tables of sf_dir."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    text = re.sub(rf"\b({'|'.join(TABLES)})\b", r"{\1}", sql)
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})

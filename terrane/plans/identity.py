@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrane.operators import relational as R
-from terrane.plans.base import registry, table
+from terrane.plans.base import shared, registry, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -88,12 +88,15 @@ def longest_prefix_join(spark, sf):
     return R.longest_prefix(p, "code", n, "node", range(1, 5)).select("p_partkey", "code", "node")
 
 
-@query("WITH l AS (SELECT c_custkey AS id, c_name AS n, c_nationkey * 1000 + c_custkey % 100 AS k FROM customer WHERE c_custkey % 3 = 0), r AS (SELECT c_custkey + 1 AS id, 'Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS n, c_nationkey * 1000 + c_custkey % 100 AS k FROM customer WHERE c_custkey % 2 = 0), h AS (SELECT l.id AS left_id, r.id AS right_id, 0 AS o, 'n' AS rule FROM l JOIN r USING (n) UNION ALL SELECT l.id, r.id, 1, 'k' FROM l JOIN r USING (k)), p AS (SELECT left_id, right_id, min_by(rule, o) AS rule FROM h GROUP BY 1, 2) SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY left_id) = 1 AND count(*) OVER (PARTITION BY right_id) = 1")
+CATALOGUES = "SELECT c_custkey AS l, c_custkey + 1 AS r, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS ln, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'none' END AS rn, c_custkey - c_custkey % 2 AS lk, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey - c_custkey % 4 END AS rk FROM customer"
+
+
+@query(f"WITH c AS ({CATALOGUES}), h AS (SELECT a.l AS left_id, b.r AS right_id, 0 AS o, 'n' AS rule FROM c a JOIN c b ON a.ln = b.rn UNION ALL SELECT a.l, b.r, 1, 'k' FROM c a JOIN c b ON a.lk = b.rk), p AS (SELECT left_id, right_id, min_by(rule, o) AS rule FROM h GROUP BY 1, 2) SELECT * FROM p QUALIFY count(*) OVER (PARTITION BY left_id) = 1 AND count(*) OVER (PARTITION BY right_id) = 1")
 def merge_catalogs_one_to_one(spark, sf):
-    c = table(spark, sf, "customer")
-    k = F.col("c_nationkey") * 1000 + F.col("c_custkey") % 100
-    left = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("n"), k.alias("k"))
-    right = c.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 1).alias("id"), F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("n"), k.alias("k"))
+    """Two catalogues of all customers with gaps in their names and shared, partly wider keys."""
+    c = shared(spark, sf, CATALOGUES)
+    left = c.select(F.col("l").alias("id"), F.col("ln").alias("n"), F.col("lk").alias("k"))
+    right = c.select(F.col("r").alias("id"), F.col("rn").alias("n"), F.col("rk").alias("k"))
     return R.merge_one_to_one(left, right, ["n", "k"])
 
 

@@ -75,7 +75,7 @@ def names(spark, sf):
 
 NS = f"n AS (SELECT p_partkey, {NAME} AS name, p_brand, p_size FROM part)"
 FOLD = f"translate(name, '{S.ACCENTED}', '{S.PLAIN}')"
-KEY = f"k0 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(lower({FOLD})), '^(colonia|col[.]?) +', ''), '^(fraccionamiento|fracc[.]?) +', ''), '^(supermanzana|super manzana|smz?[.]?) *', 'supermanzana ') AS s FROM n), k AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(s, '^[0-9]+$') THEN 'supermanzana ' || s ELSE s END, '[^a-z0-9ñ]', '', 'g') AS key FROM k0)"
+KEY = f"k0 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(lower({FOLD})), '^(super *manzana|s[.]? *m[.]?)(\\s+|[0-9]|$)', 'supermanzana \\2'), '^(region|reg[.]?)(\\s+|[0-9]|$)', 'region \\2'), '^(colonia|col[.]?|fraccionamiento|fracc[.]?)\\s+', '') AS s FROM n), k AS (SELECT *, regexp_replace(CASE WHEN regexp_matches(trim(s), '^[0-9]+[a-z]?$') THEN 'supermanzana ' || s ELSE s END, '[^a-z0-9ñ]', '', 'g') AS key FROM k0)"
 
 
 @query(f"WITH {NS}, {KEY} SELECT p_partkey, key FROM k")
