@@ -20,11 +20,15 @@ SIDES = "r(x1, y1, x2, y2) AS (VALUES " + ", ".join(f"({a[0]}::DOUBLE, {a[1]}::D
 IN_RING = "count(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 END) % 2 = 1"
 
 
+NEAR = "least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)), 0), 1)"
+ON_RING = f"min(sqrt(pow(x - x1 - {NEAR} * (x2 - x1), 2) + pow(y - y1 - {NEAR} * (y2 - y1), 2))) <= 0.001"
+
+
 def ring():
     return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in RING])
 
 
-@query(f"WITH p AS ({POINTS} UNION ALL SELECT -1, 50, 15, 0, 0), {SIDES}, s AS (SELECT id, residents, jobs FROM p, r GROUP BY id, x, y, residents, jobs HAVING {IN_RING} OR id = -1), t AS (SELECT count(*) AS points, sum(residents) AS residents, sum(jobs) AS jobs FROM s) SELECT points, CAST(residents AS BIGINT) AS residents, CAST(jobs AS BIGINT) AS jobs, (jobs - residents) / (jobs + residents) AS balance, residents / (SELECT sum(residents) FROM p) AS share FROM t")
+@query(f"WITH p AS ({POINTS} UNION ALL SELECT -1, 50, 15, 0, 0), {SIDES}, s AS (SELECT id, residents, jobs FROM p, r GROUP BY id, x, y, residents, jobs HAVING {IN_RING} OR {ON_RING}), t AS (SELECT count(*) AS points, sum(residents) AS residents, sum(jobs) AS jobs FROM s) SELECT points, CAST(residents AS BIGINT) AS residents, CAST(jobs AS BIGINT) AS jobs, (jobs - residents) / (jobs + residents) AS balance, residents / (SELECT sum(residents) FROM p) AS share FROM t")
 def polygon_selection(spark, sf):
     """Points a ring holds, one of them on its border: totals, balance and share."""
     border = spark.createDataFrame([(-1, 50.0, 15.0, 0, 0)], "id long, x double, y double, residents long, jobs long")  # on the side from (10, 10) to (90, 20)

@@ -113,14 +113,15 @@ def curated_merge(spark, sf):
     return T.curated_over_native(p.where("seq % 2 = 0"), native, removed).select("seq", "name", "origin")
 
 
-WITNESSES = "SELECT c_custkey AS k, CASE WHEN c_custkey % 20 = 0 THEN 'Centro' ELSE 'Col. Jardín ' || CAST(c_custkey % 5 AS STRING) END AS settlement, CAST(c_nationkey % 3 AS STRING) AS cve_ent, '' AS cve_mun, '' AS cve_loc, CASE c_custkey % 3 WHEN 0 THEN 'COLONIA' ELSE 'FRACC' END AS kind, -99 + CASE WHEN c_nationkey % 2 = 0 THEN 0 ELSE 5e-1 END + c_custkey * 37 % 100 / 100e3 AS lon, 19 + c_custkey * 53 % 100 / 100e3 AS lat FROM customer"
+WITNESSES = "SELECT c_custkey AS k, CASE WHEN c_custkey % 20 = 0 THEN 'Centro' ELSE 'Col. Jardín ' || CAST(c_custkey % 5 AS STRING) END AS settlement, CAST(c_nationkey % 3 AS STRING) AS cve_ent, '' AS cve_mun, '' AS cve_loc, CASE c_custkey % 3 WHEN 0 THEN 'COLONIA' ELSE 'FRACC' END AS kind, -99 + CASE WHEN c_nationkey % 2 = 0 THEN 0 ELSE 5e-1 END + c_custkey * 37 % 100 / 100e2 AS lon, 19 + c_custkey * 53 % 100 / 100e2 AS lat FROM customer"
 
 
-@query(f"WITH w AS ({WITNESSES}), g AS (SELECT replace(lower(replace(settlement, 'Col. ', '')), 'jardín ', 'jardin') AS key, cve_ent, lon > -98.75 AS east, lon, lat FROM w WHERE settlement <> 'Centro') SELECT key, cve_ent, count(*) AS witnesses, round(median(lon), 5) AS lon, round(median(lat), 5) AS lat FROM g GROUP BY key, cve_ent, east HAVING count(*) >= 3")
+@query(f"WITH w AS ({WITNESSES}), g AS (SELECT replace(lower(replace(settlement, 'Col. ', '')), 'jardín ', 'jardin') AS key, cve_ent, lon > -98.75 AS east, lon, lat FROM w WHERE settlement <> 'Centro') SELECT key, cve_ent, count(*) AS witnesses, CAST(round(median(lon) * 100000) AS BIGINT) AS lon, CAST(round(median(lat) * 100000) AS BIGINT) AS lat FROM g GROUP BY key, cve_ent, east HAVING count(*) >= 3")
 def territorial_groups(spark, sf):
     """Witnesses of one name and territory in parts at most 5 km wide: two lots, half a degree apart."""
     g = T.territorial_groups(shared(spark, sf, WITNESSES), name="settlement", least=3)
-    return g.select("key", "cve_ent", "witnesses", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
+    whole = lambda c: F.round(F.col(c) * 100000).cast("long").alias(c)
+    return g.select("key", "cve_ent", "witnesses", whole("lon"), whole("lat"))
 
 
 @query(f"WITH w AS ({WITNESSES}), c AS (SELECT settlement, count(*) AS n, median(lon) AS lon, median(lat) AS lat FROM w GROUP BY 1 HAVING count(*) >= 6), d AS (SELECT settlement, quantile_cont(sqrt(pow((w.lon - c.lon) * 111320 * cos(radians(c.lat)), 2) + pow((w.lat - c.lat) * 110574, 2)), 0.8) AS radius FROM w JOIN c USING (settlement) GROUP BY 1), m AS (SELECT settlement, kind FROM (SELECT settlement, kind, count(*) AS n FROM w GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY settlement ORDER BY n DESC, kind) = 1) SELECT settlement, n, round(lon, 9) AS lon, round(lat, 9) AS lat, round(radius, 4) AS radius, kind FROM c JOIN d USING (settlement) JOIN m USING (settlement)")
