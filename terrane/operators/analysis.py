@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def selected_trips(edges: DataFrame, chosen: DataFrame, size: str) -> DataFrame:
     """Cells outside a selection by what leaves it to them and enters it from them, ranked by the sum."""
-    inside = F.broadcast(chosen.select("id"))
+    inside = chosen.select("id").distinct()  # of any size: it is broadcast at run time while it is small
     ends = edges.join(inside.select(F.col("id").alias("o"), F.lit(True).alias("_o")), "o", "left").join(inside.select(F.col("id").alias("d"), F.lit(True).alias("_d")), "d", "left")
     out = ends.where("_o and _d is null").select(F.col("d").alias("cell"), F.col(size).alias("leaving"), F.lit(0).cast("long").alias("entering"))
     into = ends.where("_d and _o is null").select(F.col("o").alias("cell"), F.lit(0).cast("long").alias("leaving"), F.col(size).alias("entering"))
@@ -20,7 +20,7 @@ def area_pair(edges: DataFrame, a: DataFrame, b: DataFrame, size: str) -> DataFr
     """Demand between two areas, both ways, with the totals it is a share of."""
 
     def mark(df: DataFrame, end: str, ids: DataFrame, name: str) -> DataFrame:
-        return df.join(F.broadcast(ids.select(F.col("id").alias(end), F.lit(True).alias(name))), end, "left")
+        return df.join(ids.select(F.col("id").alias(end), F.lit(True).alias(name)).distinct(), end, "left")
 
     e = edges
     for end in ("o", "d"):

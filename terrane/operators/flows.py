@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.sources.scratch import settled
+
 
 def pair_totals(edges: DataFrame, size: str) -> DataFrame:
     """Directed totals with the share of the origin's total and rank by size, ties by pair."""
@@ -40,6 +42,28 @@ def nearest_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_k_any(origins: DataFrame, destinations: DataFrame, k: int, start: float) -> DataFrame:
+    """The k nearest permitted destinations of each origin however far: (o, d, distance, rank), by cells whose size grows for origins that lack some.
+
+    With k hits within one cell size these are the nearest; the others go on to
+    larger cells until these span everything.
+    """
+    span = origins.select("x", "y").unionByName(destinations.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    if span[0] is None:
+        return nearest_k(support(origins, destinations, start, start), k)
+    radius, widest, open_, out = start, 1.5 * (span[0] + span[1]) + start, origins, None
+    while True:
+        found = settled(nearest_k(support(open_, destinations, radius, radius), k))
+        last = radius >= widest
+        full = found.groupBy("o").agg(F.count("*").alias("n")).where(F.col("n") >= (1 if last else k)).select("o")
+        done = found.join(full, "o", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        open_ = open_.join(full.select(F.col("o").alias("id")), "id", "left_anti")
+        radius *= 3
+
+
 def row_softmax(edges: DataFrame, score: str, budget: str) -> DataFrame:
     """Each origin's budget spread by exp(score), shifted by the row's maximum."""
     w = Window.partitionBy("o")

@@ -125,7 +125,7 @@ def od_support_theta(spark, sf):
 @query(f"WITH n AS ({NODES}), p AS (SELECT a.id AS o, b.id AS d, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS distance FROM n a JOIN n b ON a.zone = b.zone AND a.id <> b.id), r AS (SELECT o, d, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY o ORDER BY distance, d) AS INTEGER) AS rank FROM p) SELECT * FROM r WHERE rank <= 5")
 def knn5_fallback(spark, sf):
     n = nodes(spark, sf)
-    return O.nearest_k(O.support(n, n, 200.0, 200.0), 5).withColumn("distance", F.round("distance", 6))
+    return O.nearest_k_any(n, n, 5, 20.0).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT n_nationkey AS id, n_regionkey AS component, round(sum(n_nationkey + 1) OVER (PARTITION BY n_regionkey) * (n_nationkey % 7) / nullif(sum(n_nationkey % 7) OVER (PARTITION BY n_regionkey), 0), 6) AS target FROM nation")

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def own_root() -> str:
+    """A folder of this process, removed at its end; for a local master without a shared folder (tests)."""
+    root = tempfile.mkdtemp(prefix="terrane-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a temporary folder only on a local master where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="terrane-")
+        root = own_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
