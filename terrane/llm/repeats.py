@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from terrane.llm.bwt import repeated
 from terrane.llm.common import Scratch, fresh
 
-GRAM, BLOCK, BATCH, HELD, WORD = 32, 1 << 19, 3 << 18, 32 << 20, 4
+GRAM, BLOCK, BATCH, HELD, USES, WORD = 32, 1 << 19, 3 << 18, 24 << 20, 1 << 16, 8
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64(0xFFFFF)
 _powers: dict = {}
@@ -99,9 +99,8 @@ def cut_fragments(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["name", "digest", "_d", "_t", "first", "n", "count", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, held = {}, 0
+        some, held, uses = {}, 0, []
         for b in batches:
-            uses = []
             for d, t, text, names in zip(*(b.column(i) for i in range(4)), strict=True):
                 d, t, data = d.as_py(), t.as_py(), raw(text.as_py()).tobytes()
                 for f in names.as_py():
@@ -114,10 +113,14 @@ def cut_fragments(docs: DataFrame, length: int) -> DataFrame:
                         held += len(piece) + 200
                     else:
                         own[1] += 1
-            full, held = (some, 0) if held > HELD else ({}, held)
-            if uses:
-                yield rows(uses, full)
-            some = {} if full else some
+                    if len(uses) >= USES:
+                        yield rows(uses, {})
+                        uses = []
+                if held > HELD:
+                    yield rows(uses, some)
+                    some, held, uses = {}, 0, []
+        if uses:
+            yield rows(uses, {})
         if some:
             yield rows([], some)
 
