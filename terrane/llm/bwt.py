@@ -166,7 +166,7 @@ def shared_blocks(owner: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.repeat(mixed, np.diff(np.r_[at, len(owner)]))
 
 
-def repeated(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int = 8, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
+def repeated(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int = 8, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
     """For each string, which of its first `starts` places begin a `depth`-byte string of total weight 2 or more in all of them.
 
     A string stands for `weights` equal copies. depth must be a multiple of width.

@@ -82,6 +82,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """The rows of docs whose id and digest of their text are in kept (doc_id, t, n), one for each, in all their columns.
+
+    n says how many rows of docs share that pair: only where some pair has several are
+    rows compared with each other; else nothing but the join moves the documents.
+    """
+    own, kept_id, kept_text, many = fresh(docs, "own_text", "kept_id", "kept_text", "kept_rows")
+    kept = Scratch(docs.sparkSession, "kept").keep(kept.toDF(kept_id, kept_text, many), "pairs")
+    match = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_text))
+    found = lambda pairs: docs.withColumn(own, text).join(pairs, match, "left_semi")
+    twins = kept.where(F.col(many) > 1)
+    if twins.isEmpty():
+        return found(kept).drop(own)
+    return found(kept.where(F.col(many) == 1)).unionByName(found(twins).dropDuplicates([id_col, own])).drop(own)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

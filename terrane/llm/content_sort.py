@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Scratch, fresh, partitions
+from terrane.llm.common import Scratch, one_of_each, partitions
 
 
 def content_sort(
@@ -93,10 +93,7 @@ def drop_copies(docs: DataFrame, **how) -> DataFrame:
     id either. Columns of any names are carried; an empty table stays empty.
     """
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    own, kept_id, kept_sha = fresh(docs, "own_sha", "kept_id", "kept_sha")
-    kept = content_sort(docs, **how).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    best = content_sort(docs, **how).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept")
     normalise = how.get("normalise") or (lambda c: c)
     sha = F.sha2(normalise(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    match = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha))
-    joined = docs.withColumn(own, sha).join(kept, match, "left_semi")
-    return joined.dropDuplicates([id_col, own]).drop(own)
+    return one_of_each(docs, best.select("doc_id", F.col("text_sha256").alias("t"), "n"), id_col, sha)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from terrane.llm.bwt import repeated
 from terrane.llm.common import Scratch, fresh
 
-GRAM, BLOCK, BATCH, HELD, USES, WORD = 32, 1 << 19, 3 << 18, 24 << 20, 1 << 16, 8
+GRAM, BLOCK, BATCH, HELD, USES, WORD = 32, 1 << 19, 1 << 19, 16 << 20, 1 << 15, 8
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64(0xFFFFF)
 _powers: dict = {}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Scratch, fresh
+from terrane.llm.common import Scratch, one_of_each
 from terrane.llm.components import components
 
 BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -269,7 +269,6 @@ def drop_near_copies(docs: DataFrame, *, far: int = 4, shingle: int = 4, **how)
     their names; an empty table stays empty.
     """
     rows = grouped(docs, far, shingle, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    own, kept_id, kept_text = fresh(docs, "own_text", "kept_id", "kept_text")
-    kept = rows.groupBy("root").agg(F.first("doc_id").alias(kept_id), F.min("t").alias(kept_text)).select(kept_id, kept_text)
-    match = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_text))
-    return docs.withColumn(own, text_hash()).join(kept, match, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
+    best = rows.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("t").alias("t"))
+    twins = rows.groupBy("root", "t").agg(F.count("*").alias("n"))
+    return one_of_each(docs, best.join(twins, ["root", "t"]).select("doc_id", "t", "n"), "doc_id", text_hash())
