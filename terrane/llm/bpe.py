@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from terrane.llm.common import claim
 from terrane.llm.words import Encoder
 
 CELLS = 1_000_000
@@ -180,7 +181,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = opened(path, pattern)[0]
+        bpe, encoder = opened(path, pattern)
+        claim(path, encoder.reset)
         for b in batches:
             n, coded, decoded = [], [], []
             for ids in encode(b.column(1), path, pattern):

@@ -7,7 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +82,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_memos: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, clear: Callable[[], object] = lambda: None) -> None:
+    """Called in a Python worker by the operator that runs there: what other operators remembered in it is forgotten."""
+    for other, forget in list(_memos.items()):
+        if other != name:
+            forget()
+            del _memos[other]
+    _memos[name] = clear
+
+
 def one_of_each(docs: DataFrame, kept: DataFrame, id_col: str, text: Column) -> DataFrame:
     """The rows of docs whose id and digest of their text are in kept (doc_id, t, n), one for each, in all their columns.
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.common import claim
+
 MEMO_CELLS, CELLS, WINDOW, SCALE_EVERY, GROUP_CHARS = 1_600_000, 400_000, 2048, 16, 2_000_000
 FLOOR = 1e-9
 MARK = "▁"
@@ -280,6 +282,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        claim("language", _memo.clear)
         for b in batches:
             langs, scores = m.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Scratch, fresh
+from terrane.llm.common import Scratch, claim, fresh
 from terrane.llm.words import library_encoder, with_end
 
 BLOCK_ROWS = 20_000
@@ -108,6 +108,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, end_id: int, most: int = 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
+        claim(tokenizer, encoder.reset)
         for b in batches:
             rows, start, length, crc, total = [], [], [], [], []
             k = 0

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.bwt import repeated
-from terrane.llm.common import Scratch, fresh
+from terrane.llm.common import Scratch, claim, fresh
 
 GRAM, BLOCK, BATCH, HELD, USES, WORD = 32, 1 << 19, 1 << 19, 16 << 20, 1 << 15, 8
 BASE = 0x9E3779B97F4A7C15
@@ -99,6 +99,7 @@ def cut_fragments(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["name", "digest", "_d", "_t", "first", "n", "count", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         some, held, uses = {}, 0, []
         for b in batches:
             for d, t, text, names in zip(*(b.column(i) for i in range(4)), strict=True):
@@ -141,6 +142,7 @@ def find_repeats(pieces: DataFrame, length: int, width: int) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         held: dict = {}
         size, last = 0, None
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Scratch
+from terrane.llm.common import Scratch, claim
 from terrane.llm.words import library_encoder, with_end
 
 WINDOW, MASK, LEAST, MOST, HELD = 16, np.uint64(0x1FF << 40), 64, 4096, 16 << 20
@@ -145,6 +145,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = library_encoder(tokenizer), set()
+        claim(tokenizer, encoder.reset)
         for b in batches:
             row = 0
             for ids, bounds in encoder.groups(b.column(1)):

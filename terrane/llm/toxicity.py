@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from terrane.llm.common import claim
+
 MEMO_WORDS, GROUP_CHARS = 600_000, 2_000_000
 _memo: dict = {}
 
@@ -210,6 +212,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        claim("toxicity", _memo.clear)
         for b in batches:
             s = m.scores(b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, name])
