@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.suffix_tree import score_texts
+
+    scored = score_texts(table(spark, sf_dir, "documents"), split_of(F.col("doc_id"), 10) != 0)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order of words in a text of n: one text in ten, by its id, repeats some of its words from a place on (null ids: as they stand)."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.runs import collapse_runs, digests
+
+    return collapse_runs(table(spark, sf_dir, "documents"), planted_order).select("doc_id", *digests())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), k=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
@@ -108,5 +141,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_counts": op8_counts,
     "op9_repeats": op9_repeats,
     "op10_toxicity": op10_toxicity,
+    "op11_scoring": op11_scoring,
+    "op12_runs": op12_runs,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
