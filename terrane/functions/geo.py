@@ -151,3 +151,47 @@ def ring_problem(ring: Column) -> Column:
     crossing = F.exists(sides, lambda s: F.exists(sides, lambda t: meet(s, t)))
     distinct = F.size(F.array_distinct(ring))
     return F.when(distinct < 3, "too few vertices").when(distinct < n, "repeated vertex").when(crossing, "crossing sides").when(ring_area(ring) < 1e-6, "no area")
+
+
+def sides(rings: Column) -> Column:
+    """All sides of a polygon's rings (array of rings, not closed) as array<struct<ax, ay, bx, by>>."""
+
+    def of_ring(ring: Column) -> Column:
+        after = lambda i: F.get(ring, F.when(i + 1 < F.size(ring), i + 1).otherwise(0))
+        return F.transform(ring, lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), after(i)["x"].alias("bx"), after(i)["y"].alias("by")))
+
+    return F.flatten(F.transform(rings, of_ring))
+
+
+def side_x(side: Column, y: Column) -> Column:
+    """Where a side stands at a height; its ends exactly."""
+    between = side["ax"] + (y - side["ay"]) * (side["bx"] - side["ax"]) / F.nullif(side["by"] - side["ay"], F.lit(0.0))
+    return F.when(y == side["ay"], side["ax"]).when(y == side["by"], side["bx"]).otherwise(between)
+
+
+def sides_cover(sides: Column, x: Column, y: Column, border: float = 0.0) -> Column:
+    """Whether an odd number of sides lies to the right of a point, or one of them within `border` of it."""
+    on = F.exists(sides, lambda s: segment_metres(x, y, s["ax"], s["ay"], s["bx"], s["by"]) <= border)
+    right = F.filter(sides, lambda s: ((s["ay"] > y) != (s["by"] > y)) & (x < side_x(s, y)))
+    return on | (F.size(right) % 2 == 1)
+
+
+def rings_area(rings: Column) -> Column:
+    """Of the rings that overlay traces (outer ones against the clock, holes with it)."""
+    return F.abs(F.aggregate(sides(rings), F.lit(0.0), lambda a, s: a + s["ax"] * s["by"] - s["bx"] * s["ay"])) / 2
+
+
+def interior_point(rings: Column) -> Column:
+    """struct(x, y) inside a polygon, never in a hole: the middle of its widest stretch on a line half way up, between two vertices' heights; null without area."""
+    s = F.filter(sides(rings), lambda t: t["ay"] != t["by"])
+    heights = F.array_sort(F.array_distinct(F.transform(s, lambda t: t["ay"])))
+    centre = (F.array_min(heights) + F.array_max(heights)) / 2
+    y = (F.array_max(F.filter(heights, lambda h: h <= centre)) + F.array_min(F.filter(heights, lambda h: h > centre))) / 2
+
+    def point(state: Column) -> Column:
+        cuts = F.array_sort(F.transform(F.filter(s, lambda t: (t["ay"] > state) != (t["by"] > state)), lambda t: side_x(t, state)))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)), lambda k: F.struct((F.get(cuts, k + 1) - F.get(cuts, k)).alias("w"), (-F.get(cuts, k)).alias("first"), ((F.get(cuts, k) + F.get(cuts, k + 1)) / 2).alias("x")))
+        best = F.array_max(pairs)
+        return F.when((F.size(cuts) > 1) & (best["w"] > 0), F.struct(best["x"].alias("x"), state.alias("y")))
+
+    return F.when(F.size(heights) > 1, F.get(F.transform(F.array(y), point), 0))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import allocation, analysis, audits, calibration, flows, geometry, identity, names, sources, spatial, toponymy, workplace
+from terrane.plans import allocation, analysis, audits, calibration, flows, geometry, identity, names, polygons, sources, spatial, toponymy, workplace
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (flows, analysis, calibration, identity, spatial, names, sources, workplace, allocation, toponymy, audits, geometry):
+for module in (flows, analysis, calibration, identity, spatial, names, sources, workplace, allocation, toponymy, audits, geometry, polygons):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
