@@ -182,7 +182,7 @@ def rings_area(rings: Column) -> Column:
 
 
 def interior_point(rings: Column) -> Column:
-    """struct(x, y) inside a polygon, never in a hole: the middle of its widest stretch on a line half way up, between two vertices' heights; null without area."""
+    """struct(x, y) inside a polygon, never in a hole: the middle of its widest stretch (the first of several) on a line half way up, between two vertices' heights; null without area."""
     s = F.filter(sides(rings), lambda t: t["ay"] != t["by"])
     heights = F.array_sort(F.array_distinct(F.transform(s, lambda t: t["ay"])))
     centre = (F.array_min(heights) + F.array_max(heights)) / 2
@@ -190,7 +190,7 @@ def interior_point(rings: Column) -> Column:
 
     def point(state: Column) -> Column:
         cuts = F.array_sort(F.transform(F.filter(s, lambda t: (t["ay"] > state) != (t["by"] > state)), lambda t: side_x(t, state)))
-        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)), lambda k: F.struct((F.get(cuts, k + 1) - F.get(cuts, k)).alias("w"), (-F.get(cuts, k)).alias("first"), ((F.get(cuts, k) + F.get(cuts, k + 1)) / 2).alias("x")))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)), lambda k: F.struct(F.round(F.get(cuts, k + 1) - F.get(cuts, k), 9).alias("w"), (-F.get(cuts, k)).alias("first"), ((F.get(cuts, k) + F.get(cuts, k + 1)) / 2).alias("x")))
         best = F.array_max(pairs)
         return F.when((F.size(cuts) > 1) & (best["w"] > 0), F.struct(best["x"].alias("x"), state.alias("y")))
 

@@ -159,7 +159,8 @@ def traced(trapezoids: list[tuple[float, ...]]) -> list[list[tuple[float, float]
         follow.setdefault((l1, y1), []).append((l0, y0))
         for y, a, b, sign in ((y0, l0, r0, 1), (y1, l1, r1, -1)):
             ends = level.setdefault(y, {})
-            ends[a], ends[b] = ends.get(a, 0) + sign, ends.get(b, 0) - sign
+            ends[a] = ends.get(a, 0) + sign
+            ends[b] = ends.get(b, 0) - sign
     for y, ends in level.items():
         xs, covered = sorted(ends), 0
         for a, b in zip(xs, xs[1:], strict=False):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import scalars as S
 from terrane.operators.relational import keep_first, ledger, ledger_conflicts
+from terrane.sources.workbooks import read_workbooks
 
 # Bytes without a character in Windows-1252, tokens of suppressed or missing counts, size strata of controls.
 UNDEFINED = frozenset({0x81, 0x8D, 0x8F, 0x90, 0x9D})
@@ -73,7 +74,13 @@ def decoded(content: Column) -> Column:
 
 
 def file_rows(spark: SparkSession, paths: str | list[str], *, sep: str = ",") -> DataFrame:
-    """(file, n, fields): the rows of small delimited files, quoted line breaks kept; trailing NUL bytes are padding."""
+    """(file, n, fields): the rows of small delimited files, quoted line breaks kept; trailing NUL bytes are padding.
+
+    Paths that end with .xlsx are workbooks: their sheets one after the other.
+    """
+    if isinstance(paths, str) and paths.lower().endswith(".xlsx"):
+        b = read_workbooks(spark, paths.removesuffix("*.xlsx"))
+        return b.select(F.concat_ws("#", "file", "sheet").alias("file"), "n", "fields")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,9 +223,13 @@ def projections(spark: SparkSession, paths: str | list[str], target: int, *, bas
 
 
 def census(spark: SparkSession, path: str, *, sep: str = ",", encoding: str = "UTF-8", counts: tuple[str, ...] = ("pobtot", "pocupada"), municipalities: list[str] | None = None) -> DataFrame:
-    """Census rows with padded keys (ent, mun, loc, ageb, mza, municipality) and each count with the token that stood in for it."""
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
-    df = df.toDF(*[c.strip().lower().lstrip("﻿") for c in df.columns])
+    """Census rows with padded keys (ent, mun, loc, ageb, mza, municipality) and each count with the token that stood in for it; a path that ends with .xlsx is a workbook."""
+    if path.lower().endswith(".xlsx"):
+        r = headed(file_rows(spark, path), ["ENTIDAD", "MUN"], within=12)
+        df = r.select(*[F.try_element_at("r", F.lit(c.upper())).alias(c) for c in ("entidad", "mun", "loc", "ageb", "mza", *counts)])
+    else:
+        df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+        df = df.toDF(*[c.strip().lower().lstrip("\ufeff") for c in df.columns])
     keys = [F.lpad(F.trim("entidad"), 2, "0").alias("ent"), F.lpad(F.trim("mun"), 3, "0").alias("mun"), S.geo_code(F.col("loc"), 4).alias("loc"), S.geo_code(F.col("ageb"), 4).alias("ageb"), S.geo_code(F.col("mza"), 3).alias("mza")]
     out = []
     for c in counts:
@@ -228,6 +239,33 @@ def census(spark: SparkSession, path: str, *, sep: str = ",", encoding: str = "U
     return rows.where(F.col("municipality").isin(*municipalities)) if municipalities else rows
 
 
+# What a suppressed count of people, and of those from 15 years on, stands for; bounds of growth and of what is taken for a ratio.
+SUPPRESSED_PEOPLE, SUPPRESSED_ADULTS = 1.5, 1.0
+GROWTH, RATIO = (0.90, 1.60), (0.70, 2.50)
+
+
+def populated_blocks(rows: DataFrame, people: str = "pobtot", adults: str = "p_15ymas") -> DataFrame:
+    """Block rows of census() with people: suppressed counts estimated, other gaps and impossible values zero, no more adults than people.
+
+    A block is a number above zero: a suppressed block code never passes for one.
+    """
+
+    def value(c: str, stand_in: float) -> Column:
+        finite = F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), F.greatest(F.col(c), F.lit(0.0))).otherwise(0.0)
+        return F.when(F.col(f"{c}_status") == "*", stand_in).otherwise(finite)
+
+    out = rows.withColumns({people: value(people, SUPPRESSED_PEOPLE), adults: value(adults, SUPPRESSED_ADULTS)})
+    return out.withColumn(adults, F.least(adults, people)).where((F.coalesce(F.col("mza").try_cast("int"), F.lit(0)) > 0) & (F.col(people) > 0))
+
+
+def growth_factors(projected: DataFrame, blocks: DataFrame, people: str = "pobtot") -> DataFrame:
+    """(municipality, growth): a projected value near one is the ratio itself, a larger one is divided by the people of the blocks; bounded, to four places."""
+    totals = blocks.groupBy("municipality").agg(F.sum(people).alias("_people"))
+    ratio = F.when(F.col("value").between(*RATIO), F.col("value")).when(F.col("_people") > 0, F.col("value") / F.col("_people"))
+    bounded = F.bround(F.least(F.greatest(ratio, F.lit(GROWTH[0])), F.lit(GROWTH[1])), 4)
+    return projected.join(totals, "municipality", "left").select("municipality", F.when(ratio.isNotNull(), bounded).alias("growth")).where("growth IS NOT NULL")
+
+
 def invalid_counts(rows: DataFrame, counts: list[str]) -> DataFrame:
     """Rows of census() with a count that is neither a known token nor a whole number from 0 on."""
     bad = F.lit(False)
