@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.sources.scratch import settled
+from terrane.sources.scratch import Rounds, settled
 
 RELIABILITY = (0.1, 10.0)
 
@@ -71,21 +71,22 @@ def entropy_balance(edges: DataFrame, targets: DataFrame, groups: DataFrame, *,
     v, w = targets.select("d", "target", F.lit(0.0).alias("v")), groups.select("g", "goal", "reliability", F.lit(0.0).alias("w"))
     # Scores are shifted once by each origin's largest: prices are bounded, so nothing overflows later.
     top = edges.groupBy("o").agg(F.max("score").alias("_m"))
-    edges = settled(edges.join(top, "o").select("o", "d", "g", (F.col("score") - F.col("_m")).alias("_s"), "budget"))
+    work = Rounds(edges.sparkSession, "balance")
+    edges = work.keep("edges", edges.join(top, "o").select("o", "d", "g", (F.col("score") - F.col("_m")).alias("_s"), "budget"))
 
     def flows() -> DataFrame:
         e = edges.join(v, "d").join(w, "g").withColumn("_e", F.exp(F.col("_s") - F.col("v") - F.col("w")))
-        total = settled(e.groupBy("o").agg(F.sum("_e").alias("_t")))
+        total = work.keep("totals", e.groupBy("o").agg(F.sum("_e").alias("_t")))
         return e.join(total, "o").select("o", "d", "g", (F.col("_e") / F.col("_t") * F.col("budget")).alias("flow"))
 
     for _ in range(rounds):
         now = flows().groupBy("d").agg(F.sum("flow").alias("n"))
         step = F.col("v") + F.ln(F.col("n") / F.col("target"))
-        v = settled(v.join(now, "d", "left").select("d", "target", F.when((F.col("target") > 0) & (F.col("n") > 0), F.least(F.greatest(step, F.lit(-15.0)), F.lit(15.0))).otherwise(F.col("v")).alias("v")))
+        v = work.keep("v", v.join(now, "d", "left").select("d", "target", F.when((F.col("target") > 0) & (F.col("n") > 0), F.least(F.greatest(step, F.lit(-15.0)), F.lit(15.0))).otherwise(F.col("v")).alias("v")))
         now = flows().groupBy("g").agg(F.sum("flow").alias("n"))
         r = F.col("reliability")
         step = F.col("w") + r / (1 + r) * (F.ln(F.col("n") / F.col("goal")) - F.col("w") / r)
-        w = settled(w.join(now, "g", "left").select("g", "goal", "reliability", F.when((F.col("goal") > 0) & (F.col("n") > 0), F.least(F.greatest(step, -15 * r), 15 * r)).otherwise(F.col("w")).alias("w")))
+        w = work.keep("w", w.join(now, "g", "left").select("g", "goal", "reliability", F.when((F.col("goal") > 0) & (F.col("n") > 0), F.least(F.greatest(step, -15 * r), 15 * r)).otherwise(F.col("w")).alias("w")))
     return flows().select("o", "d", "flow")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.sources.scratch import settled
+from terrane.sources.scratch import Rounds, settled
 
 
 def pair_totals(edges: DataFrame, size: str) -> DataFrame:
@@ -71,30 +71,30 @@ def row_softmax(edges: DataFrame, score: str, budget: str) -> DataFrame:
     return e.withColumn("flow", F.col("_e") / F.sum("_e").over(w) * F.col(budget)).drop("_e")
 
 
-def ipf(edges: DataFrame, origins: DataFrame, destinations: DataFrame, rounds: int, every: int = 5, tolerance: float | None = None) -> DataFrame:
+def ipf(edges: DataFrame, origins: DataFrame, destinations: DataFrame, rounds: int, tolerance: float | None = None) -> DataFrame:
     """Doubly constrained balance of (o, d, w) to origin totals (o, out) and destination totals (d, in).
 
-    Each round scales columns, then rows; rows are exact at the end. The edge list
-    never changes: a round is a factor for each destination, then one for each
-    origin, as aggregations with map-side combining that join back to the edges
-    (broadcast while they are small). Factors are cut from their lineage every few
-    rounds where a checkpoint folder is set; with a tolerance the loop ends when no
-    column is off by a larger share.
+    Each round scales columns, then rows; rows are exact at the end. The edge list is
+    written once and never changes: a round is a factor for each destination, then one
+    for each origin, as aggregations with map-side combining over a join of the edges
+    with the other side's factors, which are written in each round. With a tolerance
+    the loop ends when no column is off by a larger share (columns nobody can reach
+    are left out); the sums that tell are those that the next round needs anyway.
     """
-    e = edges.join(origins, "o").join(destinations, "d").where("w > 0").select("o", "d", "w", "in", "out").persist()
-    cut = e.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    rows, columns = None, None
+    work = Rounds(edges.sparkSession, "ipf")
+    e = work.keep("edges", edges.join(origins, "o").join(destinations, "d").where("w > 0").select("o", "d", "w", "in", "out"))
+    rows = columns = None
     for r in range(rounds):
         scaled = e.withColumn("_a", F.lit(1.0)) if rows is None else e.join(rows, "o")
-        columns = scaled.groupBy("d").agg((F.first("in") / F.sum(F.col("w") * F.col("_a"))).alias("_b"))
-        rows = e.join(columns, "d").groupBy("o").agg((F.first("out") / F.sum(F.col("w") * F.col("_b"))).alias("_a"))
-        if (r + 1) % every == 0 and cut:
-            rows, columns = rows.checkpoint(), columns.checkpoint()
-        if tolerance is not None:
-            now = e.join(rows, "o").join(columns, "d").groupBy("d").agg(F.abs(F.sum(F.col("w") * F.col("_a") * F.col("_b")) / F.first("in") - 1).alias("x"))
-            off = now.agg(F.max("x")).first()[0]
+        sums = scaled.groupBy("d").agg(F.first("in").alias("in"), F.sum(F.col("w") * F.col("_a")).alias("_s"))
+        if tolerance is not None and columns is not None:
+            sums = work.keep("sums", sums)
+            off = sums.join(columns, "d").agg(F.max(F.abs(F.col("_s") * F.col("_b") / F.nullif(F.col("in"), F.lit(0.0)) - 1))).first()[0]
             if off is None or off <= tolerance:
                 break
+        columns = work.keep("columns", sums.select("d", F.when(F.col("_s") > 0, F.col("in") / F.col("_s")).otherwise(0.0).alias("_b")))
+        sums = e.join(columns, "d").groupBy("o").agg(F.first("out").alias("out"), F.sum(F.col("w") * F.col("_b")).alias("_s"))
+        rows = work.keep("rows", sums.select("o", F.when(F.col("_s") > 0, F.col("out") / F.col("_s")).otherwise(0.0).alias("_a")))
     if rows is None:
         return e.select("o", "d", F.col("w").alias("flow"))
     return e.join(rows, "o").join(columns, "d").select("o", "d", (F.col("w") * F.col("_a") * F.col("_b")).alias("flow"))

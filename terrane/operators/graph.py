@@ -1,27 +1,26 @@
-"""Iterative graph operators: components, greedy anchors, integer transport."""
+"""Iterative graph operators: components, greedy anchors, shortest ways."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.sources.scratch import settled
+from terrane.sources.scratch import Rounds
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, by minimum labels with pointer jumping."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    labels = settled(nodes.select("id", F.col("id").alias("component")))
+    work = Rounds(nodes.sparkSession, "components")
+    labels = work.keep("labels", nodes.select("id", F.col("id").alias("component")))
     while True:
         heard = both.join(labels, both["a"] == labels["id"]).groupBy("b").agg(F.min("component").alias("m")).withColumnRenamed("b", "id")
         low = labels.join(heard, "id", "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("n"))
         jump = low.select(F.col("id").alias("n"), F.col("n").alias("j"))
-        after = settled(low.join(jump, "n", "left").select("id", "component", F.least("n", F.coalesce("j", "n")).alias("n")))
-        if not after.where("n <> component").limit(1).count():
-            return labels
+        after = work.keep("labels", low.join(jump, "n", "left").select("id", "component", F.least("n", F.coalesce("j", "n")).alias("n")))
         labels = after.select("id", F.col("n").alias("component"))
+        if after.where("n <> component").isEmpty():
+            return labels
 
 
 def anchors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -33,7 +32,8 @@ def anchors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
-    state = settled(nodes.select("id", rank.alias("r"), F.lit(None).cast("boolean").alias("anchor")))
+    work = Rounds(nodes.sparkSession, "anchors")
+    state = work.keep("state", nodes.select("id", rank.alias("r"), F.lit(None).cast("boolean").alias("anchor")))
     while True:
         free = state.where("anchor is null")
         if not free.limit(1).count():
@@ -41,7 +41,7 @@ def anchors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         near = both.join(free.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").groupBy("b").agg(F.min("ra").alias("best")).withColumnRenamed("b", "id")
         chosen = free.join(near, "id", "left").where(F.col("best").isNull() | (F.col("r") < F.col("best"))).select("id", F.lit(True).alias("yes"))
         beaten = both.join(chosen.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id"), F.lit(True).alias("no")).distinct()
-        state = settled(state.join(chosen, "id", "left").join(beaten, "id", "left").select("id", "r", F.when(F.col("anchor").isNotNull(), F.col("anchor")).when(F.col("yes"), True).when(F.col("no"), False).alias("anchor")))
+        state = work.keep("state", state.join(chosen, "id", "left").join(beaten, "id", "left").select("id", "r", F.when(F.col("anchor").isNotNull(), F.col("anchor")).when(F.col("yes"), True).when(F.col("no"), False).alias("anchor")))
 
 
 def shortest(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -50,77 +50,12 @@ def shortest(edges: DataFrame, sources: DataFrame) -> DataFrame:
     edges: (a, b, w >= 0), directed; sources: (source). A round is a join of the
     improved nodes with their edges and a minimum; rounds end when nothing improves.
     """
-    best = settled(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
+    work = Rounds(edges.sparkSession, "shortest")
+    best = work.keep("best", sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
     front = best
     while True:
         step = front.join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
-        j = settled(best.join(step, ["source", "node"], "full_outer").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))).alias("better")))
+        j = work.keep("best", best.join(step, ["source", "node"], "full_outer").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))).alias("better")))
         best, front = j.select("source", "node", "cost"), j.where("better").select("source", "node", "cost")
         if front.isEmpty():
             return best
-
-
-def transport(cells: DataFrame, supply: DataFrame, demand: DataFrame, zone: str = "zone") -> DataFrame:
-    """Integer flows per zone that meet supplies exactly and demands exactly, close to a proposal: (zone, o, d, flow).
-
-    cells: (zone, o, d, proposal) of permitted pairs. A zone is one independent
-    problem, so its size is what a task must hold; surplus moves along shortest
-    alternating paths. An infeasible zone raises.
-    """
-
-    def solve(key: tuple, c: pd.DataFrame, s: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        flow = {(a, b): int(n) for a, b, n in zip(c["o"], c["d"], c["proposal"], strict=True)}
-        out, into = dict(zip(s["o"], s["out"], strict=True)), dict(zip(t["d"], t["in"], strict=True))
-        by_o: dict = {}
-        by_d: dict = {}
-        for a, b in sorted(flow):
-            by_o.setdefault(a, []).append(b)
-            by_d.setdefault(b, []).append(a)
-        for a in sorted(out):  # rows first: trim from, or add to, the pair furthest from its column's need
-            gap = int(out[a]) - sum(flow[a, b] for b in by_o.get(a, []))
-            for b in by_o.get(a, []):
-                step = max(gap, -flow[a, b])
-                flow[a, b] += step
-                gap -= step
-            if gap:
-                raise ValueError(f"zone {key}: origin {a} has no permitted destination")
-        over = {b: sum(flow[a, b] for a in by_d.get(b, [])) - int(n) for b, n in into.items()}
-        while any(v > 0 for v in over.values()):
-            start = min(b for b, v in over.items() if v > 0)
-            back, queue, end = {start: None}, [start], None
-            while queue and end is None:
-                b = queue.pop(0)
-                for a in by_d.get(b, []):
-                    if flow[a, b] > 0:
-                        for other in by_o[a]:
-                            if other not in back:
-                                back[other] = (b, a)
-                                queue.append(other)
-                                if over.get(other, 0) < 0:
-                                    end = other
-                                    break
-                    if end is not None:
-                        break
-            if end is None:
-                raise ValueError(f"zone {key}: demands cannot be met")
-            path, b = [], end
-            while back[b]:
-                path.append((back[b][0], back[b][1], b))
-                b = back[b][0]
-            step = min([over[start], -over[end], *(flow[a, x] for x, a, _ in path)])
-            for x, a, y in path:
-                flow[a, x] -= step
-                flow[a, y] += step
-            over[start] -= step
-            over[end] += step
-        rows = [(key[0], a, b, n) for (a, b), n in sorted(flow.items()) if n]
-        return pd.DataFrame(rows, columns=["zone", "o", "d", "flow"]) if rows else pd.DataFrame({"zone": np.array([], c["zone"].dtype), "o": np.array([], c["o"].dtype), "d": np.array([], c["d"].dtype), "flow": np.array([], "int64")})
-
-    def both(key: tuple, c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        s, t = m[m["side"] == 0], m[m["side"] == 1]
-        return solve(key, c, s.rename(columns={"id": "o", "n": "out"}), t.rename(columns={"id": "d", "n": "in"}))
-
-    cells = cells.select(*[F.col(c).alias(c) for c in (zone, "o", "d", "proposal")])  # new attributes: all three may come from one table
-    sides = supply.select(F.col(zone).alias(zone), F.lit(0).alias("side"), F.col("o").alias("id"), F.col("out").alias("n")).unionByName(demand.select(zone, F.lit(1).alias("side"), F.col("d").alias("id"), F.col("in").alias("n")))
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    return cells.groupBy(zone).cogroup(sides.groupBy(zone)).applyInPandas(both, f"zone {kinds[zone]}, o {kinds['o']}, d {kinds['d']}, flow long")
