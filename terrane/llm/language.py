@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import claim
 
+SHORT, LONG_CELLS = 32, 60_000
 MEMO_CELLS, CELLS, WINDOW, SCALE_EVERY, GROUP_CHARS = 1_600_000, 400_000, 2048, 16, 2_000_000
 FLOOR = 1e-9
 MARK = "▁"
@@ -105,27 +106,40 @@ class Pieces:
         return out
 
 
-def forward(arcs: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
-    """alpha[position, word, language]: sums over all segmentations (doubles hold those of training's short words)."""
+def forward(arcs: list[np.ndarray], prob: np.ndarray, logs: bool = False) -> np.ndarray:
+    """alpha[position, word, language]: sums over all segmentations, as they are or (prob is logarithms too) as logarithms."""
     words, width = arcs[0].shape
-    alpha = np.zeros((width + 1, words, prob.shape[1]))
-    alpha[0] = 1
+    alpha = np.full((width + 1, words, prob.shape[1]), -np.inf if logs else 0.0)
+    alpha[0] = 0 if logs else 1
     for j in range(1, width + 1):
         for n in range(1, min(len(arcs), j) + 1):
-            alpha[j] += alpha[j - n] * prob[arcs[n - 1][:, j - n]]
+            p = prob[arcs[n - 1][:, j - n]]
+            alpha[j] = np.logaddexp(alpha[j], alpha[j - n] + p) if logs else alpha[j] + alpha[j - n] * p
     return alpha
 
 
-def backward(arcs: list[np.ndarray], lengths: np.ndarray, prob: np.ndarray) -> np.ndarray:
+def backward(arcs: list[np.ndarray], lengths: np.ndarray, prob: np.ndarray, logs: bool = False) -> np.ndarray:
     words, width = arcs[0].shape
-    beta = np.zeros((width + 1, words, prob.shape[1]))
-    beta[lengths, np.arange(words)] = 1
+    beta = np.full((width + 1, words, prob.shape[1]), -np.inf if logs else 0.0)
+    beta[lengths, np.arange(words)] = 0 if logs else 1
     for i in range(width - 1, -1, -1):
         for n in range(1, min(len(arcs), width - i) + 1):
-            beta[i] += beta[i + n] * prob[arcs[n - 1][:, i]]
+            p = prob[arcs[n - 1][:, i]]
+            beta[i] = np.logaddexp(beta[i], beta[i + n] + p) if logs else beta[i] + beta[i + n] * p
     return beta
 
 
+def lots(texts: list[str]) -> Iterator[list[str]]:
+    """Words by length, short ones 2,048 at once, longer ones in lots of bounded cells."""
+    lo = 0
+    while lo < len(texts):
+        hi = lo + 1
+        while hi < len(texts) and (hi - lo < 2048 if len(texts[hi]) <= SHORT else len(texts[lo]) > SHORT and (hi - lo + 1) * len(texts[hi]) <= LONG_CELLS):
+            hi += 1
+        yield texts[lo:hi]
+        lo = hi
+
+
 @dataclass(frozen=True)
 class Model:
     key: str
@@ -233,7 +247,7 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], documents: dict
     for lang, word, n in counts:
         words.setdefault(word, np.zeros(len(languages)))[at[lang]] += n
     texts = sorted(words, key=lambda w: (len(w), w))
-    blocks = [texts[i : i + 2048] for i in range(0, len(texts), 2048)]
+    blocks = list(lots(texts))
     prob = np.full((len(pieces) + 2, len(languages)), 1 / (len(pieces) + 1))
     prob[-1] = 0
     coded = [index.codes(b) for b in blocks]
@@ -241,12 +255,15 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], documents: dict
     for _ in range(rounds):
         expected = np.full_like(prob, smooth)
         for b, (arcs, lengths) in zip(blocks, lattices, strict=True):
-            times = np.array([words[w] for w in b])
-            alpha, beta = forward(arcs, prob), backward(arcs, lengths, prob)
-            scale = times / np.maximum(beta[0], 1e-300)
+            times, long = np.array([words[w] for w in b]), len(b[-1]) > SHORT  # products of long words leave the range of doubles
+            with np.errstate(divide="ignore"):
+                p = np.log(prob) if long else prob
+            alpha, beta = forward(arcs, p, long), backward(arcs, lengths, p, long)
+            whole = beta[0] if long else np.maximum(beta[0], 1e-300)
             for n, found in enumerate(arcs, 1):
                 for i in range(found.shape[1]):
-                    flow = alpha[i] * prob[found[:, i]] * beta[i + n] * scale
+                    q = p[found[:, i]]
+                    flow = times * (np.exp(alpha[i] + q + beta[i + n] - whole) if long else alpha[i] * q * beta[i + n] / whole)
                     for k in range(len(languages)):
                         expected[:, k] += np.bincount(found[:, i], flow[:, k], len(prob))
         expected[-1] = 0
@@ -257,16 +274,21 @@ def train(counts: list[tuple[str, str, int]], pieces: list[str], documents: dict
     return Model(f"{zlib.crc32(prob.tobytes())}-{languages}", languages, index, prob, prior)
 
 
-def fit(docs: DataFrame, allowed: Column, pieces: list[str], *, per_language: int = 500, characters: int = 4_000_000, longest_word: int = 32, **how) -> Model:
-    """Learn from about per_language documents and `characters` of text of each language at most, among the rows that `allowed` admits."""
+def fit(docs: DataFrame, allowed: Column, pieces: list[str], *, per_language: int = 500, characters: int = 4_000_000, **how) -> Model:
+    """Learn from about per_language documents of each language, `characters` of text at most, among the rows that `allowed` admits.
+
+    Rows are drawn by a hash of their id, in whose order they count until their text
+    would pass `characters`; words of any length are learnt from.
+    """
     known = docs.where(allowed & F.col("lang").isNotNull())
     sums = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()
     part, share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.lit(0)
     for r in sums:
         most = min(1.0, per_language / r["n"], characters / max(1, r["size"] or 0))
         share = F.when(F.col("lang") == r["lang"], min(1_000_000, int(1_000_000 * most) + 1)).otherwise(share)
-    words = known.where(part < share).select("lang", F.explode(F.split("text", f"[{BLANKS}]+")).alias("word"))
-    rows = words.where((F.col("word") != "") & (F.length("word") <= longest_word)).groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
+    drawn = known.where(part < share).select("lang", "text", part.alias("part"), F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy(part, "doc_id", F.xxhash64("text"))).alias("so_far"))
+    words = drawn.where(F.col("so_far") <= characters).select("lang", F.explode(F.split("text", f"[{BLANKS}]+")).alias("word"))
+    rows = words.where(F.col("word") != "").groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
     return train([tuple(r) for r in rows], pieces, {r["lang"]: r["n"] for r in sums}, **how)
 
 

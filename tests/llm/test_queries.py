@@ -107,6 +107,20 @@ def test_language_sums_all_segmentations():
     assert max(map(len, language.load_pieces(P.path("piece_bpe_32k.model")))) == language.Pieces(language.load_pieces(P.path("piece_bpe_32k.model"))).longest > 8
 
 
+def test_language_learns_from_long_words(spark, monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "bab"]
+    counts = [("x", "ab", 3), ("x", "aba", 2), ("y", "ba", 4), ("y", "bab" * 30, 2), ("x", "ab" * 3000, 1)]
+    long = language.train(counts, pieces, {"x": 1, "y": 2})
+    assert np.isfinite(long.prob).all() and abs(long.prob[:-1].sum(0) - 1).max() < 1e-6
+    assert abs(long.prob - language.train(counts[:-1], pieces, {"x": 1, "y": 2}).prob).max() > 0.01
+    plain = language.train(counts[:-1], pieces, {"x": 1, "y": 2})
+    monkeypatch.setattr(language, "SHORT", 0)  # all words by logarithms
+    assert np.allclose(language.train(counts[:-1], pieces, {"x": 1, "y": 2}).prob, plain.prob)
+    rows = [(k, "ab " * 50, "x") for k in range(30)] + [(99, "ab" * 100_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(df, F.lit(True), pieces, characters=3_000).languages == ("x",)
+
+
 def test_packing_query(spark, sf, rows):
     from tokenizers import Tokenizer
 
