@@ -8,6 +8,7 @@ from terrane.functions import geo as G
 from terrane.functions import scalars as S
 from terrane.operators import aggregates as AG
 from terrane.operators import audit as U
+from terrane.operators import incomes as I
 from terrane.plans.base import registry, shared, table
 from terrane.sources import readers
 
@@ -265,3 +266,19 @@ def source_discovery(spark, sf):
     """Sources in order, the project's own first, each once, without exclusions."""
     found = readers.select_sources(["own/c.csv", "own/a.csv"], ["own/d.csv", "own/b.csv", "own/a.csv"], ["b.csv"])
     return spark.createDataFrame(list(enumerate(found)), "n int, path string")
+
+
+INCOMES = "SELECT c_nationkey AS domain, round(c_acctbal * 10, 0) AS income, CAST(c_custkey % 13 + 1 AS DOUBLE) AS fac FROM customer WHERE c_acctbal > 0"
+QUANTILE_SQL = ", ".join(f"min(CASE WHEN run >= {q} * total THEN income END) AS p{round(q * 100)}" for q in I.QUANTILES)
+
+
+@query(f"WITH i AS ({INCOMES}), v AS (SELECT domain, income, sum(fac) AS w FROM i GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY domain ORDER BY income) AS run, sum(w) OVER (PARTITION BY domain) AS total FROM v), q AS (SELECT domain, {QUANTILE_SQL} FROM r GROUP BY domain), m AS (SELECT domain, count(*) AS n, sum(fac) AS weight, sum(fac * income) / sum(fac) AS mean, sqrt(sum(fac * income * income) / sum(fac) - pow(sum(fac * income) / sum(fac), 2)) AS std, pow(sum(fac), 2) / sum(fac * fac) AS effective FROM i GROUP BY domain) SELECT * FROM m JOIN q USING (domain)")
+def survey_quantiles(spark, sf):
+    """Incomes of each domain: sample, weight, mean, deviation, effective sample, quantiles."""
+    return I.survey_stats(shared(spark, sf, INCOMES), ["domain"], "income", "fac")
+
+
+@query()
+def income_fit(spark, sf):
+    """Generator parameters fitted to each domain's incomes; tests/test_incomes.py recovers known ones."""
+    return I.fitted(I.survey_stats(shared(spark, sf, INCOMES), ["domain"], "income", "fac"), "domain")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from terrane.plans import allocation, analysis, audits, calibration, files, flows, geometry, identity, names, optimum, polygons, sources, spatial, toponymy, workplace
+from terrane.plans import allocation, analysis, audits, calibration, files, flows, geometry, identity, names, optimum, polygons, roads, sources, spatial, toponymy, workplace
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (flows, analysis, calibration, identity, spatial, names, sources, workplace, allocation, toponymy, audits, geometry, polygons, files, optimum):
+for module in (flows, analysis, calibration, identity, spatial, names, sources, workplace, allocation, toponymy, audits, geometry, polygons, files, optimum, roads):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
