@@ -335,12 +335,13 @@ def refine_support(pairs: DataFrame, solve, route, *, rounds: int = 8) -> tuple[
     solve(pairs) gives flows (o, d, flow); route(flows) the used pairs (o, d) without a
     route. After `rounds` the support is given up as unroutable.
     """
+    work = Rounds(pairs.sparkSession, "refined")
     for n in range(1, rounds + 1):
-        flows = solve(pairs)
-        missing = route(flows).persist()
+        flows = work.keep("flows", solve(pairs))
+        missing = work.keep(f"missing-{n}", route(flows))
         if missing.isEmpty():
             return flows, n
-        pairs = pairs.join(missing, ["o", "d"], "left_anti")
+        pairs = work.keep("pairs", pairs.join(missing, ["o", "d"], "left_anti"))
     raise ValueError(f"pairs without a route remain after {rounds} rounds")
 
 

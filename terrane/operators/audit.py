@@ -77,6 +77,20 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), digest.cast("string").alias("digest"), *[F.sum(c).alias(c) for c in columns if c.startswith("sum_")])
 
 
+def compare_builds(before: DataFrame, after: DataFrame, place: str, columns: list[str], jobs: str) -> DataFrame:
+    """(place, units_before, units_after, before, after, change, same): two builds by place; same: their units agree in all columns, in any order."""
+    digest = F.sum(F.xxhash64(*[F.col(c).cast("string") for c in columns]).cast("decimal(38,0)"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(place).agg(F.count("*").alias(f"units_{name}"), F.sum(jobs).alias(name), digest.alias(f"_{name}"))
+
+    both = side(before, "before").join(side(after, "after"), place, "full_outer")
+    same = (F.col("units_before") == F.col("units_after")) & (F.col("_before") == F.col("_after"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    change = (F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("change")
+    return both.select(place, zero("units_before"), zero("units_after"), zero("before"), zero("after"), change, F.coalesce(same, F.lit(False)).alias("same"))
+
+
 def package_violations(points: DataFrame, pops: DataFrame, membership: DataFrame) -> DataFrame:
     """(rule, violations) of a map package: repeated ids, sizes that are not positive, ends or members that do not exist or are missing.
 

@@ -152,20 +152,21 @@ def connectivity_reconcile(spark, sf):
     return A.reconcile(p, evidence)
 
 
-@query(f"WITH e AS ({GRID}) SELECT o, min(d) AS d, 4 AS rounds FROM e WHERE d > 3 GROUP BY 1")
+NO_ROUTE = "SELECT DISTINCT s_nationkey AS o, s_suppkey * 7 % 25 AS d FROM supplier"
+
+
+@query(f"WITH e AS ({GRID}), n AS ({NO_ROUTE}), k AS (SELECT e.o, e.d, n.o IS NULL AS good FROM e LEFT JOIN n ON n.o = e.o AND n.d = e.d), f AS (SELECT o, min(CASE WHEN good THEN d END) AS d FROM k GROUP BY o), b AS (SELECT k.o, count(CASE WHEN f.d IS NULL OR k.d < f.d THEN 1 END) + CASE WHEN f.d IS NULL THEN 0 ELSE 1 END AS tries FROM k JOIN f ON f.o = k.o GROUP BY k.o, f.d) SELECT o, d, (SELECT CAST(max(tries) AS INTEGER) FROM b) AS rounds FROM f WHERE d IS NOT NULL")
 def support_refinement(spark, sf):
-    """Each origin takes its first destination; those up to 3 turn out to have no route, two at a time, and are left out."""
-    pairs = shared(spark, sf, GRID).select("o", "d")
-    state = {"n": 0}
+    """Each origin takes its first destination; used pairs without a route in a table of them are left out, until all used ones have one."""
+    pairs, lacking = shared(spark, sf, GRID).select("o", "d"), shared(spark, sf, NO_ROUTE)
 
     def solve(p):
         return p.groupBy("o").agg(F.min("d").alias("d"))
 
     def route(f):
-        state["n"] += 1
-        return f.where(F.col("d") <= 3).select("o", "d") if state["n"] < 9 else f.limit(0).select("o", "d")
+        return f.select("o", "d").join(lacking, ["o", "d"], "left_semi")
 
-    flows, rounds = A.refine_support(pairs, solve, route)
+    flows, rounds = A.refine_support(pairs, solve, route, rounds=30)
     return flows.withColumn("rounds", F.lit(rounds))
 
 
@@ -272,14 +273,14 @@ def sensitivity_screen(spark, sf):
     return j.agg((F.sum(F.abs(F.col("a") - F.col("b"))) / 2 / F.sum("a")).alias("variation"), (F.abs(F.sum("a_tail") - F.sum("b_tail")) / F.sum("a")).alias("tail_change"))
 
 
-NODES = "SELECT CAST(p_partkey % 1000 AS STRING) AS code, CASE WHEN length(CAST(p_partkey % 1000 AS STRING)) = 1 THEN NULL ELSE CASE WHEN p_partkey % 11 = 0 THEN '9' ELSE substr(CAST(p_partkey % 1000 AS STRING), 1, length(CAST(p_partkey % 1000 AS STRING)) - 1) END END AS parent FROM part WHERE p_partkey < 1000"
+NODES = "SELECT CAST(p_partkey AS STRING) AS code, CASE WHEN length(CAST(p_partkey AS STRING)) = 1 THEN NULL ELSE CASE WHEN p_partkey % 11 = 0 THEN '9' ELSE substr(CAST(p_partkey AS STRING), 1, length(CAST(p_partkey AS STRING)) - 1) END END AS parent FROM part"
 
 
 @query(f"WITH RECURSIVE n AS ({NODES}), w AS (SELECT code, code AS root, 0 AS level FROM n WHERE parent IS NULL UNION ALL SELECT n.code, w.root, level + 1 FROM n JOIN w ON n.parent = w.code AND starts_with(n.code, w.code) AND length(n.code) > length(w.code)) SELECT * FROM w")
 def hierarchy_walk(spark, sf):
     """Children that extend their parent's code, from one-digit roots; wrong parents lead nowhere."""
     n = shared(spark, sf, NODES)
-    return R.walk_hierarchy(n.where("parent is not null"), n.where("parent is null"), depth=6)
+    return R.walk_hierarchy(n.where("parent is not null"), n.where("parent is null"), depth=9)
 
 
 @query("WITH c AS (SELECT c_custkey AS id, c_custkey * 37 % 1000 / 10.0::DOUBLE AS x, c_custkey * 53 % 1000 / 10.0::DOUBLE AS y FROM customer), s AS (SELECT s_suppkey AS target, s_suppkey * 37 % 1000 / 10.0::DOUBLE AS tx, s_suppkey * 53 % 1000 / 10.0::DOUBLE AS ty FROM supplier), d AS (SELECT id, target, sqrt(pow(tx - x, 2) + pow(ty - y, 2)) AS distance FROM c, s) SELECT id, target, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, target) = 1")

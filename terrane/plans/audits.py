@@ -11,6 +11,7 @@ from terrane.operators import audit as U
 from terrane.operators import incomes as I
 from terrane.plans.base import registry, shared, table
 from terrane.sources import readers
+from terrane.sources.scratch import folder
 
 QUERIES, ORACLES, query = registry()
 
@@ -78,12 +79,14 @@ def fallback_endpoints(spark, sf):
     return U.endpoint_incidence(shared(spark, sf, ROUTED).where("exact").groupBy("o", "d").agg(F.sum("size").alias("travellers")))
 
 
-@query("SELECT count(*) AS rows, true AS same, CAST(sum(c_custkey) AS BIGINT) AS people FROM customer")
+BUILD = "SELECT c_nationkey AS place, c_custkey AS id, c_custkey % 9 AS jobs FROM customer"
+REBUILT = "SELECT c_nationkey AS place, c_custkey AS id, c_custkey % 9 + CASE WHEN c_custkey % 5 = 0 AND c_nationkey % 2 = 0 THEN 2 ELSE 0 END AS jobs FROM customer WHERE c_nationkey % 7 <> 3 OR c_custkey % 2 = 0"
+
+
+@query(f"WITH a AS (SELECT place, count(*) AS n, sum(jobs) AS jobs FROM ({BUILD}) x GROUP BY 1), b AS (SELECT place, count(*) AS n, sum(jobs) AS jobs FROM ({REBUILT}) x GROUP BY 1), d AS (SELECT place, count(*) AS moved FROM (SELECT * FROM ({BUILD}) x EXCEPT ALL SELECT * FROM ({REBUILT}) y UNION ALL SELECT * FROM (SELECT * FROM ({REBUILT}) y EXCEPT ALL SELECT * FROM ({BUILD}) x) z) m GROUP BY 1) SELECT place, coalesce(a.n, 0) AS units_before, coalesce(b.n, 0) AS units_after, CAST(coalesce(a.jobs, 0) AS BIGINT) AS before, CAST(coalesce(b.jobs, 0) AS BIGINT) AS after, CAST(coalesce(b.jobs, 0) - coalesce(a.jobs, 0) AS BIGINT) AS change, coalesce(moved, 0) = 0 AS same FROM a FULL JOIN b USING (place) LEFT JOIN d USING (place)")
 def employment_compare(spark, sf):
-    """Fingerprints before and after a change of order: equal, with equal sums."""
-    c = table(spark, sf, "customer").select("c_name", F.col("c_custkey").alias("sum_people"))
-    a, b = U.fingerprint(c, ["c_name", "sum_people"]), U.fingerprint(c.orderBy(F.desc("c_name")), ["c_name", "sum_people"])
-    return a.alias("a").join(b.alias("b")).select("a.rows", (F.col("a.digest") == F.col("b.digest")).alias("same"), F.col("a.sum_people").alias("people"))
+    """Two builds place by place: units, jobs, what changed, and whether their units are the same ones."""
+    return U.compare_builds(shared(spark, sf, BUILD), shared(spark, sf, REBUILT), "place", ["id", "jobs"], "jobs")
 
 
 MAP = "SELECT s_suppkey AS id, s_suppkey % 10 + 1 AS o, CASE WHEN s_suppkey % 20 = 0 THEN -1 ELSE s_suppkey % 15 + 1 END AS d, s_suppkey % 9 AS size FROM supplier"
@@ -156,13 +159,13 @@ def income_band_shares(spark, sf):
     return s.join(F.broadcast(s.agg(F.sum("w").alias("_t")))).select("band", "n", (F.col("w") / F.col("_t")).alias("share"))
 
 
-POIS = "SELECT 'AIR_Field_' || CAST(n_nationkey AS STRING) AS id, CASE WHEN n_nationkey % 3 = 0 THEN ' Stadium ' END AS kind, CASE WHEN n_nationkey % 4 = 0 THEN 'Given' END AS name FROM nation WHERE n_nationkey < 8 UNION ALL SELECT 'MUS_House', NULL, NULL FROM nation WHERE n_nationkey = 0 UNION ALL SELECT 'gran_hotel_x', '', '' FROM nation WHERE n_nationkey = 0"
+POIS = "SELECT 'AIR_Field_' || CAST(n_nationkey AS STRING) AS id, CASE WHEN n_nationkey % 3 = 0 THEN ' Stadium ' END AS kind, CASE WHEN n_nationkey % 4 = 0 THEN 'Given' END AS name FROM nation UNION ALL SELECT 'MUS_House', NULL, NULL FROM nation WHERE n_nationkey = 0 UNION ALL SELECT 'gran_hotel_x', '', '' FROM nation WHERE n_nationkey = 0"
 
 
-@query(f"WITH p AS ({POIS}), q AS (SELECT s_suppkey AS id, 'AIR_Field_' || (s_suppkey % 9) AS d FROM supplier) SELECT p.id AS point_id, CASE WHEN trim(coalesce(kind, '')) <> '' THEN 'stadium' WHEN starts_with(p.id, 'AIR_') THEN 'airport' WHEN starts_with(p.id, 'MUS_') THEN 'museum' ELSE 'resort' END AS type, CASE WHEN coalesce(name, '') <> '' THEN name WHEN starts_with(p.id, 'AIR_') THEN 'Aeropuerto Internacional de ' || replace(substr(p.id, 5), '_', ' ') WHEN p.id = 'MUS_House' THEN 'House' ELSE 'gran hotel x' END AS name, (SELECT count(*) FROM q WHERE q.d = p.id) AS cohorts FROM p")
+@query(f"WITH p AS ({POIS}), q AS (SELECT s_suppkey AS id, 'AIR_Field_' || (s_suppkey % 30) AS d FROM supplier) SELECT p.id AS point_id, CASE WHEN trim(coalesce(kind, '')) <> '' THEN 'stadium' WHEN starts_with(p.id, 'AIR_') THEN 'airport' WHEN starts_with(p.id, 'MUS_') THEN 'museum' ELSE 'resort' END AS type, CASE WHEN coalesce(name, '') <> '' THEN name WHEN starts_with(p.id, 'AIR_') THEN 'Aeropuerto Internacional de ' || replace(substr(p.id, 5), '_', ' ') WHEN p.id = 'MUS_House' THEN 'House' ELSE 'gran hotel x' END AS name, (SELECT count(*) FROM q WHERE q.d = p.id) AS cohorts FROM p")
 def special_places(spark, sf):
     """Special places with their type, name and cohorts."""
-    pops = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("x").alias("o"), F.concat(F.lit("AIR_Field_"), (F.col("s_suppkey") % 9).cast("string")).alias("d"))
+    pops = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("x").alias("o"), F.concat(F.lit("AIR_Field_"), (F.col("s_suppkey") % 30).cast("string")).alias("d"))
     return U.special_points(shared(spark, sf, POIS), pops).select("point_id", "type", "name", F.size("pop_ids").cast("long").alias("cohorts"))
 
 
@@ -253,19 +256,27 @@ def allowed_locations(spark, sf):
     return table(spark, sf, "supplier").select(k.alias("id"), ((k % 4 != 0) & core & ~excluded).alias("allowed"))
 
 
-@query("SELECT * FROM (VALUES (1, 'city.code must have two to four letters or digits'), (1, 'special place a is given twice'), (1, 'special place a lies outside the box'), (1, 'special place b has undecided demand'), (2, 'city.bbox must run from west to east and south to north'), (2, 'zone 7 has neither a box nor a ring')) v(config, problem)")
+CONFIG_PROBLEMS = (("city.bbox must run from west to east and south to north", "s_suppkey % 3 = 0"), ("city.code must have two to four letters or digits", "s_suppkey % 4 = 0"), ("special place a is given twice", "s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0"), ("special place a has undecided demand", "s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0"))
+
+
+@query(" UNION ALL ".join(f"SELECT s_suppkey AS config, '{p}' AS problem FROM supplier WHERE {c}" for p, c in CONFIG_PROBLEMS))
 def config_constraints(spark, sf):
-    """Problems of two configurations."""
-    one = {"city": {"bbox": [-99, 19, -98, 20], "code": "x"}, "pois": [{"id": "a", "loc": [-98.5, 19.5]}, {"id": "a", "loc": [0, 0]}, {"id": "b", "loc": [-98.4, 19.4], "jobs": None}]}
-    two = {"city": {"bbox": [5, 1, 4, 2], "code": "ABC"}, "zones": [{"id": 7}]}
-    return spark.createDataFrame([(k, p) for k, c in ((1, one), (2, two)) for p in readers.config_violations(c)], "config int, problem string")
+    """What is wrong with each of as many configurations as there are suppliers."""
+    from terrane.plans.geometry import city_configs
+
+    text = city_configs(spark, sf).select("config", F.to_json(F.struct("city", "zones", "pois"), {"ignoreNullFields": "false"}).alias("value"))
+    return readers.config_problems(text, "config", "value").select("config", F.explode("problems").alias("problem"))
 
 
-@query("SELECT * FROM (VALUES (0, 'own/a.csv'), (1, 'own/c.csv'), (2, 'own/d.csv')) v(n, path)")
+@query("WITH f AS (SELECT DISTINCT 'own/nation=' || s_nationkey AS path, 0 AS own FROM supplier UNION SELECT DISTINCT 'shared/nation=' || c_nationkey, 1 FROM customer), k AS (SELECT * FROM f WHERE NOT ends_with(path, '=7')) SELECT CAST(row_number() OVER (ORDER BY own, path) - 1 AS INTEGER) AS n, path FROM k")
 def source_discovery(spark, sf):
-    """Sources in order, the project's own first, each once, without exclusions."""
-    found = readers.select_sources(["own/c.csv", "own/a.csv"], ["own/d.csv", "own/b.csv", "own/a.csv"], ["b.csv"])
-    return spark.createDataFrame(list(enumerate(found)), "n int, path string")
+    """Sources found in a folder, the project's own first, each once, without an excluded one."""
+    root = folder(spark, "sources")
+    table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), "s_name").write.partitionBy("nation").csv(f"{root}/own")
+    table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_name").write.partitionBy("nation").csv(f"{root}/shared")
+    found = [r["source"] for r in readers.discovered(spark, root).collect()]  # one for each source of a project
+    own = [p for p in found if p.startswith("own/")]
+    return spark.createDataFrame(list(enumerate(readers.select_sources(own, [p for p in found if p not in own], ["nation=7"]))), "n int, path string")
 
 
 INCOMES = "SELECT c_nationkey AS domain, round(c_acctbal * 10, 0) AS income, CAST(c_custkey % 13 + 1 AS DOUBLE) AS fac FROM customer WHERE c_acctbal > 0"

@@ -38,12 +38,13 @@ def polygon_selection(spark, sf):
     return s.join(total).select("points", "residents", "jobs", ((F.col("jobs") - F.col("residents")) / (F.col("jobs") + F.col("residents"))).alias("balance"), (F.col("residents") / F.col("_t")).alias("share"))
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'crossing sides'), (3, 'too few vertices'), (4, 'repeated vertex'), (5, 'no area')) v(id, problem)")
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 1 THEN 'crossing sides' WHEN 2 THEN 'too few vertices' WHEN 3 THEN 'repeated vertex' WHEN 4 THEN 'no area' END AS problem FROM supplier")
 def ring_problems(spark, sf):
-    """Rings that are and are not simple."""
-    rings = {1: RING, 2: [(0, 0), (10, 10), (10, 0), (0, 10)], 3: [(0, 0), (1, 1)], 4: [(0, 0), (5, 0), (5, 5), (5, 0)], 5: [(0, 0), (5, 0), (10, 0.0000000001)]}
-    rows = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r]) for k, r in rings.items()], "id int, ring array<struct<x: double, y: double>>")
-    return rows.select("id", G.ring_problem(F.col("ring")).alias("problem"))
+    """Rings round every supplier, of which one kind in five is simple."""
+    kinds = (RING, [(0, 0), (10, 10), (10, 0), (0, 10)], [(0, 0), (1, 1)], [(0, 0), (5, 0), (5, 5), (5, 0)], [(0, 0), (5, 0), (10, 0)])
+    k = F.col("s_suppkey")
+    at = lambda ring: F.array(*[F.struct((F.lit(float(x)) + k % 100).alias("x"), (F.lit(float(y)) + k % 70).alias("y")) for x, y in ring])
+    return table(spark, sf, "supplier").select(k.alias("id"), G.ring_problem(F.get(F.array(*map(at, kinds)), (k % 5).cast("int"))).alias("problem"))
 
 
 @query(f"WITH p AS ({POINTS}) SELECT count(*) AS compared, CAST(sum(CASE WHEN x % 10 <= 6 AND y % 10 <= 7 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM p WHERE floor(x / 10) + floor(y / 10) <= 9")
@@ -148,13 +149,27 @@ def placement_reconciliation(spark, sf):
     return s.select("gained", "lost", "common_change", "change", (F.col("change") - F.col("_g") + F.col("_l") - F.col("common_change")).alias("unexplained"))
 
 
-@query("SELECT 1 AS config, count(*) AS problems FROM (VALUES (1), (2)) v(x)")
+@query("SELECT s_suppkey AS config, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS problems FROM supplier")
 def config_source(spark, sf):
-    """A configuration file with two problems, written and read."""
+    """Configurations of as many cities as there are suppliers, written as one line each, read and checked."""
     path = folder(spark, "config")
-    spark.createDataFrame([('{"city": {"bbox": [-99, 19, -98, 20], "code": "x"}, "zones": [{"id": 7}]}',)], "value string").coalesce(1).write.text(path)
-    problems = readers.config_violations(readers.read_config(spark, f"{path}/*.txt"))
-    return spark.createDataFrame([(1, len(problems))], "config int, problems long")
+    city_configs(spark, sf).select(F.to_json(F.struct("config", "city", "zones", "pois"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    rows = spark.read.text(path)
+    found = readers.config_problems(rows.select(F.get_json_object("value", "$.config").cast("long").alias("config"), "value"), "config", "value")
+    return found.select("config", F.size("problems").cast("long").alias("problems"))
+
+
+def city_configs(spark, sf):
+    """(config, city, zones, pois): every third with its box turned round, every fourth with a code too long, every fifth with a place given twice and undecided demand."""
+    k = F.col("s_suppkey")
+    west = F.lit(-99.0) + k % 50
+    box = F.when(k % 3 == 0, F.array(west + 1, F.lit(19.0), west, F.lit(20.0))).otherwise(F.array(west, F.lit(19.0), west + 1, F.lit(20.0)))
+    place = lambda name, jobs: F.struct(F.lit(name).alias("id"), F.array(west + 0.5, F.lit(19.5)).alias("loc"), jobs.cast("long").alias("jobs"))
+    none = F.array().cast("array<struct<id: string, loc: array<double>, jobs: bigint>>")
+    pois = F.when(k % 3 == 0, none).when(k % 5 == 0, F.array(place("a", F.lit(3)), place("a", F.lit(None)))).otherwise(F.array(place("c", k)))
+    code = F.when(k % 4 == 0, "TOOLONG").otherwise("ABC")
+    zones = F.array(F.struct(k.alias("id"), box.alias("bbox")))
+    return table(spark, sf, "supplier").select(k.alias("config"), F.struct(box.alias("bbox"), code.alias("code")).alias("city"), zones.alias("zones"), pois.alias("pois"))
 
 
 @query("SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")

@@ -198,6 +198,34 @@ def config_violations(config: dict) -> list[str]:
     return out
 
 
+def config_problems(configs: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, problems) of configurations given as JSON text, one a row; text that is no JSON object has that one problem."""
+    import json
+
+    kind = configs.schema[key].dataType.simpleString()
+
+    def problems(text: str | None) -> list[str]:
+        try:
+            config = json.loads(text or "")
+        except ValueError:
+            config = None
+        return config_violations(config) if isinstance(config, dict) else ["the configuration is no JSON object"]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({key: f.iloc[:, 0], "problems": [problems(t) for t in f.iloc[:, 1]]})
+
+    return configs.select(key, value).mapInPandas(run, f"{key} {kind}, problems array<string>")
+
+
+def discovered(spark: SparkSession, root: str, suffix: str = ".csv", excluded: list[str] | None = None) -> DataFrame:
+    """(source, files, bytes) of the folders under a root that hold files with a suffix, none of whose parts is excluded; names and sizes are listed, nothing is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path", "length")
+    own = F.substring_index(F.regexp_replace("path", "/[^/]*$", ""), root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    found = listed.groupBy(own.alias("source")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return found.where(~F.arrays_overlap(F.split("source", "/"), F.array(*[F.lit(x) for x in excluded]))) if excluded else found
+
+
 def read_config(spark: SparkSession, path: str) -> dict:
     """One small configuration file: JSON, or YAML where a YAML library is installed."""
     import json
