@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.sources.scratch import Rounds
+
 
 def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: str, qs: tuple[float, ...]) -> DataFrame:
     """Inverse ECDF without interpolation: the smallest value whose cumulative weight reaches q of the total.
@@ -17,6 +19,28 @@ def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: str,
     return run.groupBy(*group).agg(*[F.min(F.when(F.col("_c") >= q * F.col("_t"), F.col(value))).alias(f"p{round(q * 100)}") for q in qs])
 
 
+def percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """(group, n, one column for each name in qs): interpolated percentiles, from sorted ranges of the distinct values.
+
+    Equal values are counted first; the counts are sorted into ranges over all groups,
+    and each range adds what the ranges before it hold, so no task sorts a whole group.
+    """
+    work = Rounds(df.sparkSession, "percentiles")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    ranged = counts.repartitionByRange(*group, value).withColumn("_range", F.spark_partition_id())
+    counts = work.keep("counts", ranged)
+    sums = counts.groupBy(*group, "_range").agg(F.sum("_c").alias("_s"))  # ranges, and groups that begin in one
+    before = Window.partitionBy(*group).orderBy("_range")
+    sums = sums.select(*group, "_range", (F.sum("_s").over(before) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(*group)).alias("n"))
+    run = counts.join(sums, [*group, "_range"]).withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy(*group, "_range").orderBy(value)))
+    at = lambda q, up: (F.ceil if up else F.floor)(q * (F.col("n") - 1))
+    first = lambda q, up: F.min(F.when(F.col("_end") > at(q, up), F.col(value)))
+    ends = [f(q, up).alias(f"_{name}{int(up)}") for name, q in qs.items() for up in (False, True) for f in (first,)]
+    found = run.groupBy(*group, "n").agg(*ends)
+    part = lambda q: q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1))
+    return found.select(*group, "n", *[(F.col(f"_{name}0") + part(q) * (F.col(f"_{name}1") - F.col(f"_{name}0"))).alias(name) for name, q in qs.items()])
+
+
 def histogram(df: DataFrame, value: str, weight: str, width: float) -> DataFrame:
     return df.groupBy(F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.sum(weight).alias("weight"))
 

@@ -21,10 +21,15 @@ def permitted(origins: DataFrame, destinations: DataFrame, forbidden: DataFrame,
     origins: (o, x, y, zone, component), destinations: (d, dx, dy, zone, component); a
     null component of the origin matches any.
     """
-    same = F.col("l.component").isNull() | (F.col("l.component") == F.col("r.component"))
-    j = origins.alias("l").join(destinations.alias("r"), F.col("l.zone") == F.col("r.zone")).where(same & (F.col("l.o") != F.col("r.d")))
-    distance = F.sqrt(F.pow(F.col("r.dx") - F.col("l.x"), 2) + F.pow(F.col("r.dy") - F.col("l.y"), 2))
-    pairs = j.select("l.o", "r.d", distance.alias("distance")).where("distance > 0")
+    if reach is None:
+        l, r, keys = origins, destinations, ["zone"]
+    else:  # what is within reach lies in the same cell or one beside it
+        at = lambda x, y: {"_i": F.floor(F.col(x) / reach), "_j": F.floor(F.col(y) / reach)}
+        around = F.explode(F.array(*[F.struct((F.col("_i") + i).alias("i"), (F.col("_j") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        l = origins.withColumns(at("x", "y")).withColumn("_c", around).withColumns({"_i": F.col("_c.i"), "_j": F.col("_c.j")})
+        r, keys = destinations.withColumns(at("dx", "dy")), ["zone", "_i", "_j"]
+    pairs = l.withColumnRenamed("component", "_own").join(r, keys).where((F.col("_own").isNull() | (F.col("_own") == F.col("component"))) & (F.col("o") != F.col("d")))
+    pairs = pairs.select("o", "d", F.sqrt(F.pow(F.col("dx") - F.col("x"), 2) + F.pow(F.col("dy") - F.col("y"), 2)).alias("distance")).where("distance > 0")
     pairs = pairs.where(F.col("distance") <= reach) if reach is not None else pairs
     return pairs.join(forbidden, ["o", "d"], "left_anti")
 

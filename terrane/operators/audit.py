@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geo
 from terrane.functions import scalars as S
+from terrane.operators.aggregates import percentiles
 
 
 def provenance_totals(pops: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -50,8 +51,7 @@ def weighted_stats(df: DataFrame, group: list[str], value: str, weight: str) ->
 def displacement(pairs: DataFrame) -> DataFrame:
     """One row: p50, p95, p99 and the largest (interpolated) of the metres between (lon, lat) and (lon2, lat2)."""
     d = pairs.select(geo.flat_metres(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("d"))
-    p = d.agg(F.count("*").alias("n"), F.percentile("d", F.array(*[F.lit(q) for q in (0.5, 0.95, 0.99, 1.0)])).alias("p"))
-    return p.select("n", *[F.get("p", i).alias(name) for i, name in enumerate(("p50", "p95", "p99", "max"))])
+    return percentiles(d, [], "d", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "max": 1.0})
 
 
 def inferred_fallbacks(pairs: DataFrame) -> DataFrame:

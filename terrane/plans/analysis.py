@@ -164,8 +164,8 @@ def json_props_extract(spark, sf):
 
 @query("SELECT event_type, CAST(round(quantile_cont(value, 0.5), 4) AS DOUBLE) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, round(max(value), 4) AS p100 FROM events GROUP BY 1")
 def percentile_set(spark, sf):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99), F.lit(1.0)))
-    return table(spark, sf, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50", "p95", "p99", "p100"))])
+    p = A.percentiles(table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0})
+    return p.select("event_type", *[F.round(n, 4).alias(n) for n in ("p50", "p95", "p99", "p100")])
 
 
 KERNEL = (0.0545, 0.2442, 0.4026, 0.2442, 0.0545)  # fixed values: five Gaussian taps, sigma one cell, summing to one

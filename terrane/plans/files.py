@@ -10,7 +10,7 @@ from terrane.plans.polygons import CUP, SCAN, ZONES, rings, sides_sql
 from terrane.plans.sources import CENSUS, PADDED, PEOPLE
 from terrane.plans.sources import ORACLES as OTHER_ORACLES
 from terrane.sources import official as O
-from terrane.sources import vectors, workbooks
+from terrane.sources import readers, vectors, workbooks
 from terrane.sources.scratch import folder
 
 QUERIES, ORACLES, query = registry()
@@ -106,3 +106,20 @@ def bounded_growth(spark, sf):
     last = F.right("municipality", F.lit(1)).cast("int")
     projected = rows.select("municipality").distinct().withColumn("value", F.when(last % 2 == 0, 1.0 + last / 4).otherwise(1000.0))
     return O.growth_factors(projected, O.populated_blocks(rows))
+
+
+HOLE = [("zx + w * 0.1e0", "zy + h * 0.4e0"), ("zx + w * 0.2e0", "zy + h * 0.4e0"), ("zx + w * 0.2e0", "zy + h * 0.9e0"), ("zx + w * 0.1e0", "zy + h * 0.9e0")]
+
+
+@query(f"WITH {SCAN.format(sides=sides_sql(CUP, HOLE))} SELECT CAST(zone AS VARCHAR) AS id, 'suburb' AS type, round((cut + after) / 2, 6) AS lon, round(y, 6) AS lat FROM r WHERE best = 1 AND zone % 7 <> 0")
+def native_areas(spark, sf):
+    """Named areas, polygons and multipolygons with a hole, written as features and read as places: a point inside each; towns are no places."""
+    z = shared(spark, sf, ZONES)
+    k = F.col("zone")
+    ring = lambda r: F.array(*[F.array(F.expr(f"CAST({x} AS DOUBLE)"), F.expr(f"CAST({y} AS DOUBLE)")) for x, y in [*r, r[0]]])
+    shape = F.array(ring(CUP), ring(HOLE))
+    text = F.when(k % 2 == 0, F.to_json(F.struct(shape.alias("c")))).otherwise(F.to_json(F.struct(F.array(shape).alias("c"))))
+    coordinates = F.regexp_extract(text, r'^\{"c":(.*)\}$', 1)
+    properties = F.create_map(F.lit("id"), k.cast("string"), F.lit("name"), F.concat(F.lit("Barrio "), k.cast("string"), F.lit(" Sur")), F.lit("place"), F.when(k % 7 == 0, "town").otherwise("suburb"))
+    features = z.select(properties.alias("properties"), F.when(k % 2 == 0, "Polygon").otherwise("MultiPolygon").alias("type"), coordinates.alias("coordinates"))
+    return readers.native_places(features, (-1000.0, -1000.0, 1000.0, 1000.0)).select("id", "type", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

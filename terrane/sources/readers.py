@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.functions.geo import interior_point
+
 # Place types of native features that are administration or streets, names that name nothing.
 ADMINISTRATIVE = ("state", "county", "municipality", "country", "region", "province")
 STREET_WORDS = ("calle", "avenida", "av.", "boulevard", "blvd", "carretera", "autopista", "camino")
@@ -85,20 +87,28 @@ def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
 def native_places(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """(id, name, type, lon, lat) of named place features inside the box: streets, administrative areas and nameless ones go, one row for an id.
 
-    Points give their place; rings the mean of their vertices, if that is all there is.
+    Points give their place, polygons and multipolygons a point inside them and in no hole
+    (those of cities and towns are areas, not places, and go), lines their middle vertex.
     """
     name = F.trim(F.coalesce(F.col("properties")["name"], F.lit("")))
     kind = F.lower(F.coalesce(F.col("properties")["place"], F.lit("suburb")))
     point = F.from_json("coordinates", "array<double>")
-    ring = F.from_json("coordinates", "array<array<array<double>>>")[0]
-    mean = lambda i: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[i]) / F.size(ring)
-    lon, lat = (F.when(F.col("type") == "Point", point[i]).when(F.col("type") == "Polygon", mean(i)) for i in (0, 1))
+    line = F.from_json("coordinates", "array<array<double>>")
+    rings = F.from_json("coordinates", "array<array<array<double>>>")
+    parts = F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>"))
+    vertices = lambda rs: F.transform(rs, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    area = F.col("type").isin("Polygon", "MultiPolygon")
+    inner = interior_point(vertices(F.when(F.col("type") == "Polygon", rings).when(F.col("type") == "MultiPolygon", parts)))
+    middle = F.get(line, F.floor((F.size(line) - 1) / 2).cast("int"))
+    at = lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))
+    place = F.when(F.col("type") == "Point", at(point)).when(area, F.struct(inner["x"].alias("lon"), inner["y"].alias("lat"))).when(F.col("type") == "LineString", at(middle))
     street = F.lit(False)
     for w in STREET_WORDS:
         street |= F.lower(name).startswith(w + " ")
-    rows = features.where((name != "") & ~kind.isin(*ADMINISTRATIVE) & ~street & ~name.rlike("^[0-9.,-]+$"))
-    rows = rows.select(F.col("properties")["id"].alias("id"), name.alias("name"), kind.alias("type"), lon.alias("lon"), lat.alias("lat"))
-    rows = rows.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    rows = features.where((name != "") & ~(area & kind.isin("city", "town")) & ~kind.isin(*ADMINISTRATIVE) & ~street & ~name.rlike("^[0-9.,-]+$"))
+    rows = rows.withColumns({"_id": F.col("properties")["id"], "_name": name, "_kind": kind, "_places": F.array(place)})
+    rows = rows.select(F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("_kind").alias("type"), F.explode("_places").alias("p"))  # found once, before the box is looked at
+    rows = rows.select("id", "name", "type", "p.lon", "p.lat").where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
     return rows.groupBy("id").agg(F.min(F.struct("name", "type", "lon", "lat")).alias("p")).select("id", "p.*")
 
 
