@@ -110,8 +110,8 @@ def test_suffix_tree(spark, options):
 
 def test_suffix_tree_keeps_columns_and_learns_nothing_from_nothing(spark):
     docs = spark.createDataFrame([(1, "a b a", "x", 3.0, "y")], "doc_id long, text string, row string, score double, h string").withColumn("trained", F.lit(False))
-    tree, counted = suffix_tree.fit(docs, "trained")
-    (r,) = suffix_tree.score(docs, tree, counted).collect()
+    tree, counted, coded = suffix_tree.fit(docs, "trained")
+    (r,) = suffix_tree.score(coded, tree, counted).collect()
     assert (r["row"], r["score"], r["h"], r["n_tokens"], r["n_known"]) == ("x", 3.0, "y", 4, 0) and r["base_score"] == r["score_"] == 0
 
 
