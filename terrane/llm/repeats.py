@@ -8,6 +8,11 @@ else cannot hold a repeat and goes no further. The fragments of one name meet
 in one task, equal ones as one with a count, and there the Burrows-Wheeler
 transforms of shards of fragments are merged (bwt.py); intervals of the merged
 order whose suffixes share `length` bytes are the repeats.
+
+What meets in one task is bounded: where the distinct fragments of a name hold more
+than HOT bytes, windows whose 64-bit hash is found once in the table are trimmed off
+first (a passage with many continuations becomes a few equal fragments), and if what
+is left is still so large, each window goes under its own hash as its name.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from terrane.llm.bwt import repeated
 from terrane.llm.common import Scratch, claim, fresh
 
 GRAM, BLOCK, BATCH, HELD, USES, WORD = 32, 1 << 19, 1 << 19, 16 << 20, 1 << 15, 8
+HOT, FEW_NAMES, FEW_WINDOWS = 1 << 17, 1 << 18, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64(0xFFFFF)
 _powers: dict = {}
@@ -128,6 +134,116 @@ def cut_fragments(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def window_hashes(piece: bytes, length: int) -> np.ndarray:
+    up, down = powers(len(piece))
+    sums = np.r_[np.uint64(0), np.cumsum((np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(piece)])]
+    h = (sums[length:] - sums[:-length]) * down[: len(piece) - length + 1]
+    h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def over_hot(pieces: DataFrame, digest: str) -> DataFrame:
+    """The names whose distinct fragments hold more than HOT bytes."""
+    each = pieces.groupBy("name", digest).agg(F.max(F.length("bytes")).alias("b"))
+    return each.groupBy("name").agg(F.sum("b").alias("b")).where(F.col("b") > HOT).select("name")
+
+
+def found(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are among some sorted ones."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+
+
+def marked(pieces: DataFrame, again: DataFrame, length: int) -> DataFrame:
+    """(name, digest, count, bytes, ks): the fragments with windows among the hashes `again` (h), and the places of those.
+
+    Up to FEW_WINDOWS hashes are broadcast, 8 MB; more are joined, window by window.
+    """
+    pieces = pieces.select("name", "digest", "count", "bytes")
+    if again.count() <= FEW_WINDOWS:
+        known = pieces.sparkSession.sparkContext.broadcast(np.sort(again.toArrow().column("h").to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ks = [np.flatnonzero(found(known.value, window_hashes(x.as_py(), length))) for x in b.column(3)]
+                rows = pa.array([k for k, x in enumerate(ks) if len(x)], pa.int64())
+                lists = pa.array([x.tolist() for x in ks if len(x)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), lists], ["name", "digest", "count", "bytes", "ks"])
+
+        return pieces.mapInArrow(run, "name long, digest binary, count long, bytes binary, ks array<int>")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [window_hashes(x.as_py(), length) for x in b.column(2)]
+            if hashes:
+                sizes = [len(h) for h in hashes]
+                at = pa.array(np.repeat(np.arange(len(hashes)), sizes))
+                place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(2)), pa.array(place), pa.array(np.concatenate(hashes))], ["name", "digest", "k", "h"])
+
+    each = pieces.select("name", "digest", "bytes").mapInArrow(windows, "name long, digest binary, k int, h long")
+    places = each.join(again, "h", "left_semi").groupBy("name", "digest").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    return pieces.join(places, ["name", "digest"])
+
+
+def split_hot(pieces: DataFrame, scratch: Scratch, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """From (name, digest, n, count, bytes): the same with the fragments of hot names in parts, and where the parts lie.
+
+    The second is name, digest, and part_name, part_digest, shift of each of their
+    parts; None where no name is hot.
+    """
+    hot = scratch.keep(over_hot(pieces, "digest"), "hot")
+    names = hot.count()
+    if not names:
+        return pieces, None
+    hot = F.broadcast(hot) if names <= FEW_NAMES else hot
+    cold = pieces.join(hot, "name", "left_anti")
+    warm = pieces.join(hot, "name").groupBy("name", "digest").agg(F.first("n").alias("n"), F.sum("count").alias("count"), F.first("bytes").alias("bytes"))
+    warm = scratch.keep(warm, "warm")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [window_hashes(x.as_py(), length) for x in b.column(1)]
+            if hashes:
+                h, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                each = np.repeat(b.column(0).to_numpy(), [len(x) for x in hashes])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(at, each).astype(np.int64))], ["h", "c"])
+
+    again = warm.select("count", "bytes").mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
+    again = scratch.keep(again, "again")
+    placed = scratch.keep(marked(warm, again, length), "placed")
+    schema = "name long, digest binary, part_name long, part_digest binary, shift int, n int, count long, bytes binary"
+
+    def parts(single: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for name, digest, count, piece, ks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    ks = np.array(ks)
+                    starts = ks if single else ks[np.r_[True, np.diff(ks) > 1]]
+                    ends = ks if single else ks[np.r_[np.diff(ks) > 1, True]]
+                    hashes = window_hashes(piece, length) if single else None
+                    for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+                        part = piece[x : y + length]
+                        rows.append((name, digest, int(hashes[x]) if single else name, hashlib.blake2b(part, digest_size=16, person=b"part").digest(), x, y - x + 1, count, part))
+                if rows:
+                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "digest", "part_name", "part_digest", "shift", "n", "count", "bytes"])
+
+        return run
+
+    trimmed = scratch.keep(placed.mapInArrow(parts(False), schema), "trimmed")
+    still = scratch.keep(over_hot(trimmed, "part_digest"), "still")
+    few = still.count()
+    still = F.broadcast(still) if few <= FEW_NAMES else still
+    out = trimmed
+    if few:
+        out = scratch.keep(trimmed.join(still, "name", "left_anti").unionByName(placed.join(still, "name", "left_semi").mapInArrow(parts(True), schema)), "parts")
+    for name in ("again", "warm"):
+        scratch.free(name)
+    moved = out.select(F.col("part_name").alias("name"), F.col("part_digest").alias("digest"), "n", "count", "bytes")
+    return cold.select(*moved.columns).unionByName(moved), out.select("name", "digest", "part_name", "part_digest", "shift")
+
+
 def find_repeats(pieces: DataFrame, length: int, width: int) -> DataFrame:
     """From (name, digest, n, count, bytes), the fragments that hold repeats: name, digest, runs of places (first, end, first, end ...)."""
 
@@ -176,18 +292,22 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, *, length: int = 200, width:
     grows with the rows, not with their square.
     """
     names = scratch.keep(name_fragments(docs, length), "names")
-    shared = names.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    shared = scratch.keep(names.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "shared")  # a table, so that a hot name's join can be split
     listed = names.join(shared, "name").groupBy("_d", "_t").agg(F.collect_set(F.struct("name", "first", "n")).alias("names"))
     held = docs.select("_d", "_t", "text").join(listed, ["_d", "_t"])
     cut = scratch.keep(cut_fragments(held, length), "cut")
     scratch.free("names")
-    found = scratch.keep(find_repeats(cut.where(F.col("bytes").isNotNull()), length, width), "found")
+    pieces, parts = split_hot(cut.where(F.col("bytes").isNotNull()).select("name", "digest", "n", "count", "bytes"), scratch, length)
+    repeats = scratch.keep(find_repeats(pieces, length, width), "found")
+    if parts is not None:
+        whole = parts.join(repeats.toDF("part_name", "part_digest", "runs"), ["part_name", "part_digest"])
+        repeats = repeats.unionByName(whole.select("name", "digest", F.transform("runs", lambda x: x + F.col("shift")).alias("runs")))
     uses = cut.where(F.col("bytes").isNull()).select("name", "digest", "_d", "_t", "first")
-    runs = uses.join(found, ["name", "digest"])
+    runs = uses.join(repeats, ["name", "digest"])
     spans = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)), lambda i: F.struct((F.col("first") + F.get("runs", i)).alias("a"), (F.col("first") + F.get("runs", i + 1) + length - 1).alias("b")))
     spans = scratch.keep(runs.select("_d", "_t", spans.alias("s")).groupBy("_d", "_t").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("spans")), "spans")
-    scratch.free("cut")
-    scratch.free("found")
+    for name in ("cut", "found", "shared", "hot", "placed", "still", "trimmed", "parts"):
+        scratch.free(name)
     return spans
 
 

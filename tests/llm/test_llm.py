@@ -62,7 +62,9 @@ def test_simhash(docs):
         assert Counter(tuple(r) for r in simhash.near_dedup(docs, hot_rows=hot).collect()) == want
 
 
-def test_repeats(docs):
+@pytest.mark.parametrize("hot", [1 << 17, 2000, 0])
+def test_repeats(docs, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = [(d, t.encode()) for d, t in rows_of(docs)]
     seen = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
     want = Counter()
@@ -77,6 +79,25 @@ def test_repeats(docs):
     assert repeats.without_repeats(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize(("hot", "few"), [(1 << 17, 1 << 20), (3000, 1 << 20), (3000, 0), (0, 1 << 20), (0, 0)])
+def test_repeats_with_many_continuations(spark, hot, few, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "FEW_WINDOWS", few)
+    rng = random.Random(8)
+    passage, other = rng.randbytes(150).hex(), rng.randbytes(120).hex()
+    texts = [rng.randbytes(rng.randint(0, 60)).hex() + passage + rng.randbytes(rng.randint(0, 150)).hex() for _ in range(60)]
+    texts += [rng.randbytes(40).hex() + other + passage for _ in range(20)] + [passage] * 15
+    rows = [(k, t) for k, t in enumerate(texts)]
+    seen = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
+    want = Counter()
+    for d, t in rows:
+        gone = {j for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+        kept = "".join(c for j, c in enumerate(t) if j not in gone)
+        want[d, len(t), len(gone), sum(j - 1 not in gone for j in gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert Counter(tuple(r) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("seed", [61, 86, 95])
 def test_repeats_across_byte_65536(spark, seed):
     rng = random.Random(seed)
