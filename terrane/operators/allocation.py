@@ -294,7 +294,7 @@ def integer_transport(cells: DataFrame, supply: DataFrame, targets: DataFrame, *
         return pd.DataFrame(rows, columns=["zone", "o", "d", "flow", "width"]).astype({"width": "Int32", "flow": "int64"})
 
     cells = cells.select("zone", "o", "d", "proposal", "distance")
-    ends = supply.select("zone", F.lit(0).alias("side"), F.col("o").alias("id"), F.col("out").cast("double").alias("n")).unionByName(targets.select("zone", F.lit(1).alias("side"), F.col("d").alias("id"), F.col("target").cast("double").alias("n")))
+    ends = supply.select("zone", F.lit(0).alias("side"), F.col("o").alias("id"), F.col("out").cast("double").alias("n")).unionByName(targets.select("zone", F.lit(1).alias("side"), F.col("d").alias("id"), F.col("target").cast("double").alias("n"))).toDF("zone", "side", "id", "n")  # names of its own: cells may come from the same table
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
     return cells.groupBy("zone").cogroup(ends.groupBy("zone")).applyInPandas(solve, f"zone {kinds['zone']}, o {kinds['o']}, d {kinds['d']}, flow long, width int")
 
@@ -313,7 +313,7 @@ def feasibility(cells: DataFrame, supply: DataFrame, targets: DataFrame, *, scal
         return pd.DataFrame({"zone": [key[0]], "supply": [sum(out.values()) / scale], "deficit": [deficit / scale]})
 
     cells = cells.select("zone", "o", "d", "distance")
-    ends = supply.select("zone", F.lit(0).alias("side"), F.col("o").alias("id"), F.col("out").cast("double").alias("n")).unionByName(targets.select("zone", F.lit(1).alias("side"), F.col("d").alias("id"), F.col("target").cast("double").alias("n")))
+    ends = supply.select("zone", F.lit(0).alias("side"), F.col("o").alias("id"), F.col("out").cast("double").alias("n")).unionByName(targets.select("zone", F.lit(1).alias("side"), F.col("d").alias("id"), F.col("target").cast("double").alias("n"))).toDF("zone", "side", "id", "n")  # names of its own: cells may come from the same table
     kind = cells.schema["zone"].dataType.simpleString()
     return cells.groupBy("zone").cogroup(ends.groupBy("zone")).applyInPandas(solve, f"zone {kind}, supply double, deficit double")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import scalars as S
 from terrane.operators import aggregates as A
+from terrane.operators import allocation
 from terrane.operators import calibrate as C
 from terrane.operators import flows as O
 from terrane.plans.base import EDGES, edges, place, place_sql, registry, table
@@ -216,12 +217,9 @@ def territorial_budget(spark, sf):
 @query()
 def integer_transport(spark, sf):
     """Supplies and demands of each region met by whole flows near the observed ones."""
-    from terrane.operators.graph import transport
-
-    n = table(spark, sf, "nation")
-    zone = n.select(F.col("n_nationkey").alias("o"), F.col("n_regionkey").alias("zone")).join(n.select(F.col("n_nationkey").alias("d"), F.col("n_regionkey").alias("zone")), "zone")
-    t = pairs(spark, sf).join(zone, ["o", "d"])
+    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    t = pairs(spark, sf).join(n.toDF("o", "zone"), "o").join(n.toDF("d", "_zone"), "d").where("zone = _zone")
     need = t.groupBy("zone", "o").agg(F.sum("size").alias("out"))
-    have = t.groupBy("zone", "d").agg(F.sum("size").alias("in"))
-    cells = t.select("zone", "o", "d", (F.col("size") - F.col("size") % 10).alias("proposal"))
-    return transport(cells, need, have)
+    have = t.groupBy("zone", "d").agg(F.sum("size").alias("target"))
+    cells = t.select("zone", "o", "d", (F.col("size") - F.col("size") % 10).alias("proposal"), dist().alias("distance"))
+    return allocation.integer_transport(cells, need, have).select("zone", "o", "d", "flow")
