@@ -69,14 +69,21 @@ def join_points(points: DataFrame, polygons: DataFrame, key: str, x: str = "x",
 
 
 def label_points(points: DataFrame, polygons: DataFrame, id_col: str, key: str, pick: Callable[[str], Column] = F.max, border: float = 0.0) -> DataFrame:
-    """(id, key) of every point: of the polygons that cover it the one that `pick` chooses (the last by default), null where there is none."""
-    found = join_points(points, polygons, key, border=border).groupBy(id_col).agg(pick(key).alias(key))
-    return points.select(id_col).join(found, id_col, "left")
+    """(id, key) of every point: of the polygons that cover it the one that `pick` chooses (the last by default), null where there is none. Every place is looked up once, however many points it has."""
+    found = join_points(points.select("x", "y").distinct(), polygons, key, border=border).groupBy("x", "y").agg(pick(key).alias(key))
+    return points.select(id_col, "x", "y").join(found.toDF("x", "y", key), ["x", "y"], "left").select(id_col, key)
 
 
 def outside(points: DataFrame, polygons: DataFrame, id_col: str, key: str, border: float = 0.0) -> DataFrame:
     """The points that no polygon covers."""
-    return points.join(join_points(points, polygons, key, border=border).select(id_col), id_col, "left_anti")
+    covered = join_points(points.select("x", "y").distinct(), polygons, key, border=border).select("x", "y").distinct()
+    return points.join(covered, ["x", "y"], "left_anti").select(*points.columns)
+
+
+def sums_in(points: DataFrame, polygons: DataFrame, key: str, sums: list[str], border: float = 0.0) -> DataFrame:
+    """(key, points, *sums): points and sums of columns in every polygon that covers any, summed by place before the join."""
+    places = points.groupBy("x", "y").agg(F.count("*").alias("points"), *[F.sum(c).alias(c) for c in sums])
+    return join_points(places, polygons, key, border=border).groupBy(key).agg(*[F.sum(c).alias(c) for c in ("points", *sums)])
 
 
 # --- overlay ------------------------------------------------------------------

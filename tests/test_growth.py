@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from terrane.operators import polygons as P
 from terrane.plans import flows
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,17 @@ def test_integer_transport_keeps_rows_and_columns(spark):
         want = {tuple(r) for r in t.groupBy("zone", end).agg(F.sum("size")).collect()}
         assert {tuple(r) for r in got.groupBy("zone", end).agg(F.sum("flow")).collect()} == want
     assert got.join(t, ["zone", "o", "d"], "left_anti").isEmpty()
+
+
+def test_a_place_is_looked_up_once(spark, monkeypatch):
+    """However many points it has; null places and points outside keep their rows."""
+    seen, join = [], P.join_points
+    monkeypatch.setattr(P, "join_points", lambda points, *a, **k: (seen.append(points.count()), join(points, *a, **k))[1])
+    points = spark.range(900).select("id", (F.col("id") % 3 * 2).cast("double").alias("x"), F.when(F.col("id") != 7, F.lit(1.0)).alias("y"), F.lit(2).alias("n"))
+    boxes = [(k, [[(0.0, 0.0), (w, 0.0), (w, 2.0), (0.0, 2.0)]]) for k, w in ((1, 1.0), (2, 3.0))]
+    zones = spark.createDataFrame(boxes, "zone long, rings array<array<struct<x: double, y: double>>>")
+    labels = {r["id"]: r["zone"] for r in P.label_points(points, zones, "id", "zone").collect()}
+    assert labels == {k: None if k == 7 or k % 3 == 2 else 2 for k in range(900)}
+    assert {r["id"] for r in P.outside(points, zones, "id", "zone").collect()} == {k for k in range(900) if labels[k] is None}
+    assert {tuple(r) for r in P.sums_in(points, zones, "zone", ["n"]).collect()} == {(1, 300, 600), (2, 599, 1198)}
+    assert max(seen) <= 4
