@@ -26,10 +26,15 @@ def poisson_draw(u: Column, most: int = 12) -> Column:
     return sum(steps[1:], steps[0])
 
 
+def candidates(probabilities: DataFrame) -> list[float]:
+    """The decays that are compared, a handful."""
+    return sorted({float(r["beta"]) for r in probabilities.select("beta").distinct().collect()})
+
+
 def losses(records: DataFrame, probabilities: DataFrame) -> DataFrame:
     """(side, id, weight, losses): the records with -ln p of their pair under every decay, as a map; a pair without a flow has the least probability."""
     by_pair = probabilities.groupBy("o", "d").agg(F.map_from_entries(F.collect_list(F.struct("beta", "p"))).alias("ps"))
-    betas = F.array(*[F.lit(float(b)) for b in sorted({float(r["beta"]) for r in probabilities.select("beta").distinct().collect()})])  # a handful of candidates
+    betas = F.array(*[F.lit(b) for b in candidates(probabilities)])
     p = lambda b: F.greatest(F.coalesce(F.try_element_at("ps", b), F.lit(0.0)), F.lit(LEAST_P))
     return records.join(by_pair, ["o", "d"], "left").select("side", "id", "weight", F.transform(betas, lambda b: F.struct(b.alias("beta"), (-F.ln(p(b))).alias("loss"))).alias("losses"))
 
@@ -40,10 +45,16 @@ def compared(records: DataFrame, probabilities: DataFrame, replicates: int = REP
     A record is drawn equally often for every decay. All replicates come from one pass
     with sums on the map side; what is shuffled are parts x replicates x decays.
     """
-    x = losses(records, probabilities).select("side", "id", "weight", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("rep"), "losses")
-    times = F.when(F.col("rep") == 0, 1).otherwise(poisson_draw(uniform(F.col("id"), F.col("rep"))))
-    x = x.withColumn("w", times * F.col("weight")).where("w > 0").select("side", "rep", "w", F.explode("losses").alias("l"))
-    return x.groupBy("side", "rep", F.col("l.beta").alias("beta")).agg(F.sum("w").alias("mass"), F.sum(F.col("w") * F.col("l.loss")).alias("lost"))
+    # The number is a column before it is compared, and no filter stands above it, or its MD5 would be taken anew for each comparison.
+    # Each record becomes many rows: they are dealt over all cores first, for a small table is read by few tasks.
+    dealt = records.repartition(4 * records.sparkSession.sparkContext.defaultParallelism, "id")
+    x = losses(dealt, probabilities).select("side", "id", "weight", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("rep"), "losses")
+    x = x.withColumn("u", uniform(F.col("id"), F.col("rep")))
+    x = x.select("side", "rep", (F.when(F.col("rep") == 0, 1).otherwise(poisson_draw(F.col("u"))) * F.col("weight")).alias("w"), "losses")
+    betas = candidates(probabilities)
+    sums = x.groupBy("side", "rep").agg(F.sum("w").alias("mass"), *[F.sum(F.col("w") * F.get("losses", k)["loss"]).alias(f"_{k}") for k in range(len(betas))]).where("mass > 0")
+    each = F.array(*[F.struct(F.lit(b).alias("beta"), F.col(f"_{k}").alias("lost")) for k, b in enumerate(betas)])
+    return sums.select("side", "rep", "mass", F.explode(each).alias("l")).select("side", "rep", "l.beta", "mass", "l.lost")
 
 
 def sample_size(records: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """What failed at size or by an error, on small tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from terrane.operators import friction
 from terrane.operators import polygons as P
-from terrane.plans import flows
+from terrane.plans import files, flows
+from terrane.sources import vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +34,26 @@ def test_a_place_is_looked_up_once(spark, monkeypatch):
     assert {r["id"] for r in P.outside(points, zones, "id", "zone").collect()} == {k for k in range(900) if labels[k] is None}
     assert {tuple(r) for r in P.sums_in(points, zones, "zone", ["n"]).collect()} == {(1, 300, 600), (2, 599, 1198)}
     assert max(seen) <= 4
+
+
+def test_draws_hash_once(spark):
+    """A replicate's number is a column of its own in the plan: one MD5, however many comparisons."""
+    records = spark.range(20).select(F.lit("guard").alias("side"), "id", F.lit(1).alias("o"), F.lit(2).alias("d"), F.lit(1.0).alias("weight"))
+    p = spark.createDataFrame([(b, 1, 2, 0.1 + b) for b in (0.1, 0.2)], "beta double, o int, d int, p double")
+    sums = friction.compared(records, p, 5)
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    rows = {(r["rep"], r["beta"]): (r["mass"], round(r["lost"], 9)) for r in sums.collect()}
+    assert len(rows) == 12 and all(rows[0, b] == (20, round(-20 * math.log(0.1 + b), 9)) for b in (0.1, 0.2))
+
+
+def test_blocks_of_equal_keys_can_all_stay(spark):
+    box = [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]]
+    rows = [("a", k, 5, box, "0900200010010001") for k in range(3)]
+    layer = spark.createDataFrame(rows, f"file string, record long, shape int, rings {P.RINGS}, CVEGEO string")
+    assert vectors.area_points(layer)[0].count() == 1 and vectors.area_points(layer, every=True)[0].count() == 3
+
+
+def test_shapefile_blocks_of_long_numbers(spark, tmp_path):
+    """Keys cut to four places are equal for suppliers 1600 and 16000; SQL keeps both."""
+    spark.createDataFrame([(k, "x", 1, 0.0) for k in (5, 1600, 16000)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert files.shapefile_blocks(spark, str(tmp_path)).count() == 3
