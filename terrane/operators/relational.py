@@ -91,19 +91,21 @@ def nearest_line(points: DataFrame, segments: DataFrame, reach: float) -> DataFr
 
     segments: (segment, ax, ay, bx, by) in the points' metric plane. A segment is
     dealt to the cells that its box, widened by reach, touches; cells have the size
-    of reach, so long segments should be cut before.
+    of reach, so long segments should be cut before. Every place is looked up once.
     """
     lo = lambda a, b: F.floor((F.least(a, b) - reach) / reach).cast("long")
     hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / reach).cast("long")
     cells = segments.withColumn("cx", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx")))).withColumn("cy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
-    placed = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / reach).cast("long").alias("cx"), F.floor(F.col("y") / reach).cast("long").alias("cy"))
+    spots = points.select(F.col("x").alias("px"), F.col("y").alias("py")).where("px is not null and py is not null").distinct()
+    placed = spots.withColumns({"cx": F.floor(F.col("px") / reach).cast("long"), "cy": F.floor(F.col("py") / reach).cast("long")})
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n = dx * dx + dy * dy
     t = F.when(n > 0, F.least(F.greatest(((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy) / n, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     hit = placed.join(cells, ["cx", "cy"]).withColumns({"x": F.col("ax") + t * dx, "y": F.col("ay") + t * dy})
     hit = hit.withColumn("distance", F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2))).where(F.col("distance") <= reach)
-    best = hit.groupBy("id").agg(F.min(F.struct("distance", "segment", "x", "y")).alias("b"))
-    return best.select("id", "b.segment", "b.distance", "b.x", "b.y")
+    best = hit.groupBy("px", "py").agg(F.min(F.struct("distance", "segment", "x", "y")).alias("b"))
+    at = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"))
+    return at.join(best, ["px", "py"]).select("id", "b.segment", "b.distance", "b.x", "b.y")
 
 
 def walk_hierarchy(nodes: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
@@ -175,25 +177,38 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, *, poin
     """Each point with its nearest target within `radius` (planar, same unit), ties to the smaller target; null without one.
 
     points: (id, x, y); targets: (target, tx, ty). Targets are dealt to the 3 x 3
-    cells around their own, so the join is an equi join on cells.
+    cells around their own, so the join is an equi join on cells. Every place is looked
+    up once, and of the targets of one place only the smallest is.
     """
     cells = F.array(*[F.struct((F.floor(F.col("tx") / radius) + i).alias("cx"), (F.floor(F.col("ty") / radius) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = targets.withColumn("_c", F.explode(cells)).select("*", "_c.cx", "_c.cy").drop("_c")
-    placed = points.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
+    around = targets.groupBy("tx", "ty").agg(F.min(target).alias(target)).withColumn("_c", F.explode(cells)).select("*", "_c.cx", "_c.cy").drop("_c")
+    placed = points.select("x", "y").distinct().withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
     d2 = F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2)
     hit = placed.join(around, ["cx", "cy"]).withColumn("_d2", d2).where(F.col("_d2") <= radius * radius)
-    best = hit.groupBy(point).agg(F.min(F.struct("_d2", target)).alias("_b")).select(point, F.col(f"_b.{target}").alias(target), F.sqrt("_b._d2").alias("distance"))
-    return points.select(point).join(best, point, "left")
+    best = hit.groupBy("x", "y").agg(F.min(F.struct("_d2", target)).alias("_b")).select("x", "y", F.col(f"_b.{target}").alias(target), F.sqrt("_b._d2").alias("distance"))
+    return points.select(point, "x", "y").join(best, ["x", "y"], "left").select(point, target, "distance")
 
 
-def pairs_within(points: DataFrame, radius: float) -> DataFrame:
-    """Pairs (a, b, distance), a < b, of points (id, x, y) within the radius, each once, by cells."""
-    left = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+def places_of(points: DataFrame, order: Column | None = None) -> DataFrame:
+    """(id, x, y, place): every point with the point that stands for its place, the first by `order` (by default the smallest id); without finite coordinates it stands for itself."""
+    first = points.where(F.abs("x") + F.abs("y") < float("inf")).groupBy("x", "y").agg((F.min("id") if order is None else F.min_by("id", order)).alias("place"))
+    return points.select("id", "x", "y").join(first, ["x", "y"], "left").withColumn("place", F.coalesce("place", "id"))
+
+
+def pairs_within(points: DataFrame, radius: float, digits: int | None = None) -> DataFrame:
+    """Pairs (a, b, distance), a < b, of points (id, x, y) within the radius, each once, by cells; distances rounded to `digits`, if given.
+
+    Places are compared, not points: a distance is computed once for the points of two places.
+    """
+    left = points.select(F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
     left = left.withColumn("cx", F.floor(F.col("ax") / radius)).withColumn("cy", F.floor(F.col("ay") / radius))
     cells = F.array(*[F.struct((F.floor(F.col("x") / radius) + i).alias("cx"), (F.floor(F.col("y") / radius) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = points.withColumn("_c", F.explode(cells)).select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "_c.cx", "_c.cy")
+    right = points.select("x", "y").distinct().withColumn("_c", F.explode(cells)).select(F.col("x").alias("bx"), F.col("y").alias("by"), "_c.cx", "_c.cy")
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return left.join(right, ["cx", "cy"]).where("a < b").withColumn("distance", d).where(F.col("distance") <= radius).select("a", "b", "distance")
+    near = left.join(right, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius)
+    near = near.select("ax", "ay", "bx", "by", "distance" if digits is None else F.round("distance", digits).alias("distance"))
+    member = lambda k: points.select(F.col("id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    return near.join(member("a"), ["ax", "ay"]).join(member("b"), ["bx", "by"]).where("a < b").select("a", "b", "distance")
 
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
