@@ -10,7 +10,7 @@ from terrane.sources.scratch import Rounds
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, by minimum labels with pointer jumping."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
+    both = Rounds(nodes.sparkSession, "edges").keep("edges", edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())  # read in every round
     work = Rounds(nodes.sparkSession, "components")
     labels = work.keep("labels", nodes.select("id", F.col("id").alias("component")))
     while True:
@@ -30,9 +30,9 @@ def anchors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     drop its neighbours, which gives exactly what one node after the other would.
     nodes: (id, score); pairs: (a, b).
     """
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
+    both = Rounds(nodes.sparkSession, "edges").keep("edges", pairs.select("a", "b").union(pairs.select("b", "a")).distinct())  # read in every round
     work = Rounds(nodes.sparkSession, "anchors")
+    rank = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
     state = work.keep("state", nodes.select("id", rank.alias("r"), F.lit(None).cast("boolean").alias("anchor")))
     while True:
         free = state.where("anchor is null")

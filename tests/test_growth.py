@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terrane.operators import friction
 from terrane.operators import polygons as P
-from terrane.plans import files, flows
+from terrane.operators import relational as R
+from terrane.plans import files, flows, spatial
 from terrane.sources import vectors
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,36 @@ def test_shapefile_blocks_of_long_numbers(spark, tmp_path):
     """Keys cut to four places are equal for suppliers 1600 and 16000; SQL keeps both."""
     spark.createDataFrame([(k, "x", 1, 0.0) for k in (5, 1600, 16000)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     assert files.shapefile_blocks(spark, str(tmp_path)).count() == 3
+
+
+def test_points_of_one_place_are_compared_once(spark):
+    """Pairs, nearest targets and segments of crowded places against the plain loop."""
+    at = [(k, float(k % 7), float(k % 3)) for k in range(60)] + [(60, None, 1.0), (61, 2.5, float("nan"))]
+    points = spark.createDataFrame(at, "id long, x double, y double")
+    finite = at[:60]
+    far = lambda p, q: math.hypot(p[1] - q[1], p[2] - q[2])
+    want = {(p[0], q[0], round(far(p, q), 3)) for p in finite for q in finite if p[0] < q[0] and far(p, q) <= 1.5}
+    pairs = R.pairs_within(points, 1.5, digits=3)
+    assert {tuple(r) for r in pairs.collect()} == want and pairs.count() == len(want)
+    targets = points.where("id < 40").select(F.col("id").alias("target"), (F.col("x") * 2).alias("tx"), F.col("y").alias("ty"))
+    near = {r["id"]: r["target"] for r in R.nearest_within(points, targets, 0.9).collect()}
+    ends = [(k, 2 * x, y) for k, x, y in finite[:40]]
+    assert near == {p[0]: min(((far(p, q), q[0]) for q in ends if p[0] < 60 and far(p, q) <= 0.9), default=(0, None))[1] for p in at}
+    line = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 0.0)], "segment int, ax double, ay double, bx double, by double")
+    assert {(r["id"], r["y"]) for r in R.nearest_line(points, line, 1.0).collect()} == {(p[0], 0.0) for p in finite if p[2] <= 1 and p[1] <= 4 and (p[1] <= 3 or p[2] == 0)}
+    assert {tuple(r) for r in R.places_of(points).select("id", "place").collect()} == {(k, min(i for i, *q in finite if q == [x, y]) if k < 60 else k) for k, x, y in at}
+    joins = R.pairs_within(points, 1.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cx" not in joins.split("Join")[1]  # members join by place, not by cell
+
+
+def test_anchors_of_crowded_places(spark, tmp_path):
+    """The greedy choice in order of score, by the plain loop, with many suppliers at each place."""
+    rows = [(k * 500, "x", 1, float(k * 7919 % 101)) for k in range(90)] + [(k * 500 + 1, "x", 1, float(k * 31 % 17)) for k in range(40)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    place = lambda k: (k * 37 % 1000 / 10.0, k * 53 % 1000 / 10.0)
+    chosen: list = []
+    for k, *_ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if all(math.dist(place(k), place(c)) > 6 for c in chosen):
+            chosen.append(k)
+    got = spatial.anchor_thinning(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r["id"] for r in got if r["anchor"]} == set(chosen)
