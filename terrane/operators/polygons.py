@@ -98,13 +98,13 @@ EITHER = lambda held, n: F.size(held) % 2 == 1
 def crossings(sides: DataFrame) -> DataFrame:
     """(group, y): where two sides of a group cross. Only sides that share a cell are compared; cells are as large as a group's mean side."""
     mean = F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.col("by") - F.col("ay")))
-    s = sides.join(sides.groupBy("group").agg(mean.alias("size")), "group")
+    s = sides.join(sides.groupBy("group").agg(mean.alias("size")).hint("merge"), "group")
     row = lambda v: F.floor(v / F.col("size"))
     s = s.withColumn("j", F.explode(F.sequence(row(F.col("ay")), row(F.col("by")))))
     t = F.struct("ax", "ay", "bx", "by")
     low, high = (G.side_x(t, F.least(F.greatest(v, F.col("ay")), F.col("by"))) for v in (F.col("j") * F.col("size"), (F.col("j") + 1) * F.col("size")))
     s = s.withColumn("i", F.explode(F.sequence(row(F.least(low, high)), row(F.greatest(low, high))))).select("group", "i", "j", "number", t.alias("s"))
-    p = s.join(s.select("group", "i", "j", F.col("number").alias("other"), F.col("s").alias("t")), ["group", "i", "j"]).where("number < other")
+    p = s.join(s.select("group", "i", "j", F.col("number").alias("other"), F.col("s").alias("t")).hint("merge"), ["group", "i", "j"]).where("number < other")
     dx, dy = (lambda v: v["bx"] - v["ax"]), (lambda v: v["by"] - v["ay"])
     a, b = F.col("s"), F.col("t")
     turn = dx(a) * dy(b) - dy(a) * dx(b)
@@ -119,7 +119,9 @@ def overlay(shapes: DataFrame, rule: Callable[[Column, Column], Column]) -> Data
     Horizontal slabs reach from one vertex or crossing of a group to the next, so no
     sides cross within one; in a slab the sides are walked from left to right. One
     task holds the sides of one slab, not those of a group. Touching, overlapping and
-    self-crossing rings are fine; a single shape under UNION is repaired that way.
+    self-crossing rings are fine; a single shape under UNION is repaired that way. The
+    joins are merged: a table's size on disk says nothing of the sides and slabs that
+    come of it, and a join that Spark takes for small would pass them through the driver.
     """
     s = shapes.select("group", "shape", F.explode(G.sides(F.col("rings"))).alias("t")).where("t.ay <> t.by")
     up = F.col("t.ay") < F.col("t.by")
@@ -128,15 +130,15 @@ def overlay(shapes: DataFrame, rule: Callable[[Column, Column], Column]) -> Data
     s = s.withColumn("number", F.xxhash64("shape", "ax", "ay", "bx", "by"))
     levels = s.select("group", F.explode(F.array("ay", "by")).alias("y")).unionByName(crossings(s)).distinct().groupBy("group").agg(F.array_sort(F.collect_list("y")).alias("ys"))
     ys = levels.select("group", F.posexplode("ys").alias("k", "y"))
-    slabs = ys.join(ys.select("group", (F.col("k") - 1).alias("k"), F.col("y").alias("above")), ["group", "k"])
-    place = lambda name, k: ys.select("group", F.col("y").alias(name), F.col("k").alias(k))
+    slabs = ys.join(ys.select("group", (F.col("k") - 1).alias("k"), F.col("y").alias("above")).hint("merge"), ["group", "k"])
+    place = lambda name, k: ys.select("group", F.col("y").alias(name), F.col("k").alias(k)).hint("merge")
     s = s.join(place("ay", "k0"), ["group", "ay"]).join(place("by", "k1"), ["group", "by"])
-    s = s.withColumn("k", F.explode(F.sequence(F.col("k0"), F.col("k1") - 1))).join(slabs, ["group", "k"])
+    s = s.withColumn("k", F.explode(F.sequence(F.col("k0"), F.col("k1") - 1))).join(slabs.hint("merge"), ["group", "k"])
     t = F.struct("ax", "ay", "bx", "by")
     x0, x1 = G.side_x(t, F.col("y")), G.side_x(t, F.col("above"))
     count = shapes.groupBy("group").agg(F.countDistinct("shape").alias("n"))
     cut = s.groupBy("group", "k", "y", "above").agg(F.array_sort(F.collect_list(F.struct((x0 + x1).alias("m"), x0.alias("x0"), x1.alias("x1"), F.col("shape").cast("int").alias("shape")))).alias("cuts"))
-    cut = cut.join(count, "group")
+    cut = cut.join(count.hint("merge"), "group")
     n, piece = F.col("n"), "array<struct<l0: double, l1: double, r0: double, r1: double>>"
     start = F.struct(F.array().cast("array<int>").alias("held"), F.lit(0.0).alias("l0"), F.lit(0.0).alias("l1"), F.array().cast(piece).alias("out"))
 
@@ -207,17 +209,18 @@ def outlines(trapezoids: DataFrame) -> DataFrame:
     return trapezoids.groupBy("group").agg(parts).mapInPandas(run, f"group {kind}, rings {RINGS}")
 
 
-def buffered(polygons: DataFrame, key: str, radius: float, corners: int = 16) -> DataFrame:
-    """Trapezoids (group = key) of each polygon grown by a radius: itself, a box along each side and a regular polygon at each vertex, united."""
+def buffered(polygons: DataFrame, key: str, radius: float | Column, corners: int = 16) -> DataFrame:
+    """Trapezoids (group = key) of each polygon grown by a radius, which may be a column of its own: itself, a box along each side and a regular polygon at each vertex, united."""
     ring = lambda *ps: F.array(F.array(*[F.struct(px.alias("x"), py.alias("y")) for px, py in ps]))
-    sides = polygons.select(F.col(key).alias("group"), F.posexplode(G.sides(F.col("rings"))).alias("k", "t")).where("t.ax <> t.bx OR t.ay <> t.by")
+    wide = radius if isinstance(radius, Column) else F.lit(radius)
+    sides = polygons.select(F.col(key).alias("group"), wide.cast("double").alias("radius"), F.posexplode(G.sides(F.col("rings"))).alias("k", "t")).where("t.ax <> t.bx OR t.ay <> t.by")
     ax, ay, bx, by = (F.col(f"t.{c}") for c in ("ax", "ay", "bx", "by"))
-    long = F.sqrt((bx - ax) ** 2 + (by - ay) ** 2) / radius
+    long = F.sqrt((bx - ax) ** 2 + (by - ay) ** 2) / F.col("radius")
     nx, ny = (ay - by) / long, (bx - ax) / long
     boxes = sides.select("group", (2 * F.col("k") + 1).alias("shape"), ring((ax + nx, ay + ny), (bx + nx, by + ny), (bx - nx, by - ny), (ax - nx, ay - ny)).alias("rings"))
     # Corners lie on the axes, where a box's sides are tangent: exact values there.
-    turn = [(round(radius * math.cos(2 * math.pi * c / corners), 15), round(radius * math.sin(2 * math.pi * c / corners), 15)) for c in range(corners)]
-    discs = sides.select("group", (2 * F.col("k") + 2).alias("shape"), ring(*[(ax + dx, ay + dy) for dx, dy in turn]).alias("rings"))
+    turn = [(round(math.cos(2 * math.pi * c / corners), 15), round(math.sin(2 * math.pi * c / corners), 15)) for c in range(corners)]
+    discs = sides.select("group", (2 * F.col("k") + 2).alias("shape"), ring(*[(ax + F.col("radius") * dx, ay + F.col("radius") * dy) for dx, dy in turn]).alias("rings"))
     own = polygons.select(F.col(key).alias("group"), F.lit(0).alias("shape"), "rings")
     return overlay(own.unionByName(boxes).unionByName(discs), UNION)
 

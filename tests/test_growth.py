@@ -14,6 +14,10 @@ from terrane.sources import vectors
 SF = "/root/testdata/sf0.001"
 
 
+def rings_of(*rings):
+    return [[(float(x), float(y)) for x, y in r] for r in rings]
+
+
 def test_integer_transport_keeps_rows_and_columns(spark):
     got = flows.integer_transport(spark, SF)
     zone = spark.read.parquet(f"{SF}/nation.parquet").select("n_nationkey", "n_regionkey")
@@ -127,3 +131,12 @@ def test_a_box_within_reach():
             said += 1
             assert all(sites.metres(p, at, p[1]) <= 250.0 for p in places)
     assert 0 < said < 500
+
+
+def test_overlay_passes_nothing_through_the_driver(spark):
+    """However small the polygons look on disk, what comes of them is never broadcast; a radius may be a column."""
+    square = rings_of([(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)])
+    boxes = spark.createDataFrame([(1, square, 0.5), (2, square, 1.5)], f"zone long, rings {P.RINGS}, r double")
+    grown = P.areas(P.buffered(boxes, "zone", F.col("r")))
+    assert "Broadcast" not in grown._jdf.queryExecution().executedPlan().toString()
+    assert {r["group"]: round(r["area"], 6) for r in grown.collect()} == {k: round(8 + 12 * r + 8 * r * r * math.sin(math.pi / 8), 6) for k, r in ((1, 0.5), (2, 1.5))}
