@@ -81,8 +81,7 @@ def places(spark, sf):
 @query(f"WITH p AS ({PLACES}) SELECT l.seq AS a, r.seq AS b FROM p l JOIN p r ON l.seq < r.seq AND {AGREE} AND {HAVERSINE} <= 500 AND (coalesce(l.id = r.id, false) OR coalesce(l.official_code = r.official_code, false) OR l.name = r.name)")
 def same_place_pairs(spark, sf):
     """Pairs within 500 m that are one place by id, code or name, in territories, kinds and codes that agree."""
-    pairs = T.near_pairs(places(spark, sf), 500.0).where(T.same_place(500.0))
-    return pairs.select(F.col("l.seq").alias("a"), F.col("r.seq").alias("b"))
+    return T.same_place_pairs(places(spark, sf), 500.0)
 
 
 @query()
