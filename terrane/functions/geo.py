@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,17 +183,25 @@ def rings_area(rings: Column) -> Column:
     return F.abs(F.aggregate(sides(rings), F.lit(0.0), lambda a, s: a + s["ax"] * s["by"] - s["bx"] * s["ay"])) / 2
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value found once: inside array functions Spark finds an expression anew wherever, and for every element for which, it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def interior_point(rings: Column) -> Column:
     """struct(x, y) inside a polygon, never in a hole: the middle of its widest stretch (the first of several) on a line half way up, between two vertices' heights; null without area."""
-    s = F.filter(sides(rings), lambda t: t["ay"] != t["by"])
-    heights = F.array_sort(F.array_distinct(F.transform(s, lambda t: t["ay"])))
-    centre = (F.array_min(heights) + F.array_max(heights)) / 2
-    y = (F.array_max(F.filter(heights, lambda h: h <= centre)) + F.array_min(F.filter(heights, lambda h: h > centre))) / 2
 
-    def point(state: Column) -> Column:
-        cuts = F.array_sort(F.transform(F.filter(s, lambda t: (t["ay"] > state) != (t["by"] > state)), lambda t: side_x(t, state)))
+    def widest(cuts: Column, y: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2, F.lit(2)), lambda k: F.struct(F.round(F.get(cuts, k + 1) - F.get(cuts, k), 9).alias("w"), (-F.get(cuts, k)).alias("first"), ((F.get(cuts, k) + F.get(cuts, k + 1)) / 2).alias("x")))
-        best = F.array_max(pairs)
-        return F.when((F.size(cuts) > 1) & (best["w"] > 0), F.struct(best["x"].alias("x"), state.alias("y")))
+        return F.when(F.size(cuts) > 1, bound(F.array_max(pairs), lambda best: F.when(best["w"] > 0, F.struct(best["x"].alias("x"), y.alias("y")))))
+
+    def on_line(s: Column, y: Column) -> Column:
+        cuts = F.array_sort(F.transform(F.filter(s, lambda t: (t["ay"] > y) != (t["by"] > y)), lambda t: side_x(t, y)))
+        return bound(cuts, lambda cuts: widest(cuts, y))
+
+    def at_height(s: Column, heights: Column) -> Column:
+        y = bound((F.array_min(heights) + F.array_max(heights)) / 2, lambda centre: (F.array_max(F.filter(heights, lambda h: h <= centre)) + F.array_min(F.filter(heights, lambda h: h > centre))) / 2)
+        return F.when(F.size(heights) > 1, bound(y, lambda y: on_line(s, y)))
 
-    return F.when(F.size(heights) > 1, F.get(F.transform(F.array(y), point), 0))
+    heights = lambda s: F.array_sort(F.array_distinct(F.transform(s, lambda t: t["ay"])))
+    return bound(F.filter(sides(rings), lambda t: t["ay"] != t["by"]), lambda s: bound(heights(s), lambda h: at_height(s, h)))

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from terrane.functions import geo as G
 from terrane.functions import scalars as S
 from terrane.operators import friction, sites
 from terrane.operators import polygons as P
@@ -186,3 +187,13 @@ def test_copies_of_places_are_compared_once(spark, monkeypatch):
             groups |= {(m["seq"], a["seq"], kind, best) for m in members}
     assert {tuple(r) for r in T.duplicate_groups(p, 300.0).collect()} == groups
     assert len(seen) == 4 and max(seen) <= 72
+
+
+def test_an_interior_point_reads_its_rings_once(spark):
+    """However often a point's height and stretch name them: a text is parsed once for each form it may have."""
+    texts = [("Polygon", "[[[0,0],[4,0],[4,2],[0,2]],[[1,0.5],[2,0.5],[2,1.5],[1,1.5]]]"), ("Polygon", "[[[0,0],[1,0]]]"), ("Polygon", None)]
+    df = spark.createDataFrame(texts, "type string, c string")
+    vertices = F.transform(F.from_json("c", "array<array<array<double>>>"), lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    got = df.select(G.interior_point(vertices).alias("p"))
+    assert [r["p"] and tuple(r["p"]) for r in got.collect()] == [(3.0, 1.0), None, None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") + got._jdf.queryExecution().optimizedPlan().toString().count("JsonToStructs") == 1
