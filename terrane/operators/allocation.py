@@ -19,19 +19,32 @@ def permitted(origins: DataFrame, destinations: DataFrame, forbidden: DataFrame,
     """(o, d, distance): pairs of one zone and road component, at different places, within reach, not forbidden.
 
     origins: (o, x, y, zone, component), destinations: (d, dx, dy, zone, component); a
-    null component of the origin matches any.
+    null component of the origin matches any. Places are compared (with zone and
+    component), whoever is there joins them; only destinations that the list of
+    forbidden pairs names are looked up in it.
     """
+    listed = Rounds(forbidden.sparkSession, "forbidden").keep("forbidden", forbidden.select("o", "d"))
+    here, there = origins.select("x", "y", "zone", "component").distinct(), destinations.select("dx", "dy", "zone", "component").distinct()
     if reach is None:
-        l, r, keys = origins, destinations, ["zone"]
+        l, r, keys = here, there, ["zone"]
     else:  # what is within reach lies in the same cell or one beside it
         at = lambda x, y: {"_i": F.floor(F.col(x) / reach), "_j": F.floor(F.col(y) / reach)}
         around = F.explode(F.array(*[F.struct((F.col("_i") + i).alias("i"), (F.col("_j") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        l = origins.withColumns(at("x", "y")).withColumn("_c", around).withColumns({"_i": F.col("_c.i"), "_j": F.col("_c.j")})
-        r, keys = destinations.withColumns(at("dx", "dy")), ["zone", "_i", "_j"]
-    pairs = l.withColumnRenamed("component", "_own").join(r, keys).where((F.col("_own").isNull() | (F.col("_own") == F.col("component"))) & (F.col("o") != F.col("d")))
-    pairs = pairs.select("o", "d", F.sqrt(F.pow(F.col("dx") - F.col("x"), 2) + F.pow(F.col("dy") - F.col("y"), 2)).alias("distance")).where("distance > 0")
-    pairs = pairs.where(F.col("distance") <= reach) if reach is not None else pairs
-    return pairs.join(forbidden, ["o", "d"], "left_anti")
+        l = here.withColumns(at("x", "y")).withColumn("_c", around).withColumns({"_i": F.col("_c.i"), "_j": F.col("_c.j")})
+        r, keys = there.withColumns(at("dx", "dy")), ["zone", "_i", "_j"]
+    near = l.withColumnRenamed("component", "_own").join(r, keys).where(F.col("_own").isNull() | (F.col("_own") == F.col("component")))
+    near = near.withColumn("distance", F.sqrt(F.pow(F.col("dx") - F.col("x"), 2) + F.pow(F.col("dy") - F.col("y"), 2))).where("distance > 0")
+    near = near.where(F.col("distance") <= reach) if reach is not None else near
+    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows that become many
+    starts = near.select("x", "y", "zone", "_own", "dx", "dy", "component", "distance").alias("n").join(origins.alias("p"), F.expr("n.x = p.x AND n.y = p.y AND n.zone = p.zone AND n._own <=> p.component")).select("n.*", "p.o")
+
+    def reached(some: DataFrame) -> DataFrame:
+        there = F.expr("n.dx = q.dx AND n.dy = q.dy AND n.zone = q.zone AND n.component <=> q.component AND n.o <> q.d")
+        return starts.alias("n").join(some.alias("q"), there).select("n.o", "q.d", "n.distance")
+
+    named = listed.select("d").distinct()
+    free = reached(destinations.join(named, "d", "left_anti"))
+    return free.unionByName(reached(destinations.join(named, "d", "left_semi")).join(listed, ["o", "d"], "left_anti"))
 
 
 def soft_targets(prior: DataFrame, observed: DataFrame, masses: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geo as G
 from terrane.functions import scalars as S
-from terrane.operators import friction, sites
+from terrane.operators import allocation, friction, sites
 from terrane.operators import polygons as P
 from terrane.operators import relational as R
 from terrane.operators import toponymy as T
@@ -197,3 +197,15 @@ def test_an_interior_point_reads_its_rings_once(spark):
     got = df.select(G.interior_point(vertices).alias("p"))
     assert [r["p"] and tuple(r["p"]) for r in got.collect()] == [(3.0, 1.0), None, None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") + got._jdf.queryExecution().optimizedPlan().toString().count("JsonToStructs") == 1
+
+
+def test_permitted_pairs_of_crowded_places(spark):
+    """Against the plain loop, with null components; only destinations on the list are looked up in it."""
+    rows = [(k, float(k % 4), float(k % 3), k % 2, None if k % 5 == 0 else k % 3) for k in range(60)]
+    p = spark.createDataFrame(rows, "o int, x double, y double, zone int, component int")
+    no = {(a, b) for a in range(0, 60, 2) for b in (2, 4, 58)}
+    got = allocation.permitted(p, p.toDF("d", "dx", "dy", "zone", "component"), spark.createDataFrame(sorted(no), "o int, d int"), reach=2.0)
+    far = lambda a, b: math.hypot(a[1] - b[1], a[2] - b[2])
+    want = {(a[0], b[0], round(far(a, b), 6)) for a in rows for b in rows if a[3] == b[3] and (a[4] is None or a[4] == b[4]) and 0 < far(a, b) <= 2 and (a[0], b[0]) not in no}
+    assert {(r["o"], r["d"], round(r["distance"], 6)) for r in got.collect()} == want and got.count() == len(want)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
