@@ -10,9 +10,12 @@ transforms of shards of fragments are merged (bwt.py); intervals of the merged
 order whose suffixes share `length` bytes are the repeats.
 
 What meets in one task is bounded: where the distinct fragments of a name hold more
-than HOT bytes, windows whose 64-bit hash is found once in the table are trimmed off
-first (a passage with many continuations becomes a few equal fragments), and if what
-is left is still so large, each window goes under its own hash as its name.
+than HOT bytes, they are parted. Equal windows hold the gram of their name at the same
+place, so the windows of a fragment are cut into blocks by that place, WIDTHS[0] to a
+block, and a block goes under the hash of the bytes that all its windows share. Blocks
+whose name occurs once go no further, equal ones are one again, and what is still hot
+is parted into narrower blocks; those of one window are never hot. Each fragment gets
+the repeats of its blocks in one row before its uses are joined to it.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from terrane.llm.bwt import repeated
 from terrane.llm.common import Scratch, claim, fresh
 
 GRAM, BLOCK, BATCH, HELD, USES, WORD = 32, 1 << 19, 1 << 19, 16 << 20, 1 << 15, 8
-HOT, FEW_NAMES, FEW_WINDOWS = 1 << 17, 1 << 18, 1 << 20
+HOT, FEW_NAMES, FEW_WINDOWS, WIDTHS = 1 << 17, 1 << 18, 1 << 20, (28, 5, 1)
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64(0xFFFFF)
 _powers: dict = {}
@@ -44,6 +47,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def gram_hashes(part: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """A hash for each gram, 44 bits; the low bits tell places apart, and among equal hashes the last place is least."""
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+    h = (sums[GRAM:] - sums[:-GRAM]) * down[: len(part) - GRAM + 1]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h & ~PLACES) | (PLACES - np.arange(len(h), dtype=np.uint64))  # BLOCK + length <= 2 ** 20
+
+
 def fragments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Name, first window and number of windows of each fragment of one text."""
     w = length - GRAM + 1
@@ -51,13 +64,7 @@ def fragments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     up, down = powers(BLOCK + length)
     for lo in range(0, len(data) - length + 1, BLOCK):
         part = data[lo : lo + BLOCK + length - 1]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        h = (sums[GRAM:] - sums[:-GRAM]) * down[: len(part) - GRAM + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        # Among equal hashes the last place wins; the low bits only tell places of one name apart: BLOCK + length <= 2 ** 20.
-        h = (h & ~PLACES) | (PLACES - np.arange(len(h), dtype=np.uint64))
+        h = gram_hashes(part, up, down)
         n = len(h) - w + 1
         rows = np.concatenate([h, np.full(-len(h) % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
         ahead = np.minimum.accumulate(rows, 1).ravel()[w - 1 : w - 1 + n]
@@ -134,114 +141,100 @@ def cut_fragments(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def window_hashes(piece: bytes, length: int) -> np.ndarray:
-    up, down = powers(len(piece))
-    sums = np.r_[np.uint64(0), np.cumsum((np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(piece)])]
-    h = (sums[length:] - sums[:-length]) * down[: len(piece) - length + 1]
-    h ^= h >> np.uint64(29)
-    return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-
-
 def over_hot(pieces: DataFrame, digest: str) -> DataFrame:
     """The names whose distinct fragments hold more than HOT bytes."""
     each = pieces.groupBy("name", digest).agg(F.max(F.length("bytes")).alias("b"))
     return each.groupBy("name").agg(F.sum("b").alias("b")).where(F.col("b") > HOT).select("name")
 
 
-def found(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes are among some sorted ones."""
-    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+def blocks_of(piece: bytes, n: int, place: int | None, length: int, width: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """The blocks of a fragment's windows: first window, number of windows, place of the gram, name, bytes.
 
-
-def marked(pieces: DataFrame, again: DataFrame, length: int) -> DataFrame:
-    """(name, digest, count, bytes, ks): the fragments with windows among the hashes `again` (h), and the places of those.
-
-    Up to FEW_WINDOWS hashes are broadcast, 8 MB; more are joined, window by window.
+    A window that starts k before the gram belongs to block k // width. All windows of a
+    block hold the same length - width + 1 bytes, which name it: equal windows have equal names.
     """
-    pieces = pieces.select("name", "digest", "count", "bytes")
-    if again.count() <= FEW_WINDOWS:
-        known = pieces.sparkSession.sparkContext.broadcast(np.sort(again.toArrow().column("h").to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ks = [np.flatnonzero(found(known.value, window_hashes(x.as_py(), length))) for x in b.column(3)]
-                rows = pa.array([k for k, x in enumerate(ks) if len(x)], pa.int64())
-                lists = pa.array([x.tolist() for x in ks if len(x)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), lists], ["name", "digest", "count", "bytes", "ks"])
-
-        return pieces.mapInArrow(run, "name long, digest binary, count long, bytes binary, ks array<int>")
+    if place is None:
+        place = int(np.argmin(gram_hashes(np.frombuffer(piece[:length], np.uint8), *powers(length))))
+    hi = place
+    while hi > place - n:
+        lo = max(hi // width * width, place - n + 1)
+        first, k = place - hi, hi // width * width
+        shared = piece[place - k : place - k + length - width + 1]
+        name = hashlib.blake2b(shared, digest_size=8, salt=f"{width}:{k}".encode()).digest()
+        yield first, hi - lo + 1, hi, int.from_bytes(name, "little", signed=True), piece[first : first + hi - lo + length]
+        hi = lo - 1
+
+
+def parted(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """The blocks of (name, digest, n, place, count, bytes), with shift, the block's first window."""
+    schema = "name long, digest binary, part_name long, part_digest binary, shift int, n int, place int, count long, bytes binary"
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    names = ["name", "digest", "part_name", "part_digest", "shift", "n", "place", "count", "bytes"]
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [window_hashes(x.as_py(), length) for x in b.column(2)]
-            if hashes:
-                sizes = [len(h) for h in hashes]
-                at = pa.array(np.repeat(np.arange(len(hashes)), sizes))
-                place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(2)), pa.array(place), pa.array(np.concatenate(hashes))], ["name", "digest", "k", "h"])
+            for lo in range(0, b.num_rows, USES // 8):
+                rows = []
+                for name, digest, n, place, count, piece in zip(*(c.to_pylist() for c in b.slice(lo, USES // 8).columns), strict=True):
+                    for first, m, at, part_name, part in blocks_of(piece, n, place, length, width):
+                        rows.append((name, digest, part_name, hashlib.blake2b(part, digest_size=16, person=b"part").digest(), first, m, at, count, part))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    each = pieces.select("name", "digest", "bytes").mapInArrow(windows, "name long, digest binary, k int, h long")
-    places = each.join(again, "h", "left_semi").groupBy("name", "digest").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    return pieces.join(places, ["name", "digest"])
+    return pieces.select("name", "digest", "n", "place", "count", "bytes").mapInArrow(run, schema)
 
 
-def split_hot(pieces: DataFrame, scratch: Scratch, length: int) -> tuple[DataFrame, DataFrame | None]:
+def split_hot(pieces: DataFrame, scratch: Scratch, length: int) -> tuple[DataFrame, list[DataFrame]]:
     """From (name, digest, n, count, bytes): the same with the fragments of hot names in parts, and where the parts lie.
 
-    The second is name, digest, and part_name, part_digest, shift of each of their
-    parts; None where no name is hot.
+    The second has a table for each width that was needed: name, digest, and part_name,
+    part_digest, shift of each of their parts whose name occurs more than once.
     """
-    hot = scratch.keep(over_hot(pieces, "digest"), "hot")
-    names = hot.count()
-    if not names:
-        return pieces, None
-    hot = F.broadcast(hot) if names <= FEW_NAMES else hot
-    cold = pieces.join(hot, "name", "left_anti")
-    warm = pieces.join(hot, "name").groupBy("name", "digest").agg(F.first("n").alias("n"), F.sum("count").alias("count"), F.first("bytes").alias("bytes"))
-    warm = scratch.keep(warm, "warm")
+    some = lambda df, most: F.broadcast(df) if df.count() <= most else df
+    out, places = [], []
+    pieces = pieces.withColumn("place", F.lit(None).cast("int"))
+    for width in WIDTHS:
+        hot = scratch.keep(over_hot(pieces, "digest"), f"hot-{width}")
+        if hot.isEmpty():
+            break
+        hot = some(hot, FEW_NAMES)
+        out.append(pieces.join(hot, "name", "left_anti"))
+        warm = pieces.join(hot, "name", "left_semi").groupBy("name", "digest").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.sum("count").alias("count"), F.first("bytes").alias("bytes"))
+        parts = scratch.keep(parted(warm, length, width), f"parts-{width}")
+        shared = scratch.keep(parts.groupBy("part_name").agg(F.sum("count").alias("c")).where("c > 1").select("part_name"), f"shared-{width}")
+        parts = parts.join(some(shared, FEW_WINDOWS), "part_name", "left_semi")
+        places.append(scratch.keep(parts.select("name", "digest", "part_name", "part_digest", "shift"), f"places-{width}"))
+        pieces = parts.groupBy(F.col("part_name").alias("name"), F.col("part_digest").alias("digest")).agg(F.first("n").alias("n"), F.sum("count").alias("count"), F.first("bytes").alias("bytes"), F.first("place").alias("place"))
+        pieces = scratch.keep(pieces, f"pieces-{width}")
+        for name in ("parts", "shared"):
+            scratch.free(f"{name}-{width}")
+    out.append(pieces)
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole.drop("place"), places
+
+
+def put_together(repeats: DataFrame, places: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """The repeats (name, digest, runs) with those of fragments that were parted, in one row for each."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [window_hashes(x.as_py(), length) for x in b.column(1)]
-            if hashes:
-                h, at = np.unique(np.concatenate(hashes), return_inverse=True)
-                each = np.repeat(b.column(0).to_numpy(), [len(x) for x in hashes])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(at, each).astype(np.int64))], ["h", "c"])
-
-    again = warm.select("count", "bytes").mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
-    again = scratch.keep(again, "again")
-    placed = scratch.keep(marked(warm, again, length), "placed")
-    schema = "name long, digest binary, part_name long, part_digest binary, shift int, n int, count long, bytes binary"
-
-    def parts(single: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                for name, digest, count, piece, ks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                    ks = np.array(ks)
-                    starts = ks if single else ks[np.r_[True, np.diff(ks) > 1]]
-                    ends = ks if single else ks[np.r_[np.diff(ks) > 1, True]]
-                    hashes = window_hashes(piece, length) if single else None
-                    for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
-                        part = piece[x : y + length]
-                        rows.append((name, digest, int(hashes[x]) if single else name, hashlib.blake2b(part, digest_size=16, person=b"part").digest(), x, y - x + 1, count, part))
-                if rows:
-                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["name", "digest", "part_name", "part_digest", "shift", "n", "count", "bytes"])
-
-        return run
-
-    trimmed = scratch.keep(placed.mapInArrow(parts(False), schema), "trimmed")
-    still = scratch.keep(over_hot(trimmed, "part_digest"), "still")
-    few = still.count()
-    still = F.broadcast(still) if few <= FEW_NAMES else still
-    out = trimmed
-    if few:
-        out = scratch.keep(trimmed.join(still, "name", "left_anti").unionByName(placed.join(still, "name", "left_semi").mapInArrow(parts(True), schema)), "parts")
-    for name in ("again", "warm"):
-        scratch.free(name)
-    moved = out.select(F.col("part_name").alias("name"), F.col("part_digest").alias("digest"), "n", "count", "bytes")
-    return cold.select(*moved.columns).unionByName(moved), out.select("name", "digest", "part_name", "part_digest", "shift")
+            out = []
+            for parts in b.column(2).to_pylist():
+                ends: list[int] = []
+                for x, y in sorted((r[i], r[i + 1]) for r in parts for i in range(0, len(r), 2)):
+                    if ends and x <= ends[-1]:
+                        ends[-1] = max(ends[-1], y)
+                    else:
+                        ends += [x, y]
+                out.append(ends)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["name", "digest", "runs"])
+
+    for k, parts in reversed([*enumerate(places)]):
+        met = parts.join(repeats.toDF("part_name", "part_digest", "runs"), ["part_name", "part_digest"])
+        lists = met.groupBy("name", "digest").agg(F.collect_list(F.transform("runs", lambda x: x + F.col("shift"))).alias("parts"))
+        repeats = repeats.unionByName(scratch.keep(lists.mapInArrow(run, "name long, digest binary, runs array<int>"), f"whole-{k}"))
+    return repeats
 
 
 def find_repeats(pieces: DataFrame, length: int, width: int) -> DataFrame:
@@ -299,14 +292,12 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, *, length: int = 200, width:
     scratch.free("names")
     pieces, parts = split_hot(cut.where(F.col("bytes").isNotNull()).select("name", "digest", "n", "count", "bytes"), scratch, length)
     repeats = scratch.keep(find_repeats(pieces, length, width), "found")
-    if parts is not None:
-        whole = parts.join(repeats.toDF("part_name", "part_digest", "runs"), ["part_name", "part_digest"])
-        repeats = repeats.unionByName(whole.select("name", "digest", F.transform("runs", lambda x: x + F.col("shift")).alias("runs")))
+    repeats = put_together(repeats, parts, scratch)
     uses = cut.where(F.col("bytes").isNull()).select("name", "digest", "_d", "_t", "first")
     runs = uses.join(repeats, ["name", "digest"])
     spans = F.transform(F.sequence(F.lit(0), F.size("runs") - 1, F.lit(2)), lambda i: F.struct((F.col("first") + F.get("runs", i)).alias("a"), (F.col("first") + F.get("runs", i + 1) + length - 1).alias("b")))
     spans = scratch.keep(runs.select("_d", "_t", spans.alias("s")).groupBy("_d", "_t").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("spans")), "spans")
-    for name in ("cut", "found", "shared", "hot", "placed", "still", "trimmed", "parts"):
+    for name in ("cut", "found", "shared", *(f"{x}-{width}" for x in ("hot", "places", "pieces") for width in WIDTHS), *(f"whole-{k}" for k in range(len(parts)))):
         scratch.free(name)
     return spans
 

@@ -98,6 +98,30 @@ def test_repeats_with_many_continuations(spark, hot, few, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
+def test_repeats_of_near_copies_make_few_rows(spark, monkeypatch):
+    """Hot fragments are parted into blocks: no table has a row for each window, and a fragment's uses meet one row."""
+    made, keep = {}, repeats.Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "HOT", 3000)
+    monkeypatch.setattr(repeats.Scratch, "keep", counted)
+    rng = random.Random(23)
+    base = rng.randbytes(600).hex()
+    texts = []
+    for _ in range(120):
+        at = rng.randrange(1200)
+        texts.append(base[:at] + rng.randbytes(2).hex() + base[at:])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    gone = [len({j for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1 for j in range(i, i + 200)}) for t in texts]
+    assert [r.n_removed for r in repeats.remove_repeats(docs).orderBy("doc_id").collect()] == gone
+    assert max(made.values()) <= 2 * made["names"], made
+
+
 @pytest.mark.parametrize("seed", [61, 86, 95])
 def test_repeats_across_byte_65536(spark, seed):
     rng = random.Random(seed)
