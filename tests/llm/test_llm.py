@@ -122,6 +122,14 @@ def test_repeats_of_near_copies_make_few_rows(spark, monkeypatch):
     assert max(made.values()) <= 2 * made["names"], made
 
 
+def test_repeats_of_parts_are_one_row(spark):
+    """The uses of a fragment are joined to one row, however many of its parts hold repeats."""
+    found = spark.createDataFrame([(1, b"a", [0, 2]), (2, b"b", [0, 3]), (3, b"c", [0, 1, 2, 5]), (7, b"z", [4, 6])], "name long, digest binary, runs array<int>")
+    places = spark.createDataFrame([(9, b"w", k, d, at) for k, d, at in ((1, b"a", 0), (2, b"b", 2), (3, b"c", 10))], "name long, digest binary, part_name long, part_digest binary, shift int")
+    got = repeats.put_together(found, [places], repeats.Scratch(spark, "test")).where("name > 6").orderBy("name").collect()
+    assert [(r.name, r.runs) for r in got] == [(7, [4, 6]), (9, [0, 5, 10, 11, 12, 15])]
+
+
 @pytest.mark.parametrize("seed", [61, 86, 95])
 def test_repeats_across_byte_65536(spark, seed):
     rng = random.Random(seed)
