@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-SHIFT, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+SHIFT, LOW, SHARD = np.uint64(32), np.uint64(0xFFFFFFFF), 1 << 16
 
 
 @dataclass
@@ -166,15 +166,10 @@ def shared_blocks(owner: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.repeat(mixed, np.diff(np.r_[at, len(owner)]))
 
 
-def repeated(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int = 8, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
-    """For each string, which of its first `starts` places begin a `depth`-byte string of total weight 2 or more in all of them.
-
-    A string stands for `weights` equal copies. depth must be a multiple of width.
-    """
+def marked(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the places of all strings, one after another with `width` end places after each: does a repeat begin there; and where each string begins."""
     if depth % width or not 1 <= width <= 8:
         raise ValueError("depth must be a multiple of width, and width at most 8")
-    if not strings:
-        return []
     data, end, first = layout(strings, width)
     symbols, rounds = words(data, width), depth // width
     sizes = np.array([len(s) + width for s in strings])
@@ -190,4 +185,25 @@ def repeated(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, dept
     flag = np.zeros(len(data), bool)
     flag[order] = np.repeat(total >= 2, np.diff(np.r_[interval, len(data)]))
     flag &= counts > 0
+    return flag, first
+
+
+def repeated(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int = 8, shard_bytes: int = SHARD) -> list[np.ndarray]:
+    """For each string, which of its first `starts` places begin a `depth`-byte string of total weight 2 or more in all of them.
+
+    A string stands for `weights` equal copies. depth must be a multiple of width.
+    """
+    if not strings:
+        return []
+    flag, first = marked(strings, weights, starts, depth, width, shard_bytes)
     return [flag[a : a + n] for a, n in zip(first.tolist(), starts.tolist(), strict=True)]
+
+
+def repeated_runs(strings: list[bytes], weights: np.ndarray, starts: np.ndarray, depth: int, width: int = 8, shard_bytes: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of repeated() as runs: string, first place and end of each, in order."""
+    if not strings:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flag, first = marked(strings, weights, starts, depth, width, shard_bytes)
+    edges = np.flatnonzero(np.diff(flag, prepend=False, append=False))  # end places part the runs of two strings
+    string = np.searchsorted(first, edges[::2], "right") - 1
+    return string, edges[::2] - first[string], edges[1::2] - first[string]

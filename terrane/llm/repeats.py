@@ -21,17 +21,17 @@ the repeats of its blocks in one row before its uses are joined to it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.bwt import repeated
+from terrane.llm.bwt import repeated_runs
 from terrane.llm.common import Scratch, claim, fresh
 
-GRAM, BLOCK, BATCH, HELD, USES, WORD = 32, 1 << 19, 1 << 19, 16 << 20, 1 << 15, 8
+GRAM, BLOCK, GROUP, BATCH, HELD, USES, WORD = 32, 1 << 19, 1 << 16, 1 << 17, 16 << 20, 1 << 15, 8
 HOT, FEW_NAMES, FEW_WINDOWS, WIDTHS = 1 << 17, 1 << 18, 1 << 20, (28, 5, 1)
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64(0xFFFFF)
@@ -57,25 +57,44 @@ def gram_hashes(part: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarra
     return (h & ~PLACES) | (PLACES - np.arange(len(h), dtype=np.uint64))  # BLOCK + length <= 2 ** 20
 
 
-def fragments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, first window and number of windows of each fragment of one text."""
+def fragments(texts: Iterable[np.ndarray], length: int) -> list[np.ndarray]:
+    """Text (its number), name, first window and number of windows of each fragment of some texts.
+
+    Texts are cut every BLOCK windows and taken together in groups of about GROUP bytes.
+    """
+    found, group, size = [[np.zeros(0, np.int64)] * 4], [], 0
+    for k, data in enumerate(texts):
+        for lo in range(0, len(data) - length + 1, BLOCK):
+            part = data[lo : lo + BLOCK + length - 1]
+            if group and size + len(part) > GROUP:
+                found.append(fragments_of(group, length))
+                group, size = [], 0
+            group.append((k, lo, part))
+            size += len(part)
+    if group:
+        found.append(fragments_of(group, length))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def fragments_of(group: list[tuple[int, int, np.ndarray]], length: int) -> list[np.ndarray]:
+    """The fragments of (text, first byte, bytes) laid end to end; windows that cross from one to the next are left out."""
     w = length - GRAM + 1
-    names, firsts, counts = [], [], []
-    up, down = powers(BLOCK + length)
-    for lo in range(0, len(data) - length + 1, BLOCK):
-        part = data[lo : lo + BLOCK + length - 1]
-        h = gram_hashes(part, up, down)
-        n = len(h) - w + 1
-        rows = np.concatenate([h, np.full(-len(h) % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
-        ahead = np.minimum.accumulate(rows, 1).ravel()[w - 1 : w - 1 + n]
-        least = np.minimum(np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()[:n], ahead)
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        names.append((least[first] >> np.uint64(20)).astype(np.int64))
-        firsts.append(first + lo)
-        counts.append(np.diff(np.r_[first, n]))
-    if not names:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(names), np.concatenate(firsts), np.concatenate(counts)
+    text, lo, parts = zip(*group, strict=True)
+    sizes = np.array([len(x) for x in parts])
+    starts = np.cumsum(sizes) - sizes
+    h = gram_hashes(np.concatenate(parts), *powers(BLOCK + length))
+    n = len(h) - w + 1
+    rows = np.concatenate([h, np.full(-len(h) % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, 1).ravel()[w - 1 : w - 1 + n]
+    least = np.minimum(np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()[:n], ahead)
+    new = np.r_[True, least[1:] != least[:-1]]
+    new[starts] = True
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    first = np.flatnonzero(new)
+    ends = (starts + sizes - length + 1)[owner[first]]
+    inside = first < ends
+    first, ends, own = first[inside], np.minimum(np.r_[first[1:], n], ends)[inside], owner[first[inside]]
+    return [np.array(text)[own], (least[first] >> np.uint64(20)).astype(np.int64), first - starts[own] + np.array(lo)[own], ends - first]
 
 
 def raw(text: str | None) -> np.ndarray:
@@ -92,11 +111,8 @@ def keys(docs: DataFrame) -> tuple[Column, Column]:
 def name_fragments(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fragments(raw(t.as_py()), length) for t in b.column(2)]
-            if found:
-                at = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-                parts = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([parts[0], b.column(0).take(at), b.column(1).take(at), parts[1].cast("int32"), parts[2].cast("int32")], ["name", "_d", "_t", "first", "n"])
+            at, name, first, n = map(pa.array, fragments((raw(t.as_py()) for t in b.column(2)), length))
+            yield pa.RecordBatch.from_arrays([name, b.column(0).take(at), b.column(1).take(at), first.cast("int32"), n.cast("int32")], ["name", "_d", "_t", "first", "n"])
 
     return docs.select("_d", "_t", "text").mapInArrow(run, "name long, _d long, _t long, first int, n int")
 
@@ -115,15 +131,17 @@ def cut_fragments(docs: DataFrame, length: int) -> DataFrame:
         claim("repeats")
         some, held, uses = {}, 0, []
         for b in batches:
-            for d, t, text, names in zip(*(b.column(i) for i in range(4)), strict=True):
+            ends, found = b.column(3).offsets.to_numpy(), b.column(3).values
+            parts = [found.field(c).to_numpy() for c in ("name", "first", "n")]
+            for row, (d, t, text) in enumerate(zip(*(b.column(i) for i in range(3)), strict=True)):
                 d, t, data = d.as_py(), t.as_py(), raw(text.as_py()).tobytes()
-                for f in names.as_py():
-                    piece = data[f["first"] : f["first"] + f["n"] + length - 1]
+                for name, first, n in zip(*(x[ends[row] : ends[row + 1]].tolist() for x in parts), strict=True):
+                    piece = data[first : first + n + length - 1]
                     digest = hashlib.blake2b(piece, digest_size=16).digest()
-                    uses.append((f["name"], digest, d, t, f["first"], f["n"]))
-                    own = some.get((f["name"], digest))
+                    uses.append((name, digest, d, t, first, n))
+                    own = some.get((name, digest))
                     if own is None:
-                        some[f["name"], digest] = [f["n"], 1, piece]
+                        some[name, digest] = [n, 1, piece]
                         held += len(piece) + 200
                     else:
                         own[1] += 1
@@ -240,15 +258,16 @@ def put_together(repeats: DataFrame, places: list[DataFrame], scratch: Scratch)
 def find_repeats(pieces: DataFrame, length: int, width: int) -> DataFrame:
     """From (name, digest, n, count, bytes), the fragments that hold repeats: name, digest, runs of places (first, end, first, end ...)."""
 
-    def solve(batch: dict) -> list[tuple]:
-        out, todo = [], [(name, digest, *x) for (name, digest), x in batch.items()]
-        if todo:
-            names, digests, n, count, piece = zip(*todo, strict=True)
-            flags = repeated(list(piece), np.array(count), np.array(n), length, width)
-            for name, digest, flag in zip(names, digests, flags, strict=True):
-                if flag.any():
-                    out.append((name, digest, np.flatnonzero(np.diff(np.r_[0, flag.astype(np.int8), 0])).tolist()))
-        return out
+    def solve(batch: dict) -> pa.RecordBatch | None:
+        n, count, piece = zip(*batch.values(), strict=True)
+        string, first, end = repeated_runs(list(piece), np.array(count), np.array(n), length, width)
+        if not len(string):
+            return None
+        at = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
+        held = list(batch)
+        names, digests = zip(*[held[k] for k in string[at].tolist()], strict=True)
+        runs = pa.ListArray.from_arrays(pa.array(np.r_[2 * at, 2 * len(string)].astype(np.int32)), pa.array(np.stack([first, end], 1).ravel().astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(digests, pa.binary()), runs], ["name", "digest", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("repeats")
@@ -256,9 +275,9 @@ def find_repeats(pieces: DataFrame, length: int, width: int) -> DataFrame:
         size, last = 0, None
 
         def answer() -> Iterator[pa.RecordBatch]:
-            got = solve(held)
+            got = solve(held) if held else None
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], ["name", "digest", "runs"])
+                yield got
 
         for b in batches:
             for name, digest, n, count, piece in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):

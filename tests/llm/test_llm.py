@@ -3,6 +3,7 @@
 import hashlib
 import random
 import shutil
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -130,6 +131,39 @@ def test_repeats_of_parts_are_one_row(spark):
     assert [(r.name, r.runs) for r in got] == [(7, [4, 6]), (9, [0, 5, 10, 11, 12, 15])]
 
 
+def test_repeats_of_a_batch_take_little_memory():
+    rng = random.Random(5)
+    strings = [rng.randbytes(300) for _ in range(repeats.BATCH // 300)]
+    tracemalloc.start()
+    flags = bwt.repeated(strings, np.ones(len(strings), np.int64), np.full(len(strings), 101), 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not any(f.any() for f in flags)
+    assert peak < 40 << 20, peak
+
+
+def test_runs_of_repeats_are_the_flags():
+    rng = random.Random(6)
+    base = rng.randbytes(400)
+    strings = [base[a : a + rng.randint(200, 260)] for a in (rng.randrange(140) for _ in range(30))] + [bytes(300), rng.randbytes(200)]
+    weights, starts = np.array([rng.choice([1, 1, 2]) for _ in strings]), np.array([len(s) - 199 for s in strings])
+    for shard in (1, 500, 1 << 16):
+        flags = bwt.repeated(strings, weights, starts, 200, 8, shard)
+        own = [(k, int(p)) for k, f in enumerate(flags) for p in np.flatnonzero(f)]
+        runs = [x.tolist() for x in bwt.repeated_runs(strings, weights, starts, 200, 8, shard)]
+        assert [(k, p) for k, a, b in zip(*runs, strict=True) for p in range(a, b)] == own
+        assert all(k != j or b < c for (k, b), (j, c) in zip(zip(runs[0], runs[2], strict=True), list(zip(*runs[:2], strict=True))[1:], strict=False))
+
+
+def test_fragments_of_grouped_texts_are_those_of_single_ones(monkeypatch):
+    rng = random.Random(7)
+    texts = [np.frombuffer(x, np.uint8) for x in (b"", b"a" * 199, b"a" * 200, b"ab" * 400, *(rng.randbytes(rng.randint(150, 900)) for _ in range(40)), b"z" * 2000)]
+    together = [x.tolist() for x in repeats.fragments(texts, 200)]
+    apart = [[k, *x] for k, t in enumerate(texts) for _, *x in zip(*[y.tolist() for y in repeats.fragments([t], 200)], strict=True)]
+    assert [list(x) for x in zip(*together, strict=True)] == apart
+    assert [sum(n for k, n in zip(together[0], together[3], strict=True) if k == i) for i in range(len(texts))] == [max(0, len(t) - 199) for t in texts]
+
+
 @pytest.mark.parametrize("seed", [61, 86, 95])
 def test_repeats_across_byte_65536(spark, seed):
     rng = random.Random(seed)
