@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from terrane.llm.bwt import repeated_runs
 from terrane.llm.common import Scratch, claim, fresh
 
 GRAM, BLOCK, GROUP, BATCH, HELD, USES, WORD = 32, 1 << 19, 1 << 16, 1 << 17, 16 << 20, 1 << 15, 8
-HOT, FEW_NAMES, FEW_WINDOWS, WIDTHS = 1 << 17, 1 << 18, 1 << 20, (28, 5, 1)
+HOT, FEW_NAMES, FEW_WINDOWS, FEW_ROWS, WIDTHS = 1 << 17, 1 << 18, 1 << 20, 1 << 9, (28, 5, 1)
 BASE = 0x9E3779B97F4A7C15
 PLACES = np.uint64(0xFFFFF)
 _powers: dict = {}
@@ -111,8 +112,10 @@ def keys(docs: DataFrame) -> tuple[Column, Column]:
 def name_fragments(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, name, first, n = map(pa.array, fragments((raw(t.as_py()) for t in b.column(2)), length))
-            yield pa.RecordBatch.from_arrays([name, b.column(0).take(at), b.column(1).take(at), first.cast("int32"), n.cast("int32")], ["name", "_d", "_t", "first", "n"])
+            for lo in range(0, b.num_rows, FEW_ROWS):
+                some = b.slice(lo, FEW_ROWS)
+                at, name, first, n = map(pa.array, fragments((raw(t.as_py()) for t in some.column(2)), length))
+                yield pa.RecordBatch.from_arrays([name, some.column(0).take(at), some.column(1).take(at), first.cast("int32"), n.cast("int32")], ["name", "_d", "_t", "first", "n"])
 
     return docs.select("_d", "_t", "text").mapInArrow(run, "name long, _d long, _t long, first int, n int")
 
@@ -149,12 +152,11 @@ def cut_fragments(docs: DataFrame, length: int) -> DataFrame:
                         yield rows(uses, {})
                         uses = []
                 if held > HELD:
-                    yield rows(uses, some)
-                    some, held, uses = {}, 0, []
+                    yield from (rows([], dict(x)) for x in batched(some.items(), USES // 8))
+                    some, held = {}, 0
         if uses:
             yield rows(uses, {})
-        if some:
-            yield rows([], some)
+        yield from (rows([], dict(x)) for x in batched(some.items(), USES // 8))
 
     return docs.mapInArrow(run, schema)
 
